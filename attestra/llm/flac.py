@@ -1,6 +1,6 @@
 """FLAC media columns: lossless 8-bit PCM with linear prediction, Rice residuals and verified checksums.
 
-Encoding cuts each stream into frames, predicts with the best of four fixed orders and one adaptive
+Encoding cuts each stream into frames, predicts with the best of three fixed orders and one adaptive
 linear predictor, and Rice-codes the residual. Decoding finds the frames by the stream's seek table,
 verifies both checksums of each, and runs through all frames of a batch in step: the i-th
 samples of all frames are decoded together by numpy, so no Python runs per sample. ``pcm_blocks`` writes
@@ -28,6 +28,9 @@ from .shared import text_chunks
 
 BLOCK = 1024
 ORDER = 4
+#: The highest fixed order tried, and the mark of the adaptive predictor.
+FIXED = 2
+ADAPTIVE = 9
 PRECISION = 10
 #: Bytes of payload that are encoded or decoded together.
 CHUNK = 4 << 20
@@ -90,21 +93,24 @@ def frame_header(number: int, samples: int) -> bytes:
     return head + bytes([crc])
 
 
-def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
-    """Write the low ``width`` bits of each value, highest first, from bit ``at`` on."""
-    width = np.broadcast_to(width, at.shape)
-    for b in range(int(width.max(initial=0))):
-        has = width > b
-        if has.all():
-            bits[at + width - 1 - b] = (value >> b) & 1
-        else:
-            bits[(at + width - 1 - b)[has]] = (value[has] >> b) & 1
+def _put(words: np.ndarray, at: np.ndarray, value: np.ndarray, width: np.ndarray | int) -> None:
+    """Set the low ``width`` (at most 16) bits of each value, highest first, from bit ``at`` on; ``at`` increases."""
+    if not len(at):
+        return
+    word, room = at >> 6, 64 - (at & 63) - width
+    value = value.astype(np.uint64)
+    held = np.where(room >= 0, value << np.maximum(room, 0).astype(np.uint64), value >> np.maximum(-room, 0).astype(np.uint64))
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] |= np.bitwise_or.reduceat(held, first)
+    over = np.flatnonzero(room < 0)
+    words[word[over] + 1] |= value[over] << (64 + room[over]).astype(np.uint64)
 
 
 def _predictors(x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(residuals, predictor kind 0-3 fixed or 4 linear, coefficients, shifts) of frames in the rows of ``x``."""
+    """(residuals, predictor kind: a fixed order or ADAPTIVE, coefficients, shifts) of frames in the rows of ``x``."""
     frames = len(x)
-    autocorrelation = np.array([(x[:, j:] * x[:, : x.shape[1] - j]).sum(1, dtype=np.float64) for j in range(ORDER + 1)])
+    single = x.astype(np.float32)
+    autocorrelation = np.array([np.einsum("ij,ij->i", single[:, j:], single[:, : x.shape[1] - j]) for j in range(ORDER + 1)], np.float64)
     error = autocorrelation[0] * (1 + 1e-9) + 1e-9
     a = np.zeros((ORDER, frames))
     for i in range(ORDER):
@@ -122,18 +128,20 @@ def _predictors(x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = x.shape[1]
     predicted = sum(coefficients[j][:, None] * padded[:, ORDER - 1 - j : ORDER - 1 - j + n] for j in range(ORDER)) >> shift[:, None]
     choices = [x]
-    for _ in range(3):
+    for _ in range(FIXED):
         choices.append(np.diff(choices[-1], axis=1, prepend=0))
     choices.append(x - predicted)
     best, kind, cost = choices[0].copy(), np.zeros(frames, int), None
+    mask = inside.astype(np.int32)
     for i, residual in enumerate(choices):
-        warm = min(i, ORDER)
-        own = (np.abs(residual[:, warm:]) * inside[:, warm:]).sum(1) + 8 * warm + (30 if i == 4 else 0)
+        last = i == len(choices) - 1
+        warm = ORDER if last else i
+        own = np.einsum("ij,ij->i", np.abs(residual[:, warm:]), mask[:, warm:]) + 8 * warm + 30 * last
         if cost is None:
             cost = own
             continue
         better = own < cost
-        best[better], kind[better], cost = residual[better], i, np.minimum(cost, own)
+        best[better], kind[better], cost = residual[better], ADAPTIVE if last else i, np.minimum(cost, own)
     return best, kind, coefficients, shift
 
 
@@ -152,48 +160,49 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     x = np.zeros((len(n), BLOCK), np.int32)
     x[inside] = data.astype(np.int32) - 128
     residual, kind, coefficients, shift = _predictors(x, inside)
-    warm = np.minimum(kind, ORDER)
+    warm = np.where(kind == ADAPTIVE, ORDER, kind)
     coded = inside & (column >= warm[:, None])
     u = np.where(residual >= 0, 2 * residual, -2 * residual - 1)
     mean = (u * coded).sum(1) / np.maximum(n - warm, 1)
     k = np.clip(np.floor(np.log2(np.maximum(mean * np.log(2), 1e-9))).astype(int) + 1, 0, 14)
     k = np.where(((u >> k[:, None]) * coded).sum(1) + k * (n - warm) <= ((u >> np.maximum(k - 1, 0)[:, None]) * coded).sum(1) + np.maximum(k - 1, 0) * (n - warm), k, np.maximum(k - 1, 0))
-    q = (u >> k[:, None])[coded]
-    width = q + 1 + np.repeat(k, n - warm)
-    code = np.repeat(1 << k, n - warm) | (u & ((1 << k) - 1)[:, None])[coded]
+    u, each = u[coded], np.repeat(k, n - warm)
+    q = u >> each
+    width = q + 1 + each
+    code = (1 << each) | (u & ((1 << each) - 1))
     per_frame = np.add.reduceat(np.append(width, 0), np.minimum(np.cumsum(n - warm) - (n - warm), len(width)))
     per_frame = np.where(n > warm, per_frame, 0)
-    plain = per_frame + 8 * warm + np.where(kind == 4, 9 + ORDER * PRECISION, 0) + 10 >= 8 * n
-    side = np.where(plain, 8 * n, 8 * warm + np.where(kind == 4, 9 + ORDER * PRECISION, 0) + 10 + per_frame)
+    plain = per_frame + 8 * warm + np.where(kind == ADAPTIVE, 9 + ORDER * PRECISION, 0) + 10 >= 8 * n
+    side = np.where(plain, 8 * n, 8 * warm + np.where(kind == ADAPTIVE, 9 + ORDER * PRECISION, 0) + 10 + per_frame)
     headers = [frame_header(i, s) for i, s in zip(number.tolist(), n.tolist(), strict=True)]
     head = np.fromiter(map(len, headers), np.int64, len(headers))
     body = head + 1 + -(-side // 8)
     total = body + 2
     start = np.cumsum(total) - total
-    bits = np.zeros(int(total.sum()) * 8, np.uint8)
+    words = np.zeros((int(total.sum()) >> 3) + 3, np.uint64)
     at = (start + head) * 8
-    _put(bits, at, np.where(plain, 2, np.where(kind == 4, 2 * (31 + ORDER), 2 * (8 + kind))), 8)
+    _put(words, at, np.where(plain, 2, np.where(kind == ADAPTIVE, 2 * (31 + ORDER), 2 * (8 + kind))), 8)
     at = at + 8
-    for row in np.flatnonzero(plain).tolist():
-        bits[at[row] : at[row] + 8 * n[row]] = np.unpackbits((x[row, : n[row]] & 0xFF).astype(np.uint8))
     rice = ~plain
     for j in range(ORDER):
         has = rice & (warm > j)
-        _put(bits, at[has] + 8 * j, x[has, j] & 0xFF, 8)
+        _put(words, at[has] + 8 * j, x[has, j] & 0xFF, 8)
     at = at + 8 * warm
-    linear = rice & (kind == 4)
-    _put(bits, at[linear], np.full(int(linear.sum()), PRECISION - 1), 4)
-    _put(bits, at[linear] + 4, shift[linear], 5)
+    linear = rice & (kind == ADAPTIVE)
+    _put(words, at[linear], np.full(int(linear.sum()), PRECISION - 1), 4)
+    _put(words, at[linear] + 4, shift[linear], 5)
     for j in range(ORDER):
-        _put(bits, at[linear] + 9 + PRECISION * j, coefficients[j][linear] & ((1 << PRECISION) - 1), PRECISION)
-    at = at + np.where(kind == 4, 9 + ORDER * PRECISION, 0)
-    _put(bits, at[rice] + 6, k[rice], 4)
+        _put(words, at[linear] + 9 + PRECISION * j, coefficients[j][linear] & ((1 << PRECISION) - 1), PRECISION)
+    at = at + np.where(kind == ADAPTIVE, 9 + ORDER * PRECISION, 0)
+    _put(words, at[rice] + 6, k[rice], 4)
     at = at + 10
     own = np.repeat(rice, n - warm)
     first = np.cumsum(width) - width
     frame_first = np.repeat(at - np.concatenate([[0], np.cumsum(per_frame)[:-1]]), n - warm)
-    _put(bits, (frame_first + first + q)[own], code[own], (width - q)[own])
-    packed = np.packbits(bits)
+    _put(words, (frame_first + first + q)[own], code[own], (width - q)[own])
+    packed = words.astype(">u8").view(np.uint8)
+    for row in np.flatnonzero(plain).tolist():
+        packed[start[row] + head[row] + 1 : start[row] + head[row] + 1 + n[row]] = x[row, : n[row]] & 0xFF
     heads = np.frombuffer(b"".join(headers), np.uint8)
     packed[np.repeat(start - (np.cumsum(head) - head), head) + np.arange(len(heads))] = heads
     crc = crc16(packed, start, start + body)

@@ -17,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, text_chunks
 
 #: Words whose ids a worker remembers before it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_100_000
 PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long, level int"
 
 
@@ -43,9 +44,14 @@ class WordIds(dict):
     """Numbers for byte words, with each word's ids kept in two flat arrays.
 
     Encoding words one by one equals encoding the text: this tokenizer's normaliser and splitter
-    never look across ASCII white space, which it drops.
+    never look across ASCII white space, which it drops. It also lower-cases and separates
+    punctuation from letters, so both are done first to have fewer different words. Only texts
+    that may spell a special token are left as they are.
     """
 
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    stop = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+
     def __init__(self, path: str):
         import os
 
@@ -70,7 +76,7 @@ class WordIds(dict):
         """(ids of all texts, number of ids of each)."""
         if len(self) > MOST_WORDS:
             self.reset()
-        split = [t.split() for t in texts]
+        split = [t.split() if b"<|" in t else self.stop.sub(rb" \1", t.translate(self.lower)).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter((self[w] for words in split for w in words), np.int64, int(counts.sum()))
         if self.new:

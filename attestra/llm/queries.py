@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, personal_data, toxicity, warc
+from . import chat, flac, mixing, personal_data, toxicity, warc
 from .exact_dedup import mark_copies
 from .packing import pack
 from .shared import table
@@ -36,13 +36,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.described(flac.media_column(table(spark, sf_dir, "documents")))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_personal_data": op2_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
+    "op8_flac": op8_flac,
     "op9_toxicity": op9_toxicity,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
@@ -50,4 +60,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op10_chat": chat.ORACLE,
 }

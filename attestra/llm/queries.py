@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, flac, mixing, personal_data, toxicity, warc
 from .exact_dedup import mark_copies
+from .jaccard_join import near_components
 from .packing import pack
 from .shared import table
 
@@ -24,6 +25,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_personal_data": op2_personal_data,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
     "op8_flac": op8_flac,

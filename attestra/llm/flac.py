@@ -33,7 +33,7 @@ FIXED = 2
 ADAPTIVE = 9
 PRECISION = 10
 #: Bytes of payload that are encoded or decoded together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 RATE = 8000
 
 

@@ -134,18 +134,18 @@ def chain(links: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """type, id, url, digest, refers_to, stored_bytes, stored_digest (and payload) of every true record of the archives in ``path``."""
     found = materialize(candidates(spark, path, payloads), "links")
-    true = materialize(chain(found), "true").withColumn("true", F.lit(True))
-    found = found.join(true, ["file", "at"], "left").withColumn("true", F.coalesce("true", F.lit(False)))
-    if not payloads and not found.filter("not true and whole").isEmpty():
+    true = materialize(chain(found), "true").withColumn("on_chain", F.lit(True))
+    found = found.join(true, ["file", "at"], "left").withColumn("on_chain", F.coalesce("on_chain", F.lit(False)))
+    if not payloads and not found.filter("not on_chain and whole").isEmpty():
         # a complete record inside a payload: its bytes are needed after all
         return read(spark, path, True).drop("payload")
     columns = ["type", "id", "url", "digest", "refers_to", "stored_bytes", "stored_digest", *(["payload"] if payloads else [])]
-    sound = found.filter("true and whole").select(*columns)
+    sound = found.filter("on_chain and whole").select(*columns)
     # a record that version lines interrupt is put together from the candidates up to its successor
-    parted = found.filter("not (true and whole)")
+    parted = found.filter("not (on_chain and whole)")
     owner = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    parted = parted.withColumn("owner", F.last(F.when(F.col("true"), F.col("at")), ignorenulls=True).over(owner)).filter("owner is not null")
-    own = parted.filter("true")
+    parted = parted.withColumn("owner", F.last(F.when(F.col("on_chain"), F.col("at")), ignorenulls=True).over(owner)).filter("owner is not null")
+    own = parted.filter("on_chain")
     pieces = parted.groupBy("file", F.col("owner").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("pieces"))
     text = F.array_join(F.transform("pieces", lambda p: p["raw"]), VERSION)
     joined = own.drop("payload", "stored_bytes", "stored_digest").join(pieces, ["file", "at"]).withColumn("text", text)

@@ -74,7 +74,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative positive-unlabelled risk with the logistic loss (Adam)."""
     n = x_p.shape[1]
     w = np.zeros(n + 1)
@@ -83,11 +83,13 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate:
     first, second = np.zeros(n + 1), np.zeros(n + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
+        single = w.astype(np.float32)
+        gp, gu = (p @ single).astype(float), (u @ single).astype(float)
         as_negative = prior * np.logaddexp(0, gp).mean()
         rest = np.logaddexp(0, gu).mean() - as_negative
-        up = -prior * (p.T @ (1 - sigmoid(gp))) / len(p)
-        down = (u.T @ sigmoid(gu)) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
+        known = sigmoid(gp).astype(np.float32)
+        up = -prior * ((1 - known) @ p).astype(float) / len(p)
+        down = (sigmoid(gu).astype(np.float32) @ u).astype(float) / len(u) - prior * (known @ p).astype(float) / len(p)
         slope = up + down if rest >= 0 else -down
         slope[:n] += decay * w[:n]
         first = 0.9 * first + 0.1 * slope
@@ -99,23 +101,25 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 400, rate:
 def train(
     documents: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 2000
 ) -> Model | None:
-    """A model from confirmed positives and unlabelled documents; None without positives.
-
-    The class prior, unless given, is the share of toxic rows among the ``labels`` passed in.
-    """
+    """A model from confirmed positives and unlabelled documents; None without positives."""
     flags = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id is not null and toxic is not null")
-    counted = flags.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("long"))).first()
-    if not counted[1]:
-        return None
-    prior = prior or min(0.9, max(0.001, counted[1] / counted[0]))
     order = F.xxhash64("doc_id", F.lit(7))
     positive = flags.filter("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(most_positive).withColumn("positive", F.lit(1))
     others = documents.filter("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct().withColumn("positive", F.lit(0))
     # both lists are bounded by the parameters
     chosen = F.broadcast(positive.unionByName(others))
     rows = documents.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_bags, "positive int, bag binary").collect()
-    bags = {k: [np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"] == k] for k in (0, 1)}
-    if not bags[1] or not bags[0]:
+    return fit([np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"]], [np.frombuffer(r["bag"], "<i4") for r in rows if not r["positive"]], prior, most_features)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 2000) -> Model | None:
+    """A model from the bins of each positive and each unlabelled text.
+
+    The class prior, unless given, comes from the data: a bin that negatives hardly hold is as much rarer among
+    unlabelled rows than among positives as positives are rare, so the strongest bins give the ratio.
+    """
+    bags = {1: positive, 0: unlabelled}
+    if not positive or not unlabelled:
         return None
     n_p, n_u = len(bags[1]), len(bags[0])
     in_p, in_u = (np.bincount(np.concatenate(bags[k]), minlength=BINS).astype(float) for k in (1, 0))
@@ -133,6 +137,10 @@ def train(
             x[i, at[at >= 0]] = 1
         return x
 
+    if not len(good):
+        return Model(good, np.zeros(0), -5.0)
+    strong = good[np.argsort(-z[good], kind="stable")[:20]]
+    prior = prior or float(np.clip(rate_u[strong].sum() / rate_p[strong].sum(), 0.001, 0.5))
     weights, bias = nnpu(dense(bags[1]), dense(bags[0]), prior)
     return Model(good, weights, bias)
 

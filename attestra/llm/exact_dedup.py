@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, flag_blank, scratch, shuffle_partitions
+from .shared import attach_groups, flag_blank, materialize, scratch, shuffle_partitions
 
 
 class DigestIndex:
@@ -36,14 +36,13 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def add(self, texts: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> None:
-        """Append one entry for every text of the batch that the index lacks."""
-        batch = (
-            digested(texts, text_column)
-            .groupBy("_digest")
-            .agg(F.max(id_column).alias("keep_id"), F.count("*").alias("group_size"))
-            .withColumnRenamed("_digest", "digest")
-            .repartition(self.buckets, "digest")
-        )
+        """Append one entry for every text of the batch that the index lacks.
+
+        The batch is aggregated and written first: the optimiser would push the anti-join below the
+        aggregation, and copies would then travel before they are combined.
+        """
+        batch = digested(texts, text_column).groupBy("_digest").agg(F.max(id_column).alias("keep_id"), F.count("*").alias("group_size"))
+        batch = materialize(batch.withColumnRenamed("_digest", "digest"), "batch").repartition(self.buckets, "digest")
         fresh = batch.join(self.known().select("digest").hint("merge"), "digest", "left_anti")
         fresh.sortWithinPartitions("digest").write.insertInto(self.name)
 

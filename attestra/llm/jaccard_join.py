@@ -11,9 +11,10 @@ a longer prefix against verifying fewer candidates; a pair must share min(l_x, l
    nodes; frequent shingles, a bounded list, take the short way. Blocks of numbers travel, not rows.
 3. A node with fewer than need(n) shared shingles links with nothing. The others get their prefix.
 4. Components need links, not all pairs: within each posting list every node is first verified against
-   one leader, for a few rounds with different leaders. Then only pairs from different components
-   remain; they are enumerated from the components of each posting list, counted, and verified. Every
-   pair that shares enough prefix shingles is thus verified or already connected, so no link is lost.
+   a few leaders, in rounds with more and other leaders. Then only pairs from different components
+   remain: each node meets the nodes of larger components in its posting lists, what it shares with
+   each is counted, and those that share enough are verified. Every pair that shares enough prefix
+   shingles is thus verified or already connected, so no link is lost.
 
 Defined results: null and blank texts have no shingles and link with nothing; texts of one to four
 words are one shingle; repeated rows are equal sets; a null doc_id can join two others but is never
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import attach_groups, components, materialize, mix, shingle_sets, shuffle_partitions, text_chunks
@@ -39,16 +40,20 @@ FREQUENT = 1 / 256
 #: The longest multi-match considered, and the cost of verifying a candidate in units of reading a posting.
 MOST_MATCHES = 6
 VERIFY = 20.0
-#: Shingles that a task gathers before it deals them out.
-GATHERED = 2_000_000
+#: Bytes of text read at a time, and shingles that a task gathers before it deals them out.
+CHUNK = 1 << 20
+GATHERED = 1_000_000
 #: Bytes of shingles in a partition on average.
 PARTITION = 32 << 20
-LEADERS = 3
+#: Leaders of a posting list's nodes in each round.
+LEADERS = (1, 4, 16)
+#: Nodes of a posting list that one task compares at a time, on average.
+POSTING = 50_000
 _ALWAYS = np.uint32(0xFFFFFFFF)
 
 FACTS = "doc_id long, n long, node long, shingle long, times long"
 DEALT = "bucket long, nodes binary, sizes binary, counts binary, hashes binary, degrees binary"
-LIVE = "node long, n long, matches int, prefix array<long>, shingles binary"
+LIVE = "node long, n long, matches int, prefix array<long>, shingles binary, bitmap binary"
 
 
 def need(n, percent: int = PERCENT):
@@ -60,7 +65,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndar
     """(doc ids, nodes, sizes, hashes) of many documents at a time."""
     held: list[tuple] = []
     total = 0
-    for rows, texts in text_chunks(batches):
+    for rows, texts in text_chunks(batches, CHUNK):
         hashes, sizes = shingle_sets(texts, WORDS)
         starts = np.cumsum(sizes) - sizes
         sums = np.add.reduceat(np.append(mix(hashes ^ np.uint64(0xA5A5A5A5)), np.uint64(0)), starts)
@@ -227,6 +232,13 @@ def choose_matches(degrees: np.ndarray, unshared: int, n: int) -> tuple[int, int
     return best, kept
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """512 bits, one for each hash; sets differ in at least as many elements as their bitmaps in bits."""
+    bits = np.zeros(512, np.uint8)
+    bits[(hashes & np.uint64(511)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_bucket(batches):
         nodes, sizes, counts, hashes, degrees = _unpacked(rows)
@@ -247,9 +259,9 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own) < need(size):
                 continue
             matches, kept = choose_matches(degree, size - len(own), size)
-            out.append((int(node[a].astype(np.int64)), size, matches, own[:kept].view(np.int64), np.sort(own).tobytes()))
+            out.append((int(node[a].astype(np.int64)), size, matches, own[:kept].view(np.int64), np.sort(own).tobytes(), _bitmap(own)))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in LIVE.split(", ")])
 
 
@@ -266,6 +278,68 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, for rows sorted by key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            now = tuple(v[a] for v in values)
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+MET = "x long, l_x int, nodes binary, matches binary"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node that seeks in a posting list: the nodes of larger components that sizes, shared shingles and bitmaps allow."""
+    for group in _groups(batches, ["token", "chunk"]):
+        seeks, node, n, held, matches, size, component = (group.column(c).to_numpy() for c in ("seeks", "node", "n", "held", "matches", "size", "component"))
+        bits = np.frombuffer(b"".join(group.column("bitmap").to_pylist()), np.uint64).reshape(-1, 8)
+        y = ~seeks
+        bits_y = bits[y]
+        node_y, n_y, held_y, matches_y, size_y, component_y = node[y], n[y], held[y], matches[y].astype(np.uint8), size[y], component[y]
+        out = []
+        for i in np.flatnonzero(seeks).tolist():
+            larger = (size_y > size[i]) | ((size_y == size[i]) & (component_y > component[i]))
+            larger &= np.maximum(n_y, n[i]) * PERCENT <= np.minimum(n_y, n[i]) * 100
+            larger &= np.minimum(held_y, held[i]) * (100 + PERCENT) >= (n_y + n[i]) * PERCENT
+            # the bitmaps bound what two sets share; the pair must be able to link
+            some = np.flatnonzero(larger)
+            apart = np.bitwise_count(bits_y[some] ^ bits[i]).sum(1)
+            larger = some[(held_y[some] + held[i] - apart) * (100 + PERCENT) >= 2 * PERCENT * (n_y[some] + n[i])]
+            if len(larger):
+                out.append((int(node[i]), int(matches[i]), node_y[larger].astype("<i8").tobytes(), matches_y[larger].tobytes()))
+        if out:
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in MET.split(", ")])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that share at least as many prefix shingles as the less demanding of the two asks."""
+    for group in _groups(batches, ["x"]):
+        x, l_x = int(group.column("x")[0].as_py()), int(group.column("l_x")[0].as_py())
+        nodes = np.frombuffer(b"".join(group.column("nodes").to_pylist()), "<i8")
+        matches = np.frombuffer(b"".join(group.column("matches").to_pylist()), np.uint8)
+        found, first, shared = np.unique(nodes, return_index=True, return_counts=True)
+        found = found[shared >= np.minimum(matches[first], l_x)]
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, x)), pa.array(np.maximum(found, x))], ["a", "b"])
+
+
 def verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link."""
     side = lambda c: live.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("shingles").alias(f"set_{c}"))
@@ -295,38 +369,51 @@ def live_nodes(documents: DataFrame, known: DataFrame) -> DataFrame:
 def links(live: DataFrame) -> DataFrame:
     """(node, component) for nodes with links; components are named by their smallest node."""
     spark = live.sparkSession
-    posts = materialize(live.select("node", "n", "matches", F.explode("prefix").alias("token")), "posts")
+    held = (F.octet_length("shingles") / 8).cast("long").alias("held")
+    posts = materialize(live.select("node", "n", held, "bitmap", "matches", F.explode("prefix").alias("token")), "posts")
     edges = spark.createDataFrame([], "a long, b long")
     tested = edges
     found = spark.createDataFrame([], "node long, component long")
-    fits = lambda x, y: (F.greatest(x, y) * PERCENT <= F.least(x, y) * 100)
+
+    def fits(n_x: Column, n_y: Column, held_x: Column, held_y: Column) -> Column:
+        """Whether the sizes allow a link, and each holds enough shingles that others hold too."""
+        return (F.greatest(n_x, n_y) * PERCENT <= F.least(n_x, n_y) * 100) & (F.least(held_x, held_y) * (100 + PERCENT) >= (n_x + n_y) * PERCENT)
 
     def labelled() -> DataFrame:
         own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         return materialize(own.join(mixed.select("token"), "token"), "mixed")
 
-    for turn in range(LEADERS):
+    for turn, leaders in enumerate(LEADERS):
         own = labelled()
-        lead = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("lead"))
-        near = own.join(lead, "token").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n")))
+        order = F.xxhash64("node", F.pmod(F.col("token"), F.lit(leaders)), F.lit(turn))
+        lead = own.groupBy("token").agg(F.min(F.struct(order, "node", "n", "held", "component")).alias("lead"))
+        near = own.join(lead, "token").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("held"), F.col("lead.held")))
         pairs = near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
         tested = tested.union(pairs)
         edges = materialize(edges.union(verified(pairs, live)), "links")
         found = components(edges)
     own = labelled()
-    if own.isEmpty():
+    most = own.groupBy("token").count().agg(F.max("count")).first()[0]
+    if not most:
         return found
-    groups = own.select("token", "component").distinct()
-    other = groups.withColumnRenamed("component", "other")
-    apart = groups.join(other, "token").filter("component < other")
-    x = own.select("token", "component", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("matches").alias("l_x"))
-    y = own.select("token", F.col("component").alias("other"), F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("matches").alias("l_y"))
-    met = apart.join(x, ["token", "component"]).join(y, ["token", "other"]).filter(fits(F.col("n_x"), F.col("n_y")))
-    counted = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_x", "l_y")).alias("least"))
-    pairs = counted.filter("shared >= least").select("a", "b").join(tested, ["a", "b"], "left_anti")
-    edges = materialize(edges.union(verified(materialize(pairs, "pairs"), live)), "links")
+    # of two nodes the one in the smaller component looks for the other, in every posting list that they share
+    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    own = own.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    top = own.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"))
+    chunks = 1 + most // POSTING
+    columns = ["token", "chunk", "seeks", "node", "n", "held", "bitmap", "matches", "size", "component"]
+    seekers = own.join(top, "token").filter(F.struct("size", "component") < F.col("top")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("seeks", F.lit(True))
+    sought = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")).withColumn("seeks", F.lit(False))
+    both = seekers.select(*columns).unionByName(sought.select(*columns))
+    parts = shuffle_partitions(spark)
+    met = both.repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk").mapInArrow(_meet, MET)
+    pairs = met.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_count, "a long, b long")
+    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    edges = materialize(edges.union(verified(pairs, live)), "links")
     return components(edges)
 
 

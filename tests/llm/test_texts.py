@@ -227,9 +227,10 @@ def plain_components(rows):
     return {i: (len(sets[i]), name[i]) for i in sets}
 
 
-@pytest.mark.parametrize("leaders", [0, 3])
+@pytest.mark.parametrize("leaders", [(), (1, 4)])
 def test_near_components(spark, leaders, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEADERS", leaders)
+    monkeypatch.setattr(jaccard_join, "POSTING", 5)
     rows = sample(9, 120)
     documents = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = plain_components(rows)

@@ -40,6 +40,8 @@ GRAM = 20
 SPAN = LEAST - GRAM + 1
 #: Bytes of entries in a partition on average.
 PARTITION = 24 << 20
+#: Bytes of text read at a time.
+CHUNK = 1 << 20
 #: Entries that a task gathers before it deals them out.
 GATHERED = 400_000
 NULL_ID = -(1 << 63)
@@ -138,7 +140,7 @@ def _anchor_dealer(buckets: int, homes: int) -> Callable[[Iterator[pa.RecordBatc
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, CHUNK):
             held.append(anchors(_ids(rows), texts))
             total += len(held[-1]["doc"])
             if total >= GATHERED:
@@ -239,7 +241,7 @@ def _answerer(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """The bytes around the anchors asked for, dealt to the anchors' buckets."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, CHUNK):
             docs, keys, starts, pieces = _ids(rows), [], [], []
             owner = []
             for doc, asked, text in zip(docs.tolist(), rows.column("asked").to_pylist(), texts, strict=True):
@@ -338,7 +340,7 @@ def _solver(homes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in text_chunks(batches):
+    for rows, texts in text_chunks(batches, CHUNK):
         out = []
         for doc, early, late, text in zip(rows.column("doc_id").to_pylist(), rows.column("spans").to_pylist(), rows.column("more").to_pylist(), texts, strict=True):
             parts = [np.frombuffer(s, "<i8").reshape(2, -1) for s in (early, late) if s]

@@ -13,7 +13,7 @@ from .functions import numbers as N
 from .functions import scores as S
 from .functions import texts as T
 from .functions import urls as U
-from .operators import coverage, dedupe, hosts, pages, profile, records, verify
+from .operators import coverage, crawl, dedupe, hosts, pages, profile, records, verify
 from .plans import guarded_sql
 from .sources.tables import cells, cells_sql, declared, declared_sql, load, run_events
 from .streaming import events as stream
@@ -602,3 +602,34 @@ def metered_budget(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     charges = e.select("event_id", F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), (1 + F.col("user_id") % 3).alias("credits"))
     return stream.within_budget(charges, 60).select("event_id", "running", "accepted")
+
+
+# crawling
+
+@query("""SELECT event_type, count(*) AS requests, CAST(sum(event_id) AS BIGINT) AS bytes, count(*) FILTER (WHERE user_id % 7 = 0) AS errors, bool_or(user_id % 7 = 0) AS blocked FROM events GROUP BY 1""")
+def politeness_stats(spark, sf_dir):
+    status = F.when(F.col("user_id") % 7 == 0, 403).otherwise(200)
+    rows = load(spark, sf_dir, "events").select(F.col("event_type").alias("host"), status.alias("status"), F.col("event_id").alias("bytes"))
+    return crawl.politeness(rows).withColumnRenamed("host", "event_type")
+
+
+@query("""SELECT CASE user_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'fatal' WHEN 2 THEN 'retry' WHEN 3 THEN 'timeout' ELSE 'unknown' END AS outcome, count(*) AS n FROM events GROUP BY 1""")
+def fetch_outcomes(spark, sf_dir):
+    turn = F.col("user_id") % 5
+    status = F.when(turn == 0, 204).when(turn == 1, 403).when(turn == 2, 503)
+    error = F.when(turn == 3, "Read timed out").when(turn == 4, "odd")
+    return load(spark, sf_dir, "events").groupBy(crawl.outcome(status, error).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey, s_suppkey % 3 <> 2 AS plausible FROM supplier""")
+def search_plausibility(spark, sf_dir):
+    name = F.lit("Acme Works, Inc.").substr(1, 10)
+    url = F.when(F.col("s_suppkey") % 3 == 0, "https://www.acmeworks.com/").otherwise("https://news.example.org/a")
+    title = F.when(F.col("s_suppkey") % 3 == 1, F.concat(name, F.lit(" names a chair"))).otherwise("Ten best firms")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", crawl.plausible(url, name, title).alias("plausible"))
+
+
+@query()
+def link_scores(spark, sf_dir):
+    found = pages.links(load(spark, sf_dir, "pages"))
+    return found.select("page_id", "position", crawl.link_score(F.col("url"), F.col("anchor"), ["thing", "and"]).alias("score"))

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestra.operators import coverage, dedupe, pages, records, verify
-from attestra.plans import compiler, guarded_sql, maintenance, tools
+from attestra.operators import coverage, crawl, dedupe, pages, records, verify
+from attestra.plans import compiler, guarded_sql, maintenance, sectors, tools
 from attestra.sources import connectors, sinks
 from attestra.streaming import events as stream
 
@@ -152,3 +152,21 @@ def test_stream(spark, tmp_path):
     assert spark.table("windows").count() == 2
     steps = spark.createDataFrame([("r", 1, "A"), ("r", 2, "C")], "run_id string, seq int, stage string")
     assert stream.illegal_steps(steps, ("A", "B", "C")).count() == 1
+
+
+def test_crawl(spark):
+    site = {"https://h/a": '<a href="/list?page=2">next</a><a href="/about">about</a><a href="/robots/x">Robots</a>', "https://h/robots/x": '<a href="/robots/y">robot</a>', "https://h/list?page=2": "", "https://h/robots/y": ""}
+    stored = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(site.items())], "page_id int, url string, html string")
+    got = crawl.crawl(spark.createDataFrame([("https://h/a",)], "url string"), lambda urls: stored.join(urls, "url").select("page_id", "url", "html"), ["robot"], budget=4)
+    assert {r.url: r.depth for r in got.collect()} == {"https://h/a": 0, "https://h/list?page=2": 1, "https://h/robots/x": 1, "https://h/robots/y": 2}
+    reason = crawl.no_yield_reason(spark.createDataFrame([("timeout", "x"), ("timeout", "y")], "provider string, text string")).first()
+    assert reason.reason == "every extraction timed out" and reason.thin == 2
+    named = crawl.candidate_pages(spark.createDataFrame([(1, "Acme Corp and Zeta"), (2, "nothing")], "page_id int, text string"), spark.createDataFrame([("acme corp",), ("zeta",)], "needle string"))
+    assert [tuple(r) for r in named.collect()] == [(1, 2)]
+
+
+def test_sectors():
+    venture = sectors.sector([{"name": "founder_names"}, {"name": "funding_round"}, {"name": "investor"}])
+    assert venture["sector"] == "venture" and venture["matched_fields"]
+    assert sectors.sector([{"name": "mood"}])["method"] == "below-floor" and sectors.sector([])["method"] == "none"
+    assert sectors.sector([{"name": "ticker_price"}, {"name": "hiring_role"}])["sector"] is None

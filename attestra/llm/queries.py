@@ -67,7 +67,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((g{i} >> {s}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+_GROUPS = ", ".join(f"CAST('0x' || substr(sha1(coalesce(html, '')), {5 * i + 1}, 5) AS INTEGER) AS g{i}" for i in range(8))
+
 ORACLES: dict[str, str] = {
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)),
+        r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS i FROM w) WHERE i > 1),
+        s AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS fresh FROM r),
+        g AS (SELECT doc_id, p, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM s),
+        spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY ALL),
+        edges AS (SELECT doc_id, 0 AS span, 0 AS a, 0 AS b FROM d UNION ALL SELECT * FROM spans),
+        parts AS (SELECT doc_id, span, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY span) AS upto FROM edges)
+        SELECT doc_id, any_value(n) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+               sha256(unhex(string_agg(substring(h, 2 * b + 1, 2 * (coalesce(upto, n) - b)), '' ORDER BY span))) AS kept_sha256
+        FROM parts JOIN d USING (doc_id) GROUP BY doc_id""",
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, {_GROUPS} FROM pages)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified FROM p""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

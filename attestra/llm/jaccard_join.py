@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, components, materialize, mix, shingle_sets, shuffle_partitions, text_chunks
+from .shared import attach_groups, components, materialize, mix, shingle_sets, shuffle_partitions, text_chunks, to_buckets
 
 WORDS = 5
 PERCENT = 75
@@ -44,7 +44,7 @@ VERIFY = 20.0
 CHUNK = 1 << 20
 GATHERED = 1_000_000
 #: Bytes of shingles in a partition on average.
-PARTITION = 32 << 20
+PARTITION = 16 << 20
 #: Leaders of a posting list's nodes in each round.
 LEADERS = (1, 4, 16)
 #: Nodes of a posting list that one task compares at a time, on average.
@@ -359,10 +359,9 @@ def live_nodes(documents: DataFrame, known: DataFrame) -> DataFrame:
     often = known.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(2, FREQUENT * n_docs))
     frequent = np.sort(np.array([r[0] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
     parts = max(shuffle_partitions(spark), int(8 * total / PARTITION))
-    buckets = 4 * parts
-    dealt = documents.select("doc_id", "text").mapInArrow(_dealer(frequent, buckets, parts), DEALT)
-    shared = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sharer(buckets, parts), DEALT)
-    homes = shared.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_live, LIVE)
+    dealt = documents.select("doc_id", "text").mapInArrow(_dealer(frequent, parts, parts), DEALT)
+    shared = to_buckets(dealt, parts).mapInArrow(_sharer(parts, parts), DEALT)
+    homes = to_buckets(shared, parts).mapInArrow(_live, LIVE)
     return materialize(homes, "live")
 
 
@@ -379,6 +378,11 @@ def links(live: DataFrame) -> DataFrame:
         """Whether the sizes allow a link, and each holds enough shingles that others hold too."""
         return (F.greatest(n_x, n_y) * PERCENT <= F.least(n_x, n_y) * 100) & (F.least(held_x, held_y) * (100 + PERCENT) >= (n_x + n_y) * PERCENT)
 
+    def apart(x: str, y: str) -> Column:
+        """In how many bits two bitmaps differ, 8 bytes at a time."""
+        word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+        return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(1, 8)), F.bit_count(word(x, 0).bitwiseXOR(word(y, 0))))
+
     def labelled() -> DataFrame:
         own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
@@ -387,8 +391,9 @@ def links(live: DataFrame) -> DataFrame:
     for turn, leaders in enumerate(LEADERS):
         own = labelled()
         order = F.xxhash64("node", F.pmod(F.col("token"), F.lit(leaders)), F.lit(turn))
-        lead = own.groupBy("token").agg(F.min(F.struct(order, "node", "n", "held", "component")).alias("lead"))
+        lead = own.groupBy("token").agg(F.min(F.struct(order, "node", "n", "held", "component", "bitmap")).alias("lead"))
         near = own.join(lead, "token").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("held"), F.col("lead.held")))
+        near = near.filter((F.col("held") + F.col("lead.held") - apart("bitmap", "lead.bitmap")) * (100 + PERCENT) >= 2 * PERCENT * (F.col("n") + F.col("lead.n")))
         pairs = near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, _STEP, _STEP_BACK, materialize, mix, powers, shuffle_partitions, text_chunks
+from .shared import _BYTE, _STEP, _STEP_BACK, materialize, mix, powers, shuffle_partitions, text_chunks, to_buckets
 
 LEAST = 100
 GRAM = 20
 #: Grams of a string of LEAST bytes.
 SPAN = LEAST - GRAM + 1
 #: Bytes of entries in a partition on average.
-PARTITION = 24 << 20
+PARTITION = 8 << 20
 #: Bytes of text read at a time.
 CHUNK = 1 << 20
 #: Entries that a task gathers before it deals them out.
@@ -357,28 +357,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _dealt(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-
 def without_repeats(documents: DataFrame, kept_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every document."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total * 30 / 41 / PARTITION))
-    buckets = 4 * parts
-    dealt = rows.mapInArrow(_anchor_dealer(buckets, parts), BLOCKS)
-    asked = _dealt(dealt, parts).mapInArrow(_asker(parts), BLOCKS)
+    dealt = rows.mapInArrow(_anchor_dealer(parts, parts), BLOCKS)
+    asked = to_buckets(dealt, parts).mapInArrow(_asker(parts), BLOCKS)
     gathered = "home_id long, spans binary, asked binary"
-    homes = materialize(_dealt(asked, parts).mapInArrow(_gather, gathered), "homes")
+    homes = materialize(to_buckets(asked, parts).mapInArrow(_gather, gathered), "homes")
 
     # one shuffle of the texts for both joins
     texts = rows.withColumn("home_id", F.coalesce("doc_id", F.lit(NULL_ID))).repartition(shuffle_partitions(spark), "home_id")
     requests = homes.filter(F.length("asked") > 0).select("home_id", "asked").hint("shuffle_hash")
-    answered = texts.join(requests, "home_id").select("doc_id", "text", "asked").mapInArrow(_answerer(buckets), BLOCKS)
-    solved = _dealt(answered, parts).mapInArrow(_solver(parts), BLOCKS)
-    more = _dealt(solved, parts).mapInArrow(_gather, gathered).select("home_id", F.col("spans").alias("more"))
+    answered = texts.join(requests, "home_id").select("doc_id", "text", "asked").mapInArrow(_answerer(parts), BLOCKS)
+    solved = to_buckets(answered, parts).mapInArrow(_solver(parts), BLOCKS)
+    more = to_buckets(solved, parts).mapInArrow(_gather, gathered).select("home_id", F.col("spans").alias("more"))
     spans = homes.select("home_id", "spans").join(more, "home_id", "full").hint("shuffle_hash")
     done = texts.join(spans, "home_id", "left").select("doc_id", "text", "spans", "more")
     kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

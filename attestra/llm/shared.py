@@ -69,6 +69,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str,
     return found.unionByName(missed.join(cold, key, how))
 
 
+def to_buckets(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows dealt by column ``bucket``, bucket b to partition b modulo ``parts``, and sorted by it."""
+    return rows.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on equal keys in which null equals null; the keys of ``left`` remain."""
     other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

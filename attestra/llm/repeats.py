@@ -40,6 +40,8 @@ GRAM = 20
 SPAN = LEAST - GRAM + 1
 #: Bytes of entries in a partition on average.
 PARTITION = 8 << 20
+#: Buckets of anchors in a partition; a task holds one of them at a time.
+BUCKETS = 8
 #: Bytes of text read at a time.
 CHUNK = 1 << 20
 #: Entries that a task gathers before it deals them out.
@@ -86,11 +88,13 @@ def _deal(kind: int, keys: np.ndarray, kinds: dict[str, str], columns: dict[str,
 
 
 def _spread(values: np.ndarray, n: int) -> np.ndarray:
+    """Buckets for hashes. Anchors are least hashes, so they are mixed anew."""
+    values = mix(values ^ np.uint64(0x5BD1E995))
     return (((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def _home(docs: np.ndarray, n: int) -> np.ndarray:
-    return _spread(mix(docs.astype(np.int64).view(np.uint64)), n)
+    return _spread(docs.astype(np.int64).view(np.uint64), n)
 
 
 def _ids(rows: pa.RecordBatch) -> np.ndarray:
@@ -363,7 +367,7 @@ def without_repeats(documents: DataFrame, kept_bytes: bool = True) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total * 30 / 41 / PARTITION))
-    dealt = rows.mapInArrow(_anchor_dealer(parts, parts), BLOCKS)
+    dealt = rows.mapInArrow(_anchor_dealer(BUCKETS * parts, parts), BLOCKS)
     asked = to_buckets(dealt, parts).mapInArrow(_asker(parts), BLOCKS)
     gathered = "home_id long, spans binary, asked binary"
     homes = materialize(to_buckets(asked, parts).mapInArrow(_gather, gathered), "homes")
@@ -371,7 +375,7 @@ def without_repeats(documents: DataFrame, kept_bytes: bool = True) -> DataFrame:
     # one shuffle of the texts for both joins
     texts = rows.withColumn("home_id", F.coalesce("doc_id", F.lit(NULL_ID))).repartition(shuffle_partitions(spark), "home_id")
     requests = homes.filter(F.length("asked") > 0).select("home_id", "asked").hint("shuffle_hash")
-    answered = texts.join(requests, "home_id").select("doc_id", "text", "asked").mapInArrow(_answerer(parts), BLOCKS)
+    answered = texts.join(requests, "home_id").select("doc_id", "text", "asked").mapInArrow(_answerer(BUCKETS * parts), BLOCKS)
     solved = to_buckets(answered, parts).mapInArrow(_solver(parts), BLOCKS)
     more = to_buckets(solved, parts).mapInArrow(_gather, gathered).select("home_id", F.col("spans").alias("more"))
     spans = homes.select("home_id", "spans").join(more, "home_id", "full").hint("shuffle_hash")

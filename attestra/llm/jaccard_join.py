@@ -41,8 +41,8 @@ FREQUENT = 1 / 256
 MOST_MATCHES = 6
 VERIFY = 20.0
 #: Bytes of text read at a time, and shingles that a task gathers before it deals them out.
-CHUNK = 1 << 20
-GATHERED = 1_000_000
+CHUNK = 1 << 18
+GATHERED = 400_000
 #: Bytes of shingles in a partition on average.
 PARTITION = 16 << 20
 #: Leaders of a posting list's nodes in each round.

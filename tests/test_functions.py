@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions import cells as C
 from attestra.functions import dates as D
+from attestra.functions import fields as X
 from attestra.functions import html as H
 from attestra.functions import numbers as N
 from attestra.functions import scores as S
@@ -104,3 +105,13 @@ def test_html():
     assert found == [{"text": "hi", "tags": "a | b"}]
     assert H.metadata('<meta name="d" content="x"><title>T</title>') == {"d": "x", "title": "T"}
     assert len(H.visible_text("<div>" * 3000 + "deep")) == 4
+
+
+def test_fields(spark):
+    assert values(spark, X.normalized("company_name", F.col("v")), ["Acme Inc."]) == ["acme"] and values(spark, X.normalized("raised", F.col("v")), ["$2 million", " x "]) == ["2000000", "x"]
+    assert values(spark, X.acronym(F.col("v")), ["Amazon Web Services", "Acme"]) == ["aws", ""] and values(spark, X.reference_key(F.col("v")), ["Acme, Inc."]) == ["acme"]
+    assert X.label_fits("Founded", "founded_year") and X.label_fits("Head office city", "office_city") and not X.label_fits("Phone", "email")
+    assert X.lenient_json('```json\n{"a": 1}\n```') == {"a": 1} and X.lenient_json('{{"a": 1}}') == {"a": 1} and X.lenient_json("no") is None
+    assert len(values(spark, X.html_sample(F.col("v"), 100), ["x" * 1000])[0]) == 102
+    found = X.relocate('<div><p class="old">n</p><p class="price now">$5</p></div>', {"tag": "p", "parent_tag": "div", "text": "$6", "attrs": {"class": "price"}})
+    assert found.attrs["class"] == "price now" and X.relocate("<i>z</i>", {"tag": "p", "text": "abc", "attrs": {"a": "b"}}, 0.9) is None

@@ -46,7 +46,7 @@ GATHERED = 400_000
 #: Bytes of shingles in a partition on average.
 PARTITION = 16 << 20
 #: Leaders of a posting list's nodes in each round.
-LEADERS = (1, 4, 16)
+LEADERS = (1, 8)
 #: Nodes of a posting list that one task compares at a time, on average.
 POSTING = 50_000
 _ALWAYS = np.uint32(0xFFFFFFFF)
@@ -371,7 +371,6 @@ def links(live: DataFrame) -> DataFrame:
     held = (F.octet_length("shingles") / 8).cast("long").alias("held")
     posts = materialize(live.select("node", "n", held, "bitmap", "matches", F.explode("prefix").alias("token")), "posts")
     edges = spark.createDataFrame([], "a long, b long")
-    tested = edges
     found = spark.createDataFrame([], "node long, component long")
 
     def fits(n_x: Column, n_y: Column, held_x: Column, held_y: Column) -> Column:
@@ -395,10 +394,6 @@ def links(live: DataFrame) -> DataFrame:
         near = own.join(lead, "token").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("held"), F.col("lead.held")))
         near = near.filter((F.col("held") + F.col("lead.held") - apart("bitmap", "lead.bitmap")) * (100 + PERCENT) >= 2 * PERCENT * (F.col("n") + F.col("lead.n")))
         pairs = near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
         edges = materialize(edges.union(verified(pairs, live)), "links")
         found = components(edges)
     own = labelled()
@@ -417,7 +412,6 @@ def links(live: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     met = both.repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk").mapInArrow(_meet, MET)
     pairs = met.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_count, "a long, b long")
-    pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
     edges = materialize(edges.union(verified(pairs, live)), "links")
     return components(edges)
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A group is hot when it holds more than this share of all rows, so at most 1 / HOT_SHARE groups are hot.
@@ -195,19 +195,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", rounds: int
     Alternates the large-star and small-star steps of map-reduce connected components until the
     stars stand still; each step is written to the shared folder.
     """
-    spark = edges.sparkSession
-    now = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).filter("a <> b").distinct()
-    now = materialize(now, "edges")
+    now = edges.select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).filter("a <> b")
     before = None
     for _ in range(rounds):
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select("a", F.col("low").alias("b")).union(small.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct()
-        now = materialize(small, "edges")
-        said = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = Observation()
+        now = materialize(small.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+        said = (seen.get["n"], seen.get["x"])
         if said == before or not said[0]:
             break
         before = said

@@ -29,6 +29,8 @@ from .shared import Words, text_chunks
 
 BINS = 1 << 20
 STEMS = (4, 5, 6)
+#: Bytes of text read at a time.
+CHUNK = 1 << 19
 SCORED = "doc_id long, score double"
 
 
@@ -44,7 +46,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in text_chunks(batches):
+    for rows, texts in text_chunks(batches, CHUNK):
         owner, bins = features(texts)
         both = np.unique(owner * BINS + bins)
         ends = np.searchsorted(both, (np.arange(len(texts)) + 1) * BINS)
@@ -79,17 +81,17 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate:
     n = x_p.shape[1]
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
-    p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (x_p, x_u))
     first, second = np.zeros(n + 1), np.zeros(n + 1)
+    mean = lambda share, x: np.append((share @ x).astype(float), float(share.sum())) / len(x)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        single = w.astype(np.float32)
-        gp, gu = (p @ single).astype(float), (u @ single).astype(float)
+        single = w[:n].astype(np.float32)
+        gp, gu = (x_p @ single).astype(float) + w[n], (x_u @ single).astype(float) + w[n]
         as_negative = prior * np.logaddexp(0, gp).mean()
         rest = np.logaddexp(0, gu).mean() - as_negative
         known = sigmoid(gp).astype(np.float32)
-        up = -prior * ((1 - known) @ p).astype(float) / len(p)
-        down = (sigmoid(gu).astype(np.float32) @ u).astype(float) / len(u) - prior * (known @ p).astype(float) / len(p)
+        up = -prior * mean(1 - known, x_p)
+        down = mean(sigmoid(gu).astype(np.float32), x_u) - prior * mean(known, x_p)
         slope = up + down if rest >= 0 else -down
         slope[:n] += decay * w[:n]
         first = 0.9 * first + 0.1 * slope
@@ -99,7 +101,7 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate:
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 2000
+    documents: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 1500
 ) -> Model | None:
     """A model from confirmed positives and unlabelled documents; None without positives."""
     flags = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id is not null and toxic is not null")
@@ -112,7 +114,7 @@ def train(
     return fit([np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"]], [np.frombuffer(r["bag"], "<i4") for r in rows if not r["positive"]], prior, most_features)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 2000) -> Model | None:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 1500) -> Model | None:
     """A model from the bins of each positive and each unlabelled text.
 
     The class prior, unless given, comes from the data: a bin that negatives hardly hold is as much rarer among
@@ -147,7 +149,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
 
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, CHUNK):
             found = model.scores(texts) if model else np.zeros(len(texts))
             columns = [rows.column(c) for c in rows.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found)], [*(c for c in rows.schema.names if c != "text"), "score"])
@@ -179,7 +181,7 @@ def clean_rows(documents: DataFrame, labels: DataFrame, threshold: float = 0.5)
     kept = documents.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, CHUNK):
             found = model.scores(texts) if model else np.zeros(len(texts))
             yield rows.filter(pa.array(found < threshold)).select(kept)
 

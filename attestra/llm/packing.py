@@ -30,7 +30,10 @@ from pyspark.sql import functions as F
 from .shared import materialize, text_chunks
 
 #: Words whose ids a worker remembers before it starts anew.
-MOST_WORDS = 1_100_000
+MOST_WORDS = 800_000
+#: Bytes of text read, and words encoded, at a time.
+CHUNK = 1 << 20
+ENCODED = 8192
 PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long, level int"
 
 
@@ -80,10 +83,13 @@ class WordIds(dict):
         counts = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter((self[w] for words in split for w in words), np.int64, int(counts.sum()))
         if self.new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.new], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
+            parts, counts_of = [self.ids], []
+            for a in range(0, len(self.new), ENCODED):
+                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.new[a : a + ENCODED]], add_special_tokens=False)
+                lists = [e.ids for e in found]
+                counts_of += map(len, lists)
+                parts.append(np.fromiter((i for x in lists for i in x), np.uint32))
+            self.ids, sizes = np.concatenate(parts), np.array(counts_of, np.int64)
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.new = []
         start, sizes = self.first[numbers], self.first[numbers + 1] - self.first[numbers]
@@ -102,7 +108,7 @@ def _word_ids(path: str) -> WordIds:
 def _cutter(path: str, end_id: int, size: int, unit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
-        for rows, texts in text_chunks(batches):
+        for rows, texts in text_chunks(batches, CHUNK):
             ids, counts = words.encode(texts)
             ids = ids.astype("<u4")
             out: list[tuple] = []

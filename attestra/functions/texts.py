@@ -132,10 +132,10 @@ def repair_mojibake(value: pd.Series) -> pd.Series:
     return value.map(repaired)
 
 
-def chunks_of(text: str, size: int = 6000, overlap: int = 600, most: int = 4) -> list[str]:
-    """Overlapping stretches that end at the last blank line, else the last space, of their final ``overlap`` characters."""
+def chunks_of(text: str, size: int = 6000, overlap: int = 600, most: int | None = 4) -> list[str]:
+    """Overlapping stretches that end at the last blank line, else the last space, of their final ``overlap`` characters; at most ``most`` unless it is None."""
     out, start = [], 0
-    while start < len(text) and len(out) < most:
+    while start < len(text) and (most is None or len(out) < most):
         end = min(len(text), start + size)
         if end < len(text):
             zone = max(start + 1, end - overlap)
@@ -149,9 +149,14 @@ def chunks_of(text: str, size: int = 6000, overlap: int = 600, most: int = 4) ->
     return out
 
 
-@arrow_function("array<string>")
-def chunks(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: chunks_of(t or ""))
+def chunks(text: Column | str, most: int | None = 4) -> Column:
+    """``chunks_of`` each text."""
+
+    @arrow_function("array<string>")
+    def split(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: chunks_of(t or "", most=most))
+
+    return split(text)
 
 
 def indel_ratio(a: str, b: str) -> float:

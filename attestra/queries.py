@@ -546,7 +546,7 @@ def page_links_resolved(spark, sf_dir):
 
 @query()
 def chunks(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks("text")).alias("position", "chunk"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks("text", most=None)).alias("position", "chunk"))
 
 
 # entity resolution

@@ -93,6 +93,29 @@ def test_texts(spark):
     assert len(parts) == 3 and all(len(p) <= 6000 for p in parts) and long.startswith(parts[0])
 
 
+def test_chunks_cover_whole_texts(spark, tmp_path):
+    from attestra.queries import QUERIES
+
+    def plain(text, size=6000, overlap=600):
+        out, start = [], 0
+        while text[start:]:
+            rest = text[start : start + size]
+            if start + size >= len(text):
+                return [*out, rest]
+            cuts = [i for i in range(size - overlap, size) if rest[i : i + 2] == "\n\n"] or [i for i in range(size - overlap, size) if rest[i] == " "]
+            out.append(rest[: max(cuts, default=size)])
+            start += len(out[-1]) - overlap
+        return out
+
+    long = "".join(f"{i} wörd{' ' if i % 7 else '.'}" + ("\n\n" if i % 900 == 0 else "") for i in range(16000)) + "x" * 20000
+    texts = [long, "one two", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.position): r.chunk for r in QUERIES["chunks"](spark, str(tmp_path)).collect()}
+    want = {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(plain(t or ""))}
+    assert len(long) > 100000 and got == want and got[0, len(got) - 2].endswith(long[-1000:])
+    assert len(T.chunks_of(long)) == 4
+
+
 def test_html():
     page = "<html><head><title>T</title><script>x</script></head><body><nav>no</nav><p>One <b>two</b><p>three<ul><li>a<li>b</ul></body>"
     assert H.visible_text(page) == "One two\nthree\na\nb"

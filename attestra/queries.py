@@ -369,6 +369,59 @@ def reuse_semi(spark, sf_dir):
     return load(spark, sf_dir, "pages").filter("page_id % 2 = 0").select("page_id").join(seen, "page_id", "left_semi")
 
 
+# the joins above over whole tables: unmatched rows are those that the tables have
+
+_NUMBER = "CAST(regexp_extract({}, '[0-9]+', 0) AS BIGINT)"
+
+
+def _names_of_orders(spark, sf_dir):
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Cüstomer-"), F.col("o_custkey").cast("string")).alias("name"))
+
+
+def _names_of_customers(spark, sf_dir):
+    number = F.regexp_extract("c_name", "[0-9]+", 0).cast("long").cast("string")
+    return load(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("CUSTOMER #"), number, F.lit(" (stored)")).alias("name"))
+
+
+@query(f"WITH n AS (SELECT {_NUMBER.format('c_name')} AS number, min(c_custkey) AS matched_id FROM customer GROUP BY 1) SELECT o_orderkey, matched_id FROM orders JOIN n ON o_custkey = number")
+def identity_join_whole(spark, sf_dir):
+    return dedupe.identity_join(_names_of_orders(spark, sf_dir), _names_of_customers(spark, sf_dir), ["name"], "c_custkey")[0].select("o_orderkey", "matched_id")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = {_NUMBER.format('c_name')})")
+def identity_anti_unmatched_whole(spark, sf_dir):
+    return dedupe.identity_join(_names_of_customers(spark, sf_dir), _names_of_orders(spark, sf_dir), ["name"], "o_orderkey")[1].select("c_custkey")
+
+
+@query(f"""SELECT 'customers' AS dataset_id, count(*) AS n, string_agg('c' || c_custkey, ',' ORDER BY 'c' || c_custkey) FILTER (WHERE r <= 3) AS examples FROM
+    (SELECT c_custkey, row_number() OVER (ORDER BY 'c' || c_custkey) AS r FROM customer WHERE {_NUMBER.format('c_name')} IN (SELECT {_NUMBER.format('s_name')} FROM supplier)) HAVING count(*) > 0""")
+def cross_dataset_semi_whole(spark, sf_dir):
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long").cast("string")
+    own = load(spark, sf_dir, "supplier").select(number("s_name").alias("name"))
+    others = load(spark, sf_dir, "customer").select(F.lit("customers").alias("dataset_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("record_id"), number("c_name").alias("name"))
+    return dedupe.duplicates_across(own, others, ["name"])
+
+
+@query("SELECT page_id FROM pages WHERE page_id IN (SELECT event_id FROM events)")
+def reuse_semi_whole(spark, sf_dir):
+    seen = load(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"))
+    return load(spark, sf_dir, "pages").select("page_id").join(seen, "page_id", "left_semi")
+
+
+@query("(SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier")
+def intersect_except_whole(spark, sf_dir):
+    nations, customers, suppliers = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
+    return nations.select("n_nationkey").intersect(customers.select("c_nationkey")).exceptAll(suppliers.select("s_nationkey"))
+
+
+@query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders
+    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) GROUP BY 1""")
+def insert_or_ignore_whole(spark, sf_dir):
+    stored = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    fresh = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumn("seq", F.col("o_orderkey"))
+    return records.first_per_key(records.insert_new(stored, fresh, ["o_custkey"]), ["o_custkey"], "seq").drop("seq")
+
+
 def _folded(c: str) -> str:
     return f"lower(regexp_replace(regexp_replace(regexp_replace({c}, '[*_`]', '', 'g'), '\\s+', ' ', 'g'), '^ ', ''))"
 

@@ -4,10 +4,12 @@ Training data are documents labelled toxic and documents taken without their lab
 classifier g is estimated as prior * R+(g) + max(0, Ru-(g) - prior * R+-(g)), where R+ is the loss of
 positives, R+- their loss as negatives and Ru- the loss of unlabelled rows as negatives; when the
 bracket falls below zero its gradient is reversed, which keeps a flexible model from overfitting.
+The loss is logistic; as a few long texts can outweigh all others in it when toxic text is common, a
+second model is fitted with the bounded sigmoid loss, and kept if its estimated errors are fewer beyond chance.
 
 Features are the words of a text and their beginnings (so that a stem is learnt in languages that
-inflect), hashed to BINS bins; a bin enters the model if positives hold it clearly more often than
-unlabelled rows. A numpy logistic model is trained on at most ``most_positive`` and
+inflect), hashed to BINS bins; a bin enters the model if positives hold it significantly more often than
+unlabelled rows, whatever share of these is toxic (if nearly all are, nothing tells them apart and no bin enters). A numpy logistic model is trained on at most ``most_positive`` and
 ``most_unlabelled`` rows, taken by hash of the id; every whole text is scored.
 
 Defined results: null text is empty and gets the score of a text without features; repeated rows get
@@ -76,8 +78,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative positive-unlabelled risk with the logistic loss (Adam)."""
+def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, bounded: bool = False) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative positive-unlabelled risk with the logistic or the (bounded) sigmoid loss (Adam)."""
     n = x_p.shape[1]
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
@@ -87,11 +89,15 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate:
     for t in range(1, steps + 1):
         single = w[:n].astype(np.float32)
         gp, gu = (x_p @ single).astype(float) + w[n], (x_u @ single).astype(float) + w[n]
-        as_negative = prior * np.logaddexp(0, gp).mean()
-        rest = np.logaddexp(0, gu).mean() - as_negative
-        known = sigmoid(gp).astype(np.float32)
-        up = -prior * mean(1 - known, x_p)
-        down = mean(sigmoid(gu).astype(np.float32), x_u) - prior * mean(known, x_p)
+        known, open_ = sigmoid(gp).astype(np.float32), sigmoid(gu).astype(np.float32)
+        if bounded:
+            rest = float(open_.mean()) - prior * float(known.mean())
+            known, open_ = known * (1 - known), open_ * (1 - open_)
+            up = -prior * mean(known, x_p)
+        else:
+            rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            up = -prior * mean(1 - known, x_p)
+        down = mean(open_, x_u) - prior * mean(known, x_p)
         slope = up + down if rest >= 0 else -down
         slope[:n] += decay * w[:n]
         first = 0.9 * first + 0.1 * slope
@@ -100,6 +106,12 @@ def nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate:
     return w[:n], float(w[n])
 
 
+def errors(x_p: np.ndarray, x_u: np.ndarray, prior: float, weights: np.ndarray, bias: float) -> float:
+    """The estimated share of wrong decisions."""
+    found_p, found_u = ((x @ weights.astype(np.float32) + bias >= 0).mean() for x in (x_p, x_u))
+    return prior * (1 - found_p) + max(0.0, found_u - prior * found_p)
+
+
 def train(
     documents: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 1500
 ) -> Model | None:
@@ -118,7 +130,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
     """A model from the bins of each positive and each unlabelled text.
 
     The class prior, unless given, comes from the data: a bin that negatives hardly hold is as much rarer among
-    unlabelled rows than among positives as positives are rare, so the strongest bins give the ratio.
+    unlabelled rows than among positives as positives are rare, so the bins whose ratio is surely lowest give it.
     """
     bags = {1: positive, 0: unlabelled}
     if not positive or not unlabelled:
@@ -126,8 +138,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
     n_p, n_u = len(bags[1]), len(bags[0])
     in_p, in_u = (np.bincount(np.concatenate(bags[k]), minlength=BINS).astype(float) for k in (1, 0))
     rate_p, rate_u = in_p / n_p, (in_u + 0.5) / (n_u + 1)
-    z = (rate_p - rate_u) / np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) / n_p + 1e-9)
-    good = np.flatnonzero((in_p >= 3) & (rate_p > 2 * rate_u) & (z > 5))
+    z = (rate_p - rate_u) / np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) * (1 / n_p + 1 / n_u) + 1e-9)
+    good = np.flatnonzero((in_p >= 3) & (z > 5))
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:most_features]])
     where = np.full(BINS, -1)
     where[good] = np.arange(len(good))
@@ -141,10 +153,15 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
 
     if not len(good):
         return Model(good, np.zeros(0), -5.0)
-    strong = good[np.argsort(-z[good], kind="stable")[:20]]
-    prior = prior or float(np.clip(rate_u[strong].sum() / rate_p[strong].sum(), 0.001, 0.5))
-    weights, bias = nnpu(dense(bags[1]), dense(bags[0]), prior)
-    return Model(good, weights, bias)
+    # the ratio of rates with two standard errors of its logarithm
+    surely = np.log(rate_u[good] / rate_p[good]) + 2 * np.sqrt(1 / in_p[good] + 1 / (in_u[good] + 0.5))
+    strong = good[np.argsort(surely, kind="stable")[:20]]
+    prior = prior or float(np.clip(rate_u[strong].sum() / rate_p[strong].sum(), 0.001, 0.999))
+    x_p, x_u = dense(bags[1]), dense(bags[0])
+    logistic, sigmoid = (nnpu(x_p, x_u, prior, bounded=b) for b in (False, True))
+    chance = 2 * np.sqrt(0.25 / n_u + 0.25 * prior**2 / n_p)  # two standard errors at most
+    fewer = errors(x_p, x_u, prior, *sigmoid) + chance < errors(x_p, x_u, prior, *logistic)
+    return Model(good, *(sigmoid if fewer else logistic))
 
 
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

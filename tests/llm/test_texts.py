@@ -334,6 +334,26 @@ def test_toxicity(spark):
     assert right >= 0.97 * len(held) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
 
 
+@pytest.mark.parametrize("share", [0.6, 0.8])
+def test_toxicity_when_toxic_text_is_common(spark, share):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    rows = []
+    for i in range(1500):
+        toxic = i % 10 < share * 10
+        # "edge" is held by half of the toxic and a tenth of the clean texts
+        text = [rng.choice(words) for _ in range(rng.choice([5, 60, 900]))] + rng.sample(["zonk", "blarg", "vexing"], 2) * toxic + ["edge"] * (rng.random() < (0.5 if toxic else 0.1))
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), int(toxic)))
+    documents = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows if i % 3], "doc_id long, quality int, toxic int")
+    got = toxicity.assess(documents, labels).filter("held_out").collect()
+    right = {t: [r.predicted == t for r in got if rows[r.doc_id][2] == t] for t in (0, 1)}
+    assert all(sum(x) >= 0.95 * len(x) > 0 for x in right.values()), {t: (sum(x), len(x)) for t, x in right.items()}
+    kept = {r.doc_id for r in toxicity.clean_rows(documents, labels).collect()}
+    assert sum(rows[i][2] for i in kept) <= 0.05 * 1500 * share and sum(1 - rows[i][2] for i in kept) >= 0.95 * 1500 * (1 - share)
+
+
 def test_toxicity_without_positives(spark, documents):
     got = toxicity.assess(documents, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert {r.score for r in got} == {0.0}

@@ -9,8 +9,8 @@ second model is fitted with the bounded sigmoid loss, and kept if its estimated
 
 Features are the words of a text and their beginnings (so that a stem is learnt in languages that
 inflect), hashed to BINS bins; a bin enters the model if positives hold it significantly more often than
-unlabelled rows, whatever share of these is toxic (if nearly all are, nothing tells them apart and no bin enters). A numpy logistic model is trained on at most ``most_positive`` and
-``most_unlabelled`` rows, taken by hash of the id; every whole text is scored.
+unlabelled rows of the training sample, whatever share of these is toxic (if nearly all are, nothing tells them apart and no bin enters). A numpy logistic model of at most ``most_features`` bins is trained on at most ``most_positive`` and
+``most_unlabelled`` rows, taken by hash of the id; the class prior is counted over all documents, and every whole text is scored.
 
 Defined results: null text is empty and gets the score of a text without features; repeated rows get
 equal scores; labels that are null, contradict each other (the largest counts) or name no document
@@ -59,6 +59,51 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("positive"), pa.array(out, pa.binary())], ["positive", "bag"])
 
 
+def _holding(strong: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the rows of a task: their number and how many hold each of some bins."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = np.full(BINS, -1, np.int32)
+        where[strong] = np.arange(len(strong))
+        rows, held = 0, np.zeros(len(strong), np.int64)
+        for _, texts in text_chunks(batches, CHUNK):
+            owner, bins = features(texts)
+            found = where[bins]
+            both = np.unique(owner[found >= 0] * len(strong) + found[found >= 0])
+            held += np.bincount(both % len(strong), minlength=len(strong))
+            rows += len(texts)
+        yield pa.RecordBatch.from_arrays([pa.array([rows, *held.tolist()], pa.int64()), pa.array(range(-1, len(strong)), pa.int64())], ["n", "place"])
+
+    return count
+
+
+def rates_of(documents: DataFrame, strong: np.ndarray) -> np.ndarray:
+    """The share of all documents that hold each of some bins."""
+    found = documents.select("text").mapInArrow(_holding(strong), "n long, place long").groupBy("place").agg(F.sum("n").alias("n"))
+    n = {r.place: r.n for r in found.collect()}
+    return (np.array([n[k] for k in range(len(strong))]) + 0.5) / (n[-1] + 1)
+
+
+class Rows:
+    """A matrix of zeros and ones by the columns of the ones of each row."""
+
+    __array_ufunc__ = None  # so that numpy leaves products to this class
+
+    def __init__(self, columns: list[np.ndarray], width: int):
+        self.shape = (len(columns), width)
+        self.row = np.repeat(np.arange(len(columns), dtype=np.int32), [len(c) for c in columns])
+        self.column = np.concatenate([*columns, np.zeros(0, np.int32)]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __matmul__(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.column], self.shape[0])
+
+    def __rmatmul__(self, share: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, share[self.row], self.shape[1])
+
+
 class Model:
     """Weights by bin and a bias; ``score`` is the logistic function of bias plus the weights of the bins present."""
 
@@ -113,24 +158,27 @@ def errors(x_p: np.ndarray, x_u: np.ndarray, prior: float, weights: np.ndarray,
 
 
 def train(
-    documents: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 1500
+    documents: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, prior: float | None = None, most_features: int = 2000
 ) -> Model | None:
     """A model from confirmed positives and unlabelled documents; None without positives."""
     flags = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id is not null and toxic is not null")
     order = F.xxhash64("doc_id", F.lit(7))
-    positive = flags.filter("toxic > 0").select("doc_id").orderBy(order, "doc_id").limit(most_positive).withColumn("positive", F.lit(1))
+    positive = flags.filter("toxic > 0").select("doc_id").join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_positive).withColumn("positive", F.lit(1))
     others = documents.filter("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct().withColumn("positive", F.lit(0))
     # both lists are bounded by the parameters
     chosen = F.broadcast(positive.unionByName(others))
     rows = documents.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_bags, "positive int, bag binary").collect()
-    return fit([np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"]], [np.frombuffer(r["bag"], "<i4") for r in rows if not r["positive"]], prior, most_features)
+    return fit([np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"]], [np.frombuffer(r["bag"], "<i4") for r in rows if not r["positive"]], prior, most_features, lambda strong: rates_of(documents, strong))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 1500) -> Model | None:
+def fit(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 2000, rates: Callable[[np.ndarray], np.ndarray] | None = None
+) -> Model | None:
     """A model from the bins of each positive and each unlabelled text.
 
     The class prior, unless given, comes from the data: a bin that negatives hardly hold is as much rarer among
     unlabelled rows than among positives as positives are rare, so the bins whose ratio is surely lowest give it.
+    ``rates`` gives the shares of all documents that hold some bins; without it they come from ``unlabelled``.
     """
     bags = {1: positive, 0: unlabelled}
     if not positive or not unlabelled:
@@ -144,20 +192,18 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float |
     where = np.full(BINS, -1)
     where[good] = np.arange(len(good))
 
-    def dense(some: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(some), len(good)), np.float32)
-        for i, bag in enumerate(some):
-            at = where[bag]
-            x[i, at[at >= 0]] = 1
-        return x
+    def sparse(some: list[np.ndarray]) -> Rows:
+        return Rows([(at := where[bag])[at >= 0] for bag in some], len(good))
 
     if not len(good):
         return Model(good, np.zeros(0), -5.0)
     # the ratio of rates with two standard errors of its logarithm
     surely = np.log(rate_u[good] / rate_p[good]) + 2 * np.sqrt(1 / in_p[good] + 1 / (in_u[good] + 0.5))
     strong = good[np.argsort(surely, kind="stable")[:20]]
-    prior = prior or float(np.clip(rate_u[strong].sum() / rate_p[strong].sum(), 0.001, 0.999))
-    x_p, x_u = dense(bags[1]), dense(bags[0])
+    if not prior:
+        among = rates(strong) if rates else rate_u[strong]
+        prior = float(np.clip(among.sum() / rate_p[strong].sum(), 1e-6, 0.999))
+    x_p, x_u = sparse(bags[1]), sparse(bags[0])
     logistic, sigmoid = (nnpu(x_p, x_u, prior, bounded=b) for b in (False, True))
     chance = 2 * np.sqrt(0.25 / n_u + 0.25 * prior**2 / n_p)  # two standard errors at most
     fewer = errors(x_p, x_u, prior, *sigmoid) + chance < errors(x_p, x_u, prior, *logistic)

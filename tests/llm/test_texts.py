@@ -354,6 +354,18 @@ def test_toxicity_when_toxic_text_is_common(spark, share):
     assert sum(rows[i][2] for i in kept) <= 0.05 * 1500 * share and sum(1 - rows[i][2] for i in kept) >= 0.95 * 1500 * (1 - share)
 
 
+def test_toxicity_counts_the_prior_over_all_documents(spark, monkeypatch):
+    rows = [(i, f"common{i % 49} words " + ("zonk blarg" if i % 20 == 0 else "plain talk")) for i in range(4000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(0, 2000, 20)] + [(i, 1, 1) for i in range(10000, 12000)], "doc_id long, quality int, toxic int")
+    seen, plain = [], toxicity.nnpu
+    monkeypatch.setattr(toxicity, "nnpu", lambda x_p, x_u, prior, **more: seen.append((len(x_p), prior)) or plain(x_p, x_u, prior, **more))
+    model = toxicity.train(documents, labels, most_positive=100, most_unlabelled=60)
+    # labels without a document take no place, and the prior is that of the 4000 documents, not of the sample of 60
+    assert seen[0][0] == 100 and abs(seen[0][1] - 0.05) < 0.001
+    assert (model.scores([b"zonk blarg", b"plain talk"]) >= 0.5).tolist() == [True, False]
+
+
 def test_toxicity_without_positives(spark, documents):
     got = toxicity.assess(documents, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert {r.score for r in got} == {0.0}

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 
 from .arrow import arrow_function
 
@@ -87,8 +88,8 @@ def visible_text(html: str | None) -> str:
     return parse(html).text(HIDDEN)
 
 
-def links_of(html: str | None, base: str | None, limit: int = 200) -> list[dict]:
-    """Absolute http links with their anchors in order, each once."""
+def links_of(html: str | None, base: str | None, limit: int | None = 200, longest: int | None = 2000) -> list[dict]:
+    """Absolute http links with their anchors in order, each once; None for no limit of their number or length."""
     out, seen = [], set()
     for node in parse(html).walk():
         target = node.attrs.get("href") if node.tag in ("a", "link") else node.attrs.get("data-href")
@@ -99,7 +100,7 @@ def links_of(html: str | None, base: str | None, limit: int = 200) -> list[dict]
             host = urlsplit(url).hostname
         except ValueError:
             continue
-        if not url.lower().startswith(("http://", "https://")) or url in seen or len(url) > 2000:
+        if not url.lower().startswith(("http://", "https://")) or url in seen or (longest is not None and len(url) > longest):
             continue
         seen.add(url)
         out.append({"position": len(out), "url": url, "host": host or "", "anchor": node.text()})
@@ -263,9 +264,14 @@ def page_text(html: pd.Series) -> pd.Series:
     return html.map(visible_text)
 
 
-@arrow_function("array<struct<position:int,url:string,host:string,anchor:string>>")
-def page_links(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([links_of(h, b) for h, b in zip(html, base, strict=True)], index=html.index)
+def page_links(html: Column | str, base: Column | str, limit: int | None = 200, longest: int | None = 2000) -> Column:
+    """``links_of`` each page."""
+
+    @arrow_function("array<struct<position:int,url:string,host:string,anchor:string>>")
+    def found(html: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([links_of(h, b, limit, longest) for h, b in zip(html, base, strict=True)], index=html.index)
+
+    return found(html, base)
 
 
 @arrow_function("array<struct<kind:string,url:string,alt:string>>")

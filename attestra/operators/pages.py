@@ -31,9 +31,9 @@ def stale_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(~F.col("reducer_version").eqNullSafe(F.lit(REDUCER_VERSION)))
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """page_id, position, url, host, anchor, canonical of each link."""
-    return pages.select("page_id", F.explode(H.page_links("html", "url")).alias("l")).select("page_id", "l.*", canonical_url(F.col("l.url")).alias("canonical"))
+def links(pages: DataFrame, limit: int | None = 200, longest: int | None = 2000) -> DataFrame:
+    """page_id, position, url, host, anchor, canonical of each link; None for no limit of their number or length."""
+    return pages.select("page_id", F.explode(H.page_links("html", "url", limit, longest)).alias("l")).select("page_id", "l.*", canonical_url(F.col("l.url")).alias("canonical"))
 
 
 def hrefs(pages: DataFrame) -> DataFrame:

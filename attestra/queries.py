@@ -594,7 +594,7 @@ def html_text(spark, sf_dir):
 
 @query()
 def page_links_resolved(spark, sf_dir):
-    return pages.links(load(spark, sf_dir, "pages"))
+    return pages.links(load(spark, sf_dir, "pages"), limit=None, longest=None)
 
 
 @query()
@@ -684,5 +684,5 @@ def search_plausibility(spark, sf_dir):
 
 @query()
 def link_scores(spark, sf_dir):
-    found = pages.links(load(spark, sf_dir, "pages"))
+    found = pages.links(load(spark, sf_dir, "pages"), limit=None, longest=None)
     return found.select("page_id", "position", crawl.link_score(F.col("url"), F.col("anchor"), ["thing", "and"]).alias("score"))

@@ -130,6 +130,17 @@ def test_html():
     assert len(H.visible_text("<div>" * 3000 + "deep")) == 4
 
 
+def test_links_of_a_directory_page(spark, tmp_path):
+    from attestra.queries import QUERIES
+
+    urls = [f"https://h/thing/{i}" for i in range(1000)] + ["https://h/" + "x" * 3000]
+    rows = [(1, "https://h/", "".join(f'<a href="{u}">thing</a>' for u in urls)), (2, "https://h/", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.position: r.url for r in QUERIES["page_links_resolved"](spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(got))] == urls
+    assert QUERIES["link_scores"](spark, str(tmp_path)).count() == len(urls) and len(H.links_of(rows[0][2], "https://h/")) == 200
+
+
 def test_fields(spark):
     assert values(spark, X.normalized("company_name", F.col("v")), ["Acme Inc."]) == ["acme"] and values(spark, X.normalized("raised", F.col("v")), ["$2 million", " x "]) == ["2000000", "x"]
     assert values(spark, X.acronym(F.col("v")), ["Amazon Web Services", "Acme"]) == ["aws", ""] and values(spark, X.reference_key(F.col("v")), ["Acme, Inc."]) == ["acme"]

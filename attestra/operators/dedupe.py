@@ -87,19 +87,21 @@ def similar_pairs(rows: DataFrame, keys: list[str], ordinal: str, threshold: flo
     return met.withColumn("similarity", similarity("stems_a", "stems_b")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def leaders(rows: DataFrame, pairs: DataFrame, ordinal: str, rounds: int = 50) -> DataFrame:
+def leaders(rows: DataFrame, pairs: DataFrame, ordinal: str, rounds: int | None = None) -> DataFrame:
     """(ordinal, leader): each row joins the earliest leader it is alike, in order; leaders join none.
 
-    A row whose earlier partners have all joined others leads itself. Rounds settle the rows whose partners are settled.
+    A row whose earlier partners have all joined others leads itself. Rounds settle the rows whose partners are settled,
+    until none waits; more than ``rounds`` of them, if given, or a partner that is no row raise an error.
     """
     checkpoint_folder(rows.sparkSession)
     nodes = rows.select(F.col(ordinal).alias("node"))
     first = pairs.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     settled = nodes.join(first, "node", "left_anti").select("node", F.col("node").alias("leader"))
     waiting = first.select("node")
-    for _ in range(rounds):
-        if waiting.isEmpty():
-            return settled
+    left, done = waiting.count(), 0
+    while left:
+        if done == rounds:
+            raise RuntimeError(f"{left} rows wait after {rounds} rounds")
         open_pairs = pairs.join(waiting, pairs["b"] == waiting["node"], "left_semi")
         known = open_pairs.join(settled.withColumnRenamed("node", "a"), "a", "left")
         # a partner that leads itself decides if no earlier partner is open
@@ -108,7 +110,10 @@ def leaders(rows: DataFrame, pairs: DataFrame, ordinal: str, rounds: int = 50) -
         )
         ready = state.filter("open is null or lead < open").select(F.col("b").alias("node"), F.coalesce("lead", "b").alias("leader"))
         settled = settled.union(ready).checkpoint()
-        waiting = waiting.join(settled, "node", "left_anti")
+        waiting = waiting.join(settled, "node", "left_anti").checkpoint()
+        before, left, done = left, waiting.count(), done + 1
+        if left == before:
+            raise RuntimeError(f"{left} rows have a partner that is no row")
     return settled
 
 

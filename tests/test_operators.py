@@ -31,6 +31,12 @@ def test_fuzzy_leaders_are_not_transitive(spark):
     assert (1, 2) in found and (4, 5) not in found
     lead = {r.node: r.leader for r in dedupe.leaders(rows, spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"), "id").collect()}
     assert lead == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 6)], "a int, b int")
+    assert {r.node: r.leader for r in dedupe.leaders(rows, chain, "id").collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+    with pytest.raises(RuntimeError):
+        dedupe.leaders(rows, chain, "id", rounds=2)
+    with pytest.raises(RuntimeError):
+        dedupe.leaders(rows, spark.createDataFrame([(0, 2)], "a int, b int"), "id")
     with pytest.raises(NotImplementedError):
         dedupe.refuse_semantic()
 

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, text_chunks
 
-#: Words whose ids a worker remembers before it starts anew.
-MOST_WORDS = 800_000
+#: Words, and their bytes, that a worker remembers; beyond either it keeps the half most used.
+MOST_WORDS = 300_000
+MOST_BYTES = 16 << 20
 #: Bytes of text read, and words encoded, at a time.
 CHUNK = 1 << 20
 ENCODED = 8192
@@ -69,16 +70,34 @@ class WordIds(dict):
         self.new: list[bytes] = []
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
         self.new.append(word)
+        self.bytes += len(word)
         return at
 
+    def trim(self) -> None:
+        """Keep the words most used that fill at most half of either bound; their uses count half from now on."""
+        words = list(self)
+        order = np.argsort(-self.uses, kind="stable")[: MOST_WORDS // 2]
+        sizes = np.fromiter((len(words[i]) for i in order.tolist()), np.int64, len(order))
+        kept = np.sort(order[np.cumsum(sizes) <= MOST_BYTES // 2])
+        counts = np.diff(self.first)[kept]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.first[kept] - (ends - counts), counts)]
+        uses = self.uses[kept] // 2
+        self.reset()
+        self.update((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.ids, self.first, self.uses, self.bytes = ids, np.concatenate([[0], ends]), uses, sum(map(len, self))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self) > MOST_WORDS:
-            self.reset()
+        if len(self) > MOST_WORDS or self.bytes > MOST_BYTES:
+            self.trim()
         split = [t.split() if b"<|" in t else self.stop.sub(rb" \1", t.translate(self.lower)).split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         numbers = np.fromiter((self[w] for words in split for w in words), np.int64, int(counts.sum()))
@@ -92,6 +111,9 @@ class WordIds(dict):
             self.ids, sizes = np.concatenate(parts), np.array(counts_of, np.int64)
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
             self.new = []
+        seen = np.bincount(numbers, minlength=len(self))
+        seen[: len(self.uses)] += self.uses
+        self.uses = seen
         start, sizes = self.first[numbers], self.first[numbers + 1] - self.first[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -152,6 +174,24 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. Threads of a linear algebra library can wait for ever in a driver that has started a JVM; this has none."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], 1)
+    for i in range(n):
+        j = i + int(np.argmax(np.abs(both[i:, i])))
+        both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= factor[:, None] * both[i]
+    return both[:, n:]
+
+
+def product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def cutting_stock(demand: np.ndarray, capacity: int, most_columns: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use each so that every piece of ``demand`` (by length, from 1) has one slot.
 
@@ -169,16 +209,16 @@ def cutting_stock(demand: np.ndarray, capacity: int, most_columns: int = 4000) -
     x = wanted / fill
     for step in range(most_columns):
         if step and step % 100 == 0:
-            inverse = np.linalg.inv(np.array(basis, float).T)
-            x = np.maximum(inverse @ wanted, 0)
-        prices = np.ones(m) @ inverse
+            inverse = inverted(np.array(basis, float).T)
+            x = np.maximum(product(inverse, wanted), 0)
+        prices = inverse.sum(0)
         offered = np.zeros(capacity)
         offered[levels - 1] = prices
         value, pattern = knapsack(offered, capacity)
         if value <= 1 + 1e-4:
             break
         column = pattern[levels - 1]
-        moved = inverse @ column
+        moved = product(inverse, column.astype(float))
         limits = np.where(moved > 1e-9, x / np.where(moved > 1e-9, moved, 1), np.inf)
         out = int(np.argmin(limits))
         if not np.isfinite(limits[out]):

@@ -11,11 +11,11 @@ from .exact_dedup import mark_copies
 from .jaccard_join import near_components
 from .packing import pack
 from .repeats import without_repeats
-from .shared import table
+from .shared import spread, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents")))
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(table(spark, sf_dir, "documents"), kept_bytes=False)
+    return without_repeats(spread(table(spark, sf_dir, "documents")), kept_bytes=False)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +43,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.assess(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.described(flac.media_column(table(spark, sf_dir, "documents")))
+    return flac.described(flac.media_column(spread(table(spark, sf_dir, "documents"))))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

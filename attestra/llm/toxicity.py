@@ -10,7 +10,9 @@ second model is fitted with the bounded sigmoid loss, and kept if its estimated
 Features are the words of a text and their beginnings (so that a stem is learnt in languages that
 inflect), hashed to BINS bins; a bin enters the model if positives hold it significantly more often than
 unlabelled rows of the training sample, whatever share of these is toxic (if nearly all are, nothing tells them apart and no bin enters). A numpy logistic model of at most ``most_features`` bins is trained on at most ``most_positive`` and
-``most_unlabelled`` rows, taken by hash of the id; the class prior is counted over all documents, and every whole text is scored.
+``most_unlabelled`` rows, taken by hash of the id; the class prior is counted over all documents, and every whole text,
+however long, is scored. Bins are counted and chosen by tasks; the driver gets the chosen bins, and of each training row the
+columns among them, so at most (most_positive + most_unlabelled) * most_features numbers whatever the texts are.
 
 Defined results: null text is empty and gets the score of a text without features; repeated rows get
 equal scores; labels that are null, contradict each other (the largest counts) or name no document
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, text_chunks
+from .shared import Words, materialize, text_chunks
 
 BINS = 1 << 20
 STEMS = (4, 5, 6)
@@ -59,6 +61,47 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("positive"), pa.array(out, pa.binary())], ["positive", "bag"])
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the bags of a task: how many of either kind there are (bin -1) and how many hold each bin."""
+    rows, held = np.zeros(2, np.int64), np.zeros((2, BINS), np.int32)
+    for batch in batches:
+        for kind, bag in zip(batch.column("positive").to_pylist(), batch.column("bag").to_pylist(), strict=True):
+            rows[kind] += 1
+            held[kind, np.frombuffer(bag, "<i4")] += 1
+    bins = np.flatnonzero(held.any(0))
+    columns = [np.append(bins, -1), *(np.append(held[k, bins], rows[k]).astype(np.int64) for k in (1, 0))]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bin", "in_p", "in_u"])
+
+
+def _entered(good: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bags as the columns of the bins that entered the model."""
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = np.full(BINS, -1, np.int32)
+        where[good] = np.arange(len(good))
+        for batch in batches:
+            found = [where[np.frombuffer(bag, "<i4")] for bag in batch.column("bag").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([f[f >= 0].astype("<i4").tobytes() for f in found], pa.binary())], ["positive", "columns"])
+
+    return enter
+
+
+def chosen_bins(bags: DataFrame, most_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(bins, positives and unlabelled rows that hold each, number of positives and of unlabelled rows).
+
+    A bin is chosen if positives hold it significantly more often; of more than ``most_features`` those of most significance.
+    """
+    counts = materialize(bags.mapInArrow(_tally, "bin long, in_p long, in_u long").groupBy("bin").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")), "bins")
+    n_p, n_u = counts.filter("bin = -1").select("in_p", "in_u").first() or (0, 0)
+    if not n_p or not n_u:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0), n_p, n_u
+    rate_p, rate_u = F.col("in_p") / n_p, (F.col("in_u") + 0.5) / (n_u + 1)
+    z = (rate_p - rate_u) / F.sqrt(rate_u * (1 - F.least(rate_u, F.lit(0.999))) * (1 / n_p + 1 / n_u) + 1e-9)
+    rows = counts.filter("bin >= 0 and in_p >= 3").withColumn("z", z).filter("z > 5").orderBy(F.desc("z"), "bin").limit(most_features).select("bin", "in_p", "in_u").collect()
+    found = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, 3)
+    return found[:, 0], found[:, 1].astype(float), found[:, 2].astype(float), n_p, n_u
+
+
 def _holding(strong: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of the rows of a task: their number and how many hold each of some bins."""
 
@@ -167,47 +210,39 @@ def train(
     others = documents.filter("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(most_unlabelled).distinct().withColumn("positive", F.lit(0))
     # both lists are bounded by the parameters
     chosen = F.broadcast(positive.unionByName(others))
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_bags, "positive int, bag binary").collect()
-    return fit([np.frombuffer(r["bag"], "<i4") for r in rows if r["positive"]], [np.frombuffer(r["bag"], "<i4") for r in rows if not r["positive"]], prior, most_features, lambda strong: rates_of(documents, strong))
+    bags = materialize(documents.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(_bags, "positive int, bag binary"), "bags")
+    good, in_p, in_u, n_p, n_u = chosen_bins(bags, most_features)
+    if not n_p or not n_u:
+        return None
+    if not len(good):
+        return Model(good, np.zeros(0), -5.0)
+    if not prior:
+        prior = class_prior(good, in_p, in_u, n_p, n_u, lambda strong: rates_of(documents, strong))
+    columns: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in bags.mapInArrow(_entered(good), "positive int, columns binary").collect():
+        columns[r["positive"]].append(np.frombuffer(r["columns"], "<i4"))
+    return Model(good, *fit(Rows(columns[1], len(good)), Rows(columns[0], len(good)), prior))
 
 
-def fit(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None, most_features: int = 2000, rates: Callable[[np.ndarray], np.ndarray] | None = None
-) -> Model | None:
-    """A model from the bins of each positive and each unlabelled text.
+def class_prior(good: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, rates: Callable[[np.ndarray], np.ndarray]) -> float:
+    """The share of positives among all documents.
 
-    The class prior, unless given, comes from the data: a bin that negatives hardly hold is as much rarer among
-    unlabelled rows than among positives as positives are rare, so the bins whose ratio is surely lowest give it.
-    ``rates`` gives the shares of all documents that hold some bins; without it they come from ``unlabelled``.
+    A bin that negatives hardly hold is as much rarer among all rows than among positives as positives are rare, so
+    the bins whose ratio is surely lowest give it. ``rates`` gives the shares of all documents that hold some bins.
     """
-    bags = {1: positive, 0: unlabelled}
-    if not positive or not unlabelled:
-        return None
-    n_p, n_u = len(bags[1]), len(bags[0])
-    in_p, in_u = (np.bincount(np.concatenate(bags[k]), minlength=BINS).astype(float) for k in (1, 0))
     rate_p, rate_u = in_p / n_p, (in_u + 0.5) / (n_u + 1)
-    z = (rate_p - rate_u) / np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) * (1 / n_p + 1 / n_u) + 1e-9)
-    good = np.flatnonzero((in_p >= 3) & (z > 5))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:most_features]])
-    where = np.full(BINS, -1)
-    where[good] = np.arange(len(good))
+    # the ratio of rates with two standard errors of its logarithm
+    surely = np.log(rate_u / rate_p) + 2 * np.sqrt(1 / in_p + 1 / (in_u + 0.5))
+    strong = np.argsort(surely, kind="stable")[:20]
+    return float(np.clip(rates(good[strong]).sum() / rate_p[strong].sum(), 1e-6, 0.999))
 
-    def sparse(some: list[np.ndarray]) -> Rows:
-        return Rows([(at := where[bag])[at >= 0] for bag in some], len(good))
 
-    if not len(good):
-        return Model(good, np.zeros(0), -5.0)
-    # the ratio of rates with two standard errors of its logarithm
-    surely = np.log(rate_u[good] / rate_p[good]) + 2 * np.sqrt(1 / in_p[good] + 1 / (in_u[good] + 0.5))
-    strong = good[np.argsort(surely, kind="stable")[:20]]
-    if not prior:
-        among = rates(strong) if rates else rate_u[strong]
-        prior = float(np.clip(among.sum() / rate_p[strong].sum(), 1e-6, 0.999))
-    x_p, x_u = sparse(bags[1]), sparse(bags[0])
+def fit(x_p: Rows, x_u: Rows, prior: float) -> tuple[np.ndarray, float]:
+    """Weights and bias from the rows of positive and of unlabelled texts."""
     logistic, sigmoid = (nnpu(x_p, x_u, prior, bounded=b) for b in (False, True))
-    chance = 2 * np.sqrt(0.25 / n_u + 0.25 * prior**2 / n_p)  # two standard errors at most
+    chance = 2 * np.sqrt(0.25 / len(x_u) + 0.25 * prior**2 / len(x_p))  # two standard errors at most
     fewer = errors(x_p, x_u, prior, *sigmoid) + chance < errors(x_p, x_u, prior, *logistic)
-    return Model(good, *(sigmoid if fewer else logistic))
+    return sigmoid if fewer else logistic
 
 
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

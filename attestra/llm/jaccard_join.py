@@ -7,8 +7,9 @@ least l: the l-prefix. Every node picks the l whose estimated cost is least, sca
 a longer prefix against verifying fewer candidates; a pair must share min(l_x, l_y) prefix shingles.
 
 1. One pass counts set sizes, digests and very frequent shingles.
-2. A second pass deals shingles to buckets. A bucket finds which occur in several nodes and tells these
-   nodes; frequent shingles, a bounded list, take the short way. Blocks of numbers travel, not rows.
+2. A second pass deals shingles to buckets, each with its document's place in a lot (the documents that a task
+   gathers at a time). A bucket finds which occur again and tells the lots; frequent shingles, a bounded
+   list, take the short way. A lot knows its nodes, so these travel once. Blocks of numbers travel, not rows.
 3. A node with fewer than need(n) shared shingles links with nothing. The others get their prefix.
 4. Components need links, not all pairs: within each posting list every node is first verified against
    a few leaders, in rounds with more and other leaders. Then only pairs from different components
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, components, materialize, mix, shingle_sets, shuffle_partitions, text_chunks, to_buckets
+from .shared import attach_groups, components, materialize, mix, powers, shingle_sets, shuffle_partitions, text_chunks, to_buckets
 
 WORDS = 5
 PERCENT = 75
@@ -52,7 +53,8 @@ POSTING = 50_000
 _ALWAYS = np.uint32(0xFFFFFFFF)
 
 FACTS = "doc_id long, n long, node long, shingle long, times long"
-DEALT = "bucket long, nodes binary, sizes binary, counts binary, hashes binary, degrees binary"
+DEALT = "bucket long, lot long, nodes binary, sizes binary, owners binary, hashes binary, degrees binary"
+SHARED = "node long, n long, hashes binary, degrees binary"
 LIVE = "node long, n long, matches int, prefix array<long>, shingles binary, bitmap binary"
 
 
@@ -113,55 +115,77 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(None, None, None, hashes[first[often]].view(np.int64), times[often])
 
 
-def _row(bucket: int, nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, hashes: np.ndarray, degrees: np.ndarray | None) -> tuple:
-    packed = [nodes.astype("<u8").tobytes(), sizes.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), hashes.astype("<u8").tobytes()]
-    return (bucket, *packed, b"" if degrees is None else degrees.astype("<u4").tobytes())
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first, so that high bytes that are zero compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64())] + [pa.array(c, pa.binary()) for c in columns[1:]], [x.split()[0] for x in DEALT.split(", ")])
+def _values(block: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _deal(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, degrees: np.ndarray | None, base: int = 0) -> list[tuple]:
-    """One row for each distinct key, with the entries of that key by owner; ``owner`` increases."""
-    order = np.argsort(keys, kind="stable")
-    keys, owner, hashes = keys[order], owner[order], hashes[order]
-    degrees = None if degrees is None else degrees[order]
-    cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * (len(columns) - 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in DEALT.split(", ")])
+
+
+def _deal(keys: np.ndarray, lots: np.ndarray | int, owner: np.ndarray, hashes: np.ndarray, degrees: np.ndarray | None = None) -> list[tuple]:
+    """One row for each distinct pair of bucket and lot, with its entries by hash: differences of hashes, owners, degrees."""
+    lots = np.broadcast_to(np.asarray(lots, np.int64), len(keys))
+    order = np.lexsort((hashes, lots, keys))
+    keys, lots, owner, hashes = keys[order], lots[order], owner[order].astype("<u4"), hashes[order]
+    degrees = None if degrees is None else degrees[order].astype("<u4")
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (lots[1:] != lots[:-1])
+    cuts = np.flatnonzero(new).tolist()
     out = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-        own = owner[a:b]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        out.append(_row(base + int(keys[a]), nodes[own[first]], sizes[own[first]], np.diff(np.append(first, b - a)), hashes[a:b], None if degrees is None else degrees[a:b]))
+    for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+        steps = np.diff(hashes[a:b], prepend=np.uint64(0)).astype("<u8")
+        out.append((int(keys[a]), int(lots[a]), b"", b"", _planes(owner[a:b]), _planes(steps), b"" if degrees is None else _planes(degrees[a:b])))
     return out
 
 
+def _entries(row: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners, hashes, degrees) of a row of ``_deal``."""
+    return _values(row[3], "<u4"), np.cumsum(_values(row[4], "<u8"), dtype=np.uint64), _values(row[5], "<u4")
+
+
 def _spread(values: np.ndarray, n: int) -> np.ndarray:
     return (((values >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
 def _dealer(frequent: np.ndarray, buckets: int, homes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingles go to ``buckets``; frequent ones go straight to their nodes' home, one of ``homes`` further buckets."""
+    """Shingles go to ``buckets`` with their places in a lot, the documents gathered at a time; the lot's nodes go home, to one of ``homes`` further buckets.
+
+    Frequent shingles go straight home. A lot is named by what it holds, so that a task run again names it alike.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, nodes, sizes, hashes in _gathered(batches):
             nodes, sizes, hashes = _fresh(nodes, sizes, hashes, seen)
+            if not len(nodes):
+                continue
             owner = np.repeat(np.arange(len(nodes)), sizes)
-            if len(frequent) and len(hashes):
+            lot = mix(np.array([(nodes * powers(np.uint64(0x9E3779B97F4A7C15), len(nodes))).sum(dtype=np.uint64)]))
+            home, lot = buckets + int(_spread(lot, homes)[0]), int(lot.view(np.int64)[0])
+            rows = [(home, lot, nodes.astype("<u8").tobytes(), sizes.astype("<i4").tobytes(), b"", b"", b"")]
+            if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
                 known = frequent[at] == hashes
                 if known.any():
-                    yield _batch(_deal(_spread(nodes[owner[known]], homes), owner[known], nodes, sizes, hashes[known], np.full(int(known.sum()), _ALWAYS), buckets))
+                    rows += _deal(np.full(int(known.sum()), home), lot, owner[known], hashes[known], np.full(int(known.sum()), _ALWAYS))
                 owner, hashes = owner[~known], hashes[~known]
             if len(hashes):
-                yield _batch(_deal(_spread(hashes, buckets), owner, nodes, sizes, hashes, None))
+                rows += _deal(_spread(hashes, buckets), lot, owner, hashes)
+            yield _batch(rows)
 
     return deal
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
     """Rows sorted by bucket, a bucket at a time."""
     now, rows = None, []
     for batch in batches:
@@ -176,45 +200,63 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
         yield now, rows
 
 
-def _unpacked(rows: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate(("<u8", "<i4", "<i4", "<u8", "<u4")))
-
-
 def _sharer(buckets: int, homes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each bucket, tell the nodes which of their shingles others hold too, and how many do."""
+    """For each bucket, tell the lots which of their shingles occur again, and how often."""
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             if bucket >= buckets:
                 yield _batch([(bucket - buckets, *r) for r in rows])
                 continue
-            nodes, sizes, counts, hashes, _ = _unpacked(rows)
-            owner = np.repeat(np.arange(len(nodes)), counts)
+            found = [_entries(r) for r in rows]
+            owner, hashes = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            lots = np.repeat(np.array([r[0] for r in rows], np.int64), [len(f[0]) for f in found])
+            del found
             order = np.argsort(hashes)
             ordered = hashes[order]
-            same = ordered[1:] == ordered[:-1]
-            some = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
-            if not len(some):
-                continue
-            # copies of a set dealt by different tasks are one node
-            some = some[np.lexsort((nodes[owner[some]], hashes[some]))]
-            h, v = hashes[some], nodes[owner[some]]
-            once = np.ones(len(some), bool)
-            once[1:] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
-            some, h = some[once], h[once]
-            first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
-            degree = np.diff(np.append(first, len(h)))
+            new = np.ones(len(order), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            first = np.flatnonzero(new)
+            degree = np.diff(np.append(first, len(order)))
             degrees = np.repeat(degree, degree)
-            some, degrees = some[degrees > 1], degrees[degrees > 1]
-            if not len(some):
-                continue
-            by_owner = np.argsort(owner[some], kind="stable")
-            some, degrees = some[by_owner], degrees[by_owner]
-            yield _batch(_deal(_spread(nodes[owner[some]], homes), owner[some], nodes, sizes, hashes[some], degrees))
+            some, degrees = order[degrees > 1], degrees[degrees > 1]
+            if len(some):
+                yield _batch(_deal(_spread(lots[some].view(np.uint64), homes), lots[some], owner[some], hashes[some], degrees))
 
     return share
 
 
+def _gatherer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of each lot that hold enough shingles that occur again, with these and how often they do."""
+    for _, rows in _by_bucket(batches):
+        lots: dict[int, list[list]] = {}
+        for r in rows:
+            lots.setdefault(r[0], []).append(r)
+        for own in lots.values():
+            nodes, sizes = next((np.frombuffer(r[1], "<u8"), np.frombuffer(r[2], "<i4")) for r in own if r[1])
+            found = [_entries(r) for r in own if r[3]]
+            if not found:
+                continue
+            owner, hashes, degrees = (np.concatenate([f[k] for f in found]) for k in range(3))
+            enough = np.bincount(owner, minlength=len(nodes)) >= need(sizes)
+            kept = np.flatnonzero(enough[owner])
+            kept = kept[np.lexsort((hashes[kept], owner[kept]))]
+            owner, hashes, degrees = owner[kept], hashes[kept], degrees[kept]
+            # two lots that hold the same count as one
+            once = np.ones(len(kept), bool)
+            once[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+            owner, hashes, degrees = owner[once], hashes[once].astype("<u8"), degrees[once].astype("<u4")
+            cuts = np.flatnonzero(np.diff(owner.astype(np.int64), prepend=-1)).tolist()
+            ends = [*cuts[1:], len(owner)]
+            who = owner[cuts]
+            columns = [
+                pa.array(nodes[who].view(np.int64)), pa.array(sizes[who].astype(np.int64)),
+                pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([degrees[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            ]
+            if cuts:
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARED.split(", ")])
+
+
 def choose_matches(degrees: np.ndarray, unshared: int, n: int) -> tuple[int, int]:
     """(l, shared shingles in the l-prefix) of least estimated cost, for shared degrees in the global order.
 
@@ -240,29 +282,37 @@ def _bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, rows in _by_bucket(batches):
-        nodes, sizes, counts, hashes, degrees = _unpacked(rows)
-        owner = np.repeat(np.arange(len(nodes)), counts)
-        order = np.lexsort((hashes, degrees, nodes[owner]))
-        node, h, d, n = nodes[owner][order], hashes[order], degrees[order], sizes[owner][order]
-        cuts = np.flatnonzero(np.diff(node, prepend=node[:1] ^ np.uint64(1)))
-        out = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(node)], strict=True):
-            size = int(n[a])
-            if b - a < need(size):
-                continue
-            own, degree = h[a:b], d[a:b]
-            # a frequent shingle comes once from each task that dealt a copy of the node
-            once = np.ones(b - a, bool)
-            once[1:] = own[1:] != own[:-1]
-            own, degree = own[once], degree[once]
-            if len(own) < need(size):
-                continue
-            matches, kept = choose_matches(degree, size - len(own), size)
-            out.append((int(node[a].astype(np.int64)), size, matches, own[:kept].view(np.int64), np.sort(own).tobytes(), _bitmap(own)))
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in LIVE.split(", ")])
+    """Of rows sorted by node: each node once, with its prefix, if it shares enough with other nodes than itself."""
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in LIVE.split(", ")])
+
+    def add(node: int, size: int, hashes: bytes, degrees: bytes, copies: int) -> None:
+        own, degree = np.frombuffer(hashes, "<u8"), np.frombuffer(degrees, "<u4")
+        # a copy of the set in another lot is the same node
+        own, degree = own[degree > copies], degree[degree > copies]
+        if len(own) < need(size):
+            return
+        order = np.lexsort((own, degree))
+        matches, kept = choose_matches(degree[order], size - len(own), size)
+        out.append((node, size, matches, own[order][:kept].view(np.int64), own.tobytes(), _bitmap(own)))
+
+    held, copies = None, 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[0] != held[0]:
+                add(*held, copies)
+                copies = 0
+                if len(out) >= 256:
+                    yield flush()
+                    out.clear()
+            held, copies = row, copies + 1
+    if held:
+        add(*held, copies)
+    if out:
+        yield flush()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,17 +411,16 @@ def live_nodes(documents: DataFrame, known: DataFrame) -> DataFrame:
     parts = max(shuffle_partitions(spark), int(8 * total / PARTITION))
     dealt = documents.select("doc_id", "text").mapInArrow(_dealer(frequent, parts, parts), DEALT)
     shared = to_buckets(dealt, parts).mapInArrow(_sharer(parts, parts), DEALT)
-    homes = to_buckets(shared, parts).mapInArrow(_live, LIVE)
-    return materialize(homes, "live")
+    nodes = to_buckets(shared, parts).mapInArrow(_gatherer, SHARED)
+    return materialize(nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_live, LIVE), "live")
 
 
 def links(live: DataFrame) -> DataFrame:
     """(node, component) for nodes with links; components are named by their smallest node."""
     spark = live.sparkSession
     held = (F.octet_length("shingles") / 8).cast("long").alias("held")
-    posts = materialize(live.select("node", "n", held, "bitmap", "matches", F.explode("prefix").alias("token")), "posts")
-    edges = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
+    posts = materialize(live.select("node", "n", held, "matches", F.explode("prefix").alias("token")), "posts")
+    bitmaps = live.select("node", "bitmap")
 
     def fits(n_x: Column, n_y: Column, held_x: Column, held_y: Column) -> Column:
         """Whether the sizes allow a link, and each holds enough shingles that others hold too."""
@@ -382,38 +431,54 @@ def links(live: DataFrame) -> DataFrame:
         word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
         return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(1, 8)), F.bit_count(word(x, 0).bitwiseXOR(word(y, 0))))
 
-    def labelled() -> DataFrame:
-        own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, total n, total held) that the bitmaps allow to link."""
+        side = lambda c: bitmaps.select(F.col("node").alias(c), F.col("bitmap").alias(f"bitmap_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("held") - apart("bitmap_a", "bitmap_b")) * (100 + PERCENT) >= 2 * PERCENT * F.col("n")).select("a", "b")
+
+    def labelled(found: DataFrame | None) -> DataFrame:
+        """The posting lists that hold several components."""
+        if found is None:
+            own = posts.withColumn("component", F.col("node"))
+        else:
+            own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         return materialize(own.join(mixed.select("token"), "token"), "mixed")
 
+    edges, found = spark.createDataFrame([], "a long, b long"), None
     for turn, leaders in enumerate(LEADERS):
-        own = labelled()
+        own = labelled(found)
         order = F.xxhash64("node", F.pmod(F.col("token"), F.lit(leaders)), F.lit(turn))
-        lead = own.groupBy("token").agg(F.min(F.struct(order, "node", "n", "held", "component", "bitmap")).alias("lead"))
+        lead = own.groupBy("token").agg(F.min(F.struct(order, "node", "n", "held", "component")).alias("lead"))
         near = own.join(lead, "token").filter((F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("held"), F.col("lead.held")))
-        near = near.filter((F.col("held") + F.col("lead.held") - apart("bitmap", "lead.bitmap")) * (100 + PERCENT) >= 2 * PERCENT * (F.col("n") + F.col("lead.n")))
-        pairs = near.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        edges = materialize(edges.union(verified(pairs, live)), "links")
-        found = components(edges)
-    own = labelled()
-    most = own.groupBy("token").count().agg(F.max("count")).first()[0]
-    if not most:
-        return found
+        pairs = near.select(
+            F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), (F.col("n") + F.col("lead.n")).alias("n"), (F.col("held") + F.col("lead.held")).alias("held")
+        ).distinct()
+        edges = materialize(edges.union(verified(close(pairs), live)), "links")
+        # until the last leaders have met all, labels that join most of a component do
+        found = materialize(near_labels(edges), "labels") if turn + 1 < len(LEADERS) else components(edges)
+    sizes = materialize(found.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    sized = attach_groups(found, sizes, ["component"], "size", sizes.agg(F.sum("size")).first()[0] or 0)
+    own = labelled(sized).withColumn("size", F.coalesce("size", F.lit(1)))
     # of two nodes the one in the smaller component looks for the other, in every posting list that they share
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    own = own.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    top = own.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"))
-    chunks = 1 + most // POSTING
+    lists = own.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), (1 + F.floor(F.count("*") / POSTING)).cast("int").alias("chunks"))
+    both = own.join(lists, "token").join(bitmaps, "node")
     columns = ["token", "chunk", "seeks", "node", "n", "held", "bitmap", "matches", "size", "component"]
-    seekers = own.join(top, "token").filter(F.struct("size", "component") < F.col("top")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("seeks", F.lit(True))
-    sought = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")).withColumn("seeks", F.lit(False))
-    both = seekers.select(*columns).unionByName(sought.select(*columns))
+    seekers = both.filter(F.struct("size", "component") < F.col("top")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("seeks", F.lit(True))
+    sought = both.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("seeks", F.lit(False))
     parts = shuffle_partitions(spark)
-    met = both.repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk").mapInArrow(_meet, MET)
+    met = seekers.select(*columns).unionByName(sought.select(*columns)).repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk").mapInArrow(_meet, MET)
     pairs = met.repartition(parts, "x").sortWithinPartitions("x").mapInArrow(_count, "a long, b long")
-    edges = materialize(edges.union(verified(pairs, live)), "links")
-    return components(edges)
+    more = materialize(verified(pairs, live), "links")
+    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node within two steps of each, so that nodes of one label are connected."""
+    both = edges.union(edges.select("b", "a"))
+    one = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
+    two = both.join(one.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("component"))
+    return two.select("node", F.least("node", "component").alias("component"))
 
 
 def near_components(documents: DataFrame) -> DataFrame:
@@ -424,9 +489,10 @@ def near_components(documents: DataFrame) -> DataFrame:
     classes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named, "classes")
-    linked = named.join(found.select("node"), "node", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = named.join(found.select("node"), "node", "left_semi").groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
     # nodes without links are components of their own
-    groups = materialize(named.join(linked, "component", "left").select("node", "size", F.coalesce("component_id", "least").alias("component_id")), "groups")
+    groups = attach_groups(named, materialize(linked, "linked"), ["component"], "nodes", named.count(), "left")
+    groups = materialize(groups.select("node", "size", F.coalesce("component_id", "least").alias("component_id")), "groups")
     total = groups.agg(F.sum("size")).first()[0] or 0
     joined = attach_groups(rows.filter("n > 0"), groups, ["node"], "size", total)
     alone = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))

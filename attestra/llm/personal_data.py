@@ -16,6 +16,8 @@ no rows; other columns are ignored. Offsets count code points, ends are exclusiv
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,8 @@ KNOWN = {
     "secret": r"[0-9].*[a-f]|[a-f].*[0-9]",
 }
 SPAN = "array<struct<s:int,rank:int,kind:string,e:int,base:boolean,v1:int,v2:int,v3:int,v4:int,v5:int,size:int>>"
+#: Hits of a kind that are walked at a time.
+STRETCH = 256
 VOTES = ("v1", "v2", "v3", "v4", "v5")
 
 
@@ -88,8 +92,14 @@ def _check(kind: str, t: Column) -> Column:
 
 
 def _spans(kind: str) -> Column:
-    """The candidates of one kind from columns ``gaps`` and ``hits``, by a running offset."""
+    """The candidates of one kind from columns ``gaps`` and ``hits``.
+
+    A running offset over all hits would copy the spans found so far at every hit. So hits are taken in
+    stretches of 256: each stretch's length, then where stretches start, then the hits within each.
+    """
     n = F.size("hits")
+    long = F.zip_with(F.slice("gaps", F.lit(1), n), "hits", lambda gap, hit: F.length(gap) + F.length(hit))
+    stretches = F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int"))
 
     def step(acc: Column, i: Column) -> Column:
         gap, hit = F.col("gaps")[i], F.col("hits")[i]
@@ -108,9 +118,25 @@ def _spans(kind: str) -> Column:
         )
         return F.struct(end.alias("at"), F.array_append(acc["out"], span.cast(SPAN[6:-1])).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
-    return F.when(n > 0, walked).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    none = F.expr(f"cast(array() as {SPAN})")
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+
+    def within(starts: Column) -> Callable[[Column], Column]:
+        return lambda k: F.aggregate(
+            F.sequence(k * STRETCH, F.least(n, (k + 1) * STRETCH) - 1), F.struct(starts[k].alias("at"), none.alias("out")), step, lambda acc: acc["out"]
+        )
+
+    def walked(long: Column) -> Column:
+        sums = F.transform(stretches, lambda k: F.aggregate(F.slice(long, k * STRETCH + 1, F.lit(STRETCH)), F.lit(0), lambda x, y: x + y))
+        starts = F.aggregate(sums, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+        return _let(starts, lambda t: F.flatten(F.transform(stretches, within(t))))
+
+    return F.when(n > 0, _let(long, walked)).otherwise(none)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a column of its own would be put into the lambda again by the optimiser."""
+    return F.transform(F.array(value), body)[0]
 
 
 def candidates(documents: DataFrame) -> DataFrame:
@@ -182,7 +208,7 @@ def _margin(x: Column, weights: dict[tuple[str, object], float]) -> Column:
 
 
 def find(documents: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans."""
     found = materialize(candidates(documents), "candidates")
     each = found.select(F.explode("found").alias("x"))
     counted = each.groupBy("x.kind", "x.size", *[F.col(f"x.{v}").alias(v) for v in VOTES]).count().collect()
@@ -195,5 +221,5 @@ def find(documents: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("kept")).alias("spans"),
-        F.size(F.filter("kept", lambda x: ~x["base"])).cast("long").alias("n_added"),
+        F.size(F.filter("kept", lambda x: ~x["base"])).cast("long").alias("n_added"), F.size("kept").cast("long").alias("n_spans"),
     )

@@ -166,14 +166,16 @@ def round_trip(pages: DataFrame) -> DataFrame:
     page = lambda c: F.when(number(F.col(c)) != "", number(F.col(c)).cast("long"))
     found = found.withColumns({"page_id": page("id"), "target": page("refers_to")})
     responses = found.filter("type = 'response'").select(
-        "page_id", F.col("stored_bytes").alias("payload_bytes"), F.col("stored_digest").alias("payload_digest"),
+        "page_id", "digest", F.col("stored_bytes").alias("payload_bytes"), F.col("stored_digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), (F.concat(F.lit("sha1:"), F.col("stored_digest")) == F.col("digest")).alias("verified"),
     )
     revisits = found.filter("type = 'revisit'").select("page_id", "target", "digest")
-    groups = materialize(revisits.groupBy("target").agg(F.count("*").alias("n")).join(responses.withColumnRenamed("page_id", "target").drop("refers_to"), "target"), "targets")
-    total = revisits.count()
-    resolved = attach_groups(revisits, groups, ["target"], "n", total).select(
+    # a repeated row is a response again: one of equal ones is enough
+    stored = responses.select(F.col("page_id").alias("target"), "digest", "payload_bytes", "payload_digest").dropDuplicates(["target", "digest"])
+    groups = materialize(revisits.groupBy("target", "digest").agg(F.count("*").alias("n")).join(stored, ["target", "digest"]), "targets")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    resolved = attach_groups(revisits, groups, ["target", "digest"], "n", total).select(
         "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("target").alias("refers_to"),
         (F.concat(F.lit("sha1:"), F.col("payload_digest")) == F.col("digest")).alias("verified"),
     )
-    return responses.unionByName(resolved)
+    return responses.drop("digest").unionByName(resolved)

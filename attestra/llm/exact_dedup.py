@@ -2,12 +2,15 @@
 
 The index is a table bucketed and sorted by digest. New rows are reduced to one candidate per
 digest, an anti-join that merges the sorted buckets finds the digests not yet known, and these are
-appended in the same layout, so neither the index nor its buckets are ever shuffled again.
+appended in the same layout, so neither the index nor its buckets are ever shuffled again. What a later batch
+adds to a known digest is appended too, marked as no new text; reading merges the entries of a digest
+within its bucket, so several batches give the groups that one batch of all rows would give. Batches leave
+a file each in every bucket; ``compact`` makes them one sorted file again. An index opened on an earlier one's path goes on with it.
 
 Defined results: null text counts as empty; empty texts equal each other; of equal texts in a batch
 the row with the largest id wins, a null id losing to any other; a repeated row is kept once for
 ``keep_rows`` and each of its copies carries the same group. Extra columns pass through untouched,
-whatever they are called (working columns start with an underscore). An empty batch appends nothing.
+whatever they are called (working columns take names that are free). An empty batch appends nothing.
 """
 
 from __future__ import annotations
@@ -17,56 +20,73 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, flag_blank, materialize, scratch, shuffle_partitions
+from .shared import attach_groups, flag_blank, materialize, scratch, shuffle_partitions, unused
 
 
 class DigestIndex:
-    """A digest table of ``buckets`` buckets at ``path`` (new unless it holds one already)."""
+    """A digest table of ``buckets`` buckets at ``path`` (new unless it holds one already, which must have as many)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
         self.path = path or scratch(spark, "digests")
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, fresh BOOLEAN) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def known(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """digest, keep_id, group_size of every text seen so far."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def add(self, texts: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> None:
-        """Append one entry for every text of the batch that the index lacks.
+        """Append one entry for every text of the batch; those that the index lacks are fresh.
 
         The batch is aggregated and written first: the optimiser would push the anti-join below the
         aggregation, and copies would then travel before they are combined.
         """
-        batch = digested(texts, text_column).groupBy("_digest").agg(F.max(id_column).alias("keep_id"), F.count("*").alias("group_size"))
-        batch = materialize(batch.withColumnRenamed("_digest", "digest"), "batch").repartition(self.buckets, "digest")
-        fresh = batch.join(self.known().select("digest").hint("merge"), "digest", "left_anti")
-        fresh.sortWithinPartitions("digest").write.insertInto(self.name)
-
-
-def digested(rows: DataFrame, text_column: str = "text") -> DataFrame:
-    return rows.withColumn("_digest", F.unhex(F.sha2(flag_blank(F.col(text_column)), 256)))
-
-
-def groups_of(rows: DataFrame, id_column: str = "doc_id", text_column: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """``rows`` with ``keep_id``, ``group_size`` and ``_digest``, by way of a digest index filled with the batch."""
-    index = index or DigestIndex(rows.sparkSession)
-    index.add(rows, id_column, text_column)
-    groups = index.known().withColumnRenamed("digest", "_digest")
+        batch = digested(texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+        batch = materialize(batch, "batch").repartition(self.buckets, "digest")
+        digests = self.spark.table(self.name).select("digest").hint("merge")
+        fresh = batch.join(digests, "digest", "left_anti").withColumn("fresh", F.lit(True))
+        again = batch.join(digests, "digest", "left_semi").withColumn("fresh", F.lit(False))
+        empty = self.spark.table(self.name).isEmpty()
+        (fresh if empty else fresh.unionByName(again).repartition(self.buckets, "digest")).sortWithinPartitions("digest").write.insertInto(self.name)
+
+    def compact(self) -> None:
+        """One entry for each digest and one file for each bucket; written beside the index first, so that a lost executor costs no entry."""
+        beside = DigestIndex(self.spark, None, self.buckets)
+        merged = self.known().withColumn("fresh", F.lit(True)).repartition(self.buckets, "digest")
+        merged.sortWithinPartitions("digest").write.insertInto(beside.name)
+        self.spark.table(beside.name).repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.name, overwrite=True)
+        beside.drop()
+
+    def drop(self) -> None:
+        """Take the table out of the catalogue; its files stay at ``path``."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def digested(rows: DataFrame, column: str = "digest", text_column: str = "text") -> DataFrame:
+    return rows.withColumn(column, F.unhex(F.sha2(flag_blank(F.col(text_column)), 256)))
+
+
+def groups_of(documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """doc_id, digest, keep_id and group_size of every document, by way of a digest index to which the batch is added."""
+    own = index or DigestIndex(documents.sparkSession)
+    own.add(documents)
+    groups = materialize(own.known(), "groups")
+    if index is None:
+        own.drop()
     total = groups.agg(F.sum("group_size")).first()[0] or 0
-    return attach_groups(digested(rows, text_column), groups, ["_digest"], "group_size", total)
+    return attach_groups(digested(documents.select("doc_id", "text")).drop("text"), groups, ["digest"], "group_size", total)
 
 
 def mark_copies(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    slim = documents.select("doc_id", "text")
-    return groups_of(slim).select(
+    return groups_of(documents).select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
@@ -74,7 +94,9 @@ def keep_rows(documents: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns; of repeats of a winning row one stays."""
     index = DigestIndex(documents.sparkSession)
     index.add(documents)
+    digest, number = unused("_digest", documents.columns), unused("_id", documents.columns)
     least = F.lit(-(1 << 63))
-    winners = index.known().select(F.col("digest").alias("_digest"), F.coalesce("keep_id", least).alias("_id"))
-    rows = digested(documents).withColumn("_id", F.coalesce("doc_id", least))
-    return rows.join(winners, ["_digest", "_id"], "left_semi").dropDuplicates(["_digest", "_id"]).select(*documents.columns)
+    winners = materialize(index.known().select(F.col("digest").alias(digest), F.coalesce("keep_id", least).alias(number)), "winners")
+    index.drop()
+    rows = digested(documents, digest).withColumn(number, F.coalesce("doc_id", least))
+    return rows.join(winners, [digest, number], "left_semi").dropDuplicates([digest, number]).select(*documents.columns)

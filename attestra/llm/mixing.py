@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import flag_blank, materialize
+from .shared import flag_blank, materialize, unused
 
 #: Rows of a block on average.
 BLOCK = 4096
@@ -120,8 +120,10 @@ def realise(sized: DataFrame, most_repeats: float, target_entropy: float | None,
 
 def mixed_rows(documents: DataFrame, most_repeats: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixture as rows of ``documents``: every document at least once, those of small sources again."""
-    keyed = materialize(documents.withColumn("_row_key", F.monotonically_increasing_id()), "keyed")
-    sized = keyed.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.col("_row_key").alias("row_key"))
+    key, times = unused("_row_key", documents.columns), unused("_times", documents.columns)
+    keyed = materialize(documents.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    sized = keyed.select("doc_id", "source", tokens(F.col("text")).alias("n_tokens"), F.col(key).alias("row_key"))
     chosen = realise(materialize(sized, "sized"), most_repeats, None, None, seed)
-    times = chosen.groupBy("row_key").count()
-    return keyed.join(times, keyed["_row_key"] == times["row_key"]).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select(*documents.columns)
+    counted = chosen.groupBy(F.col("row_key").alias(key)).agg(F.count("*").cast("int").alias(times))
+    # the last column repeats a row as often as the mixture holds it
+    return keyed.join(counted, key).select(*documents.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(key)).drop(key)

@@ -54,6 +54,14 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return out
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name`` with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

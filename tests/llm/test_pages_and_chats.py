@@ -50,6 +50,12 @@ def test_no_pages_and_repeats(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
     got = warc.round_trip(spark.createDataFrame([(1, None, "a", None), (1, None, "a", None)], SCHEMA)).collect()
     assert [(r.page_id, r.record_type) for r in got] == [(1, "response")] * 2
+    rows = [(1, None, "same", None), (1, None, "same", None), (2, None, "same", None), (2, None, "same", None), (3, None, "other", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.verified) for r in got) == [(1, "response", None, True)] * 2 + [(2, "revisit", 1, True)] * 2 + [(3, "response", None, True)]
+    # one id for two payloads: a revisit gets the payload of its own digest
+    got = warc.round_trip(spark.createDataFrame([(1, None, "ab", None), (1, None, "abc", None), (2, None, "abc", None)], SCHEMA)).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in got) == [(1, "response", 2), (1, "response", 3), (2, "revisit", 3)]
 
 
 def test_chain_by_pointer_jumping(spark):

@@ -381,6 +381,57 @@ def test_nnpu_recovers_negatives_among_unlabelled():
     assert ((x_p @ w + b) > 0).mean() > best_p - 0.08 and ((x_n @ w + b) > 0).mean() < best_n + 0.05
 
 
+def test_index_of_two_batches_equals_one(spark, documents, rows, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "two"), 3)
+    index.add(documents.filter("doc_id % 2 = 0"))
+    got = exact_dedup.groups_of(documents.filter("doc_id % 2 = 1"), index).collect()
+    whole = {r.doc_id: r for r in exact_dedup.groups_of(documents).collect()}
+    want = {}
+    for t in {t or "" for _, t, *_ in rows}:
+        ids = [i for i, u, *_ in rows if (u or "") == t]
+        want |= {i: (max(ids), len(ids)) for i in ids}
+    assert {i: (r.keep_id, r.group_size) for i, r in whole.items()} == want
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {i: w for i, w in want.items() if i % 2}
+    fresh = spark.table(index.name).filter("fresh").count()
+    assert fresh == len({t or "" for _, t, *_ in rows})
+    known = sorted(map(tuple, index.known().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.known().collect())) == known and spark.table(index.name).count() == fresh
+
+
+def test_names_that_clash(spark, documents):
+    extra = {c: F.lit(c) for c in ("_digest", "_id", "_row_key", "_times", "count", "row_key", "_hot", "node", "component", "digest", "_pass")}
+    rows = documents.withColumns(extra)
+    kept = {tuple(r) for r in exact_dedup.keep_rows(rows).collect()}
+    assert {r[: len(documents.columns)] for r in kept} == {tuple(r) for r in exact_dedup.keep_rows(documents).collect()}
+    assert all(r[len(documents.columns) :] == tuple(extra) for r in kept)
+    mixed = mixing.mixed_rows(rows, 1.5)
+    assert mixed.columns == rows.columns and mixed.select(*documents.columns).count() == mixing.mixed_rows(documents, 1.5).count()
+    labels = spark.createDataFrame([(3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert jaccard_join.keep_first(rows).columns == toxicity.clean_rows(rows, labels).columns == rows.columns
+    assert packing.pack(rows).count() == packing.pack(documents).count()
+
+
+def test_word_cache_trims(monkeypatch):
+    path = packing.tokenizer_path()
+    texts = [f"alpha beta w{i} gamma {'x' * (i % 40)}".encode() for i in range(3000)]
+    plain = packing.WordIds(path)
+    want = [plain.encode(texts[a : a + 100]) for a in range(0, 3000, 100)]
+    monkeypatch.setattr(packing, "MOST_WORDS", 200)
+    monkeypatch.setattr(packing, "MOST_BYTES", 2000)
+    small = packing.WordIds(path)
+    got = [small.encode(texts[a : a + 100]) for a in range(0, 3000, 100)]
+    assert all((a == b).all() and (c == d).all() for (a, c), (b, d) in zip(got, want, strict=True))
+    assert len(small) < 700 and b"alpha" in small
+
+
+def test_personal_data_in_very_many_numbers(spark):
+    text = " a ".join(str(i) for i in range(1000, 31000)) + " a@b.example and +1 202 555 0143"
+    got = personal_data.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at, phone = text.index("a@b"), text.index("+1 202")
+    assert f"email:{at}:{at + 11}" in got.spans and f"phone:{phone}:{phone + 15}" in got.spans and got.n_spans >= 2
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (

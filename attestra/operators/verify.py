@@ -92,9 +92,10 @@ def rejudge(cells: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.withColumn("verification_status", new).drop("verdict")
 
 
-def consensus(answers: DataFrame) -> DataFrame:
-    """Per question: clusters of equal answers, the share of the largest and what it is called."""
-    key = F.lower(F.regexp_replace(F.btrim(F.left("answer", F.lit(400))), r"\s+", " "))
+def consensus(answers: DataFrame, most: int | None = 400) -> DataFrame:
+    """Per question: clusters of equal answers, the share of the largest and what it is called. ``most`` characters are compared, all without it."""
+    shown = F.col("answer") if most is None else F.left("answer", F.lit(most))
+    key = F.lower(F.regexp_replace(F.btrim(shown), r"\s+", " "))
     groups = answers.groupBy("question", key.alias("cluster")).agg(F.count("*").alias("n"))
     out = groups.groupBy("question").agg(F.count("*").alias("clusters"), F.sum("n").alias("models"), F.max("n").alias("largest"))
     share = F.col("largest") / F.col("models")
@@ -119,6 +120,8 @@ def quote_matches(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - n + 1))
     digest = lambda n: lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " "))
     grams = [F.transform(starts(n), digest(n)) for n in sizes]
-    p = p.select("page_id", "text", F.explode(F.array_distinct(F.concat(*grams))).alias("_key"))
-    met = q.join(p, "_key").filter(quote_occurs(F.col("quote"), F.col("text")))
-    return met.select("quote_id", "page_id").distinct()
+    # only keys and ids are exploded; the texts of the pages that meet a quote are joined again
+    p = p.select("page_id", F.explode(F.array_distinct(F.concat(*grams))).alias("_key"))
+    met = q.select("quote_id", "quote", "_key").join(p, "_key").select("quote_id", "quote", "page_id").distinct()
+    held = met.join(pages.select("page_id", "text"), "page_id").filter(quote_occurs(F.col("quote"), F.col("text")))
+    return held.select("quote_id", "page_id").distinct()

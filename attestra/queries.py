@@ -13,7 +13,7 @@ from .functions import numbers as N
 from .functions import scores as S
 from .functions import texts as T
 from .functions import urls as U
-from .operators import coverage, crawl, dedupe, hosts, pages, profile, records, verify
+from .operators import coverage, crawl, dedupe, gapfill, hosts, pages, profile, records, verify
 from .plans import guarded_sql
 from .sources.tables import cells, cells_sql, declared, declared_sql, load, run_events
 from .streaming import events as stream
@@ -335,41 +335,7 @@ def in_list_ordered(spark, sf_dir):
     return records.in_order_of(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", [30, 4, 17, 4]).select("c_custkey", "c_name", F.col("position").cast("int").alias("position"))
 
 
-@query("""WITH n AS (SELECT c_custkey, 'customer ' || ltrim(regexp_extract(c_name, '[0-9]+', 0), '0') AS sig FROM customer WHERE c_custkey % 3 = 0),
-    e AS (SELECT o_orderkey, 'customer ' || o_custkey AS sig FROM orders) SELECT o_orderkey, c_custkey AS matched_id FROM e JOIN n USING (sig)""")
-def identity_join(spark, sf_dir):
-    return _identity(spark, sf_dir)[0].select("o_orderkey", "matched_id")
-
-
-@query("""WITH n AS (SELECT 'customer ' || ltrim(regexp_extract(c_name, '[0-9]+', 0), '0') AS sig FROM customer WHERE c_custkey % 3 = 0)
-    SELECT o_orderkey FROM orders WHERE 'customer ' || o_custkey NOT IN (SELECT sig FROM n)""")
-def identity_anti_unmatched(spark, sf_dir):
-    return _identity(spark, sf_dir)[1].select("o_orderkey")
-
-
-def _identity(spark, sf_dir):
-    number = F.ltrim(F.regexp_extract("c_name", "[0-9]+", 0), F.lit("0"))
-    stored = load(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.concat(F.lit("CUSTOMER #"), number, F.lit(" (stored)")).alias("name"))
-    extracted = load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Cüstomer-"), F.col("o_custkey").cast("string")).alias("name"))
-    return dedupe.identity_join(extracted, stored, ["name"], "c_custkey")
-
-
-@query("""SELECT 'suppliers' AS dataset_id, count(*) AS n, string_agg('s' || s_suppkey, ',' ORDER BY 's' || s_suppkey) FILTER (WHERE r <= 3) AS examples FROM
-    (SELECT s_suppkey, row_number() OVER (ORDER BY 's' || s_suppkey) AS r FROM supplier WHERE ltrim(regexp_extract(s_name, '[0-9]+', 0), '0') IN (SELECT ltrim(regexp_extract(c_name, '[0-9]+', 0), '0') FROM customer WHERE c_custkey % 2 = 0 AND c_custkey > 0))""")
-def cross_dataset_semi(spark, sf_dir):
-    number = lambda c: F.ltrim(F.regexp_extract(c, "[0-9]+", 0), F.lit("0"))
-    own = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(number("c_name").alias("name"))
-    others = load(spark, sf_dir, "supplier").select(F.lit("suppliers").alias("dataset_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("record_id"), number("s_name").alias("name"))
-    return dedupe.duplicates_across(own, others, ["name"])
-
-
-@query("SELECT page_id FROM pages WHERE page_id % 2 = 0 AND page_id IN (SELECT event_id FROM events)")
-def reuse_semi(spark, sf_dir):
-    seen = load(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"))
-    return load(spark, sf_dir, "pages").filter("page_id % 2 = 0").select("page_id").join(seen, "page_id", "left_semi")
-
-
-# the joins above over whole tables: unmatched rows are those that the tables have
+# joins over whole tables: unmatched rows are those that the tables have
 
 _NUMBER = "CAST(regexp_extract({}, '[0-9]+', 0) AS BIGINT)"
 
@@ -384,18 +350,18 @@ def _names_of_customers(spark, sf_dir):
 
 
 @query(f"WITH n AS (SELECT {_NUMBER.format('c_name')} AS number, min(c_custkey) AS matched_id FROM customer GROUP BY 1) SELECT o_orderkey, matched_id FROM orders JOIN n ON o_custkey = number")
-def identity_join_whole(spark, sf_dir):
+def identity_join(spark, sf_dir):
     return dedupe.identity_join(_names_of_orders(spark, sf_dir), _names_of_customers(spark, sf_dir), ["name"], "c_custkey")[0].select("o_orderkey", "matched_id")
 
 
 @query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = {_NUMBER.format('c_name')})")
-def identity_anti_unmatched_whole(spark, sf_dir):
+def identity_anti_unmatched(spark, sf_dir):
     return dedupe.identity_join(_names_of_customers(spark, sf_dir), _names_of_orders(spark, sf_dir), ["name"], "o_orderkey")[1].select("c_custkey")
 
 
 @query(f"""SELECT 'customers' AS dataset_id, count(*) AS n, string_agg('c' || c_custkey, ',' ORDER BY 'c' || c_custkey) FILTER (WHERE r <= 3) AS examples FROM
     (SELECT c_custkey, row_number() OVER (ORDER BY 'c' || c_custkey) AS r FROM customer WHERE {_NUMBER.format('c_name')} IN (SELECT {_NUMBER.format('s_name')} FROM supplier)) HAVING count(*) > 0""")
-def cross_dataset_semi_whole(spark, sf_dir):
+def cross_dataset_semi(spark, sf_dir):
     number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long").cast("string")
     own = load(spark, sf_dir, "supplier").select(number("s_name").alias("name"))
     others = load(spark, sf_dir, "customer").select(F.lit("customers").alias("dataset_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("record_id"), number("c_name").alias("name"))
@@ -403,21 +369,21 @@ def cross_dataset_semi_whole(spark, sf_dir):
 
 
 @query("SELECT page_id FROM pages WHERE page_id IN (SELECT event_id FROM events)")
-def reuse_semi_whole(spark, sf_dir):
+def reuse_semi(spark, sf_dir):
     seen = load(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"))
     return load(spark, sf_dir, "pages").select("page_id").join(seen, "page_id", "left_semi")
 
 
-@query("(SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier")
-def intersect_except_whole(spark, sf_dir):
-    nations, customers, suppliers = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
-    return nations.select("n_nationkey").intersect(customers.select("c_nationkey")).exceptAll(suppliers.select("s_nationkey"))
+@query("(SELECT n_nationkey FROM nation INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT r_regionkey FROM region")
+def intersect_except(spark, sf_dir):
+    nations, customers, regions = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "region")
+    return nations.select("n_nationkey").intersect(customers.select("c_nationkey")).exceptAll(regions.select("r_regionkey"))
 
 
 @query("""SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders
-    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) GROUP BY 1""")
-def insert_or_ignore_whole(spark, sf_dir):
-    stored = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) GROUP BY 1""")
+def insert_or_ignore(spark, sf_dir):
+    stored = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_custkey"))
     fresh = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumn("seq", F.col("o_orderkey"))
     return records.first_per_key(records.insert_new(stored, fresh, ["o_custkey"]), ["o_custkey"], "seq").drop("seq")
 
@@ -484,19 +450,6 @@ def capped_query(spark, sf_dir):
     return guarded_sql.run(load(spark, sf_dir, "customer"), "SELECT c_mktsegment, count(*) AS n FROM records GROUP BY c_mktsegment ORDER BY n DESC", 3)
 
 
-@query("""(SELECT n_nationkey FROM nation WHERE n_regionkey < 3 INTERSECT SELECT c_nationkey FROM customer) EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0""")
-def intersect_except(spark, sf_dir):
-    nations, customers, suppliers = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
-    return nations.filter("n_regionkey < 3").select("n_nationkey").intersect(customers.select("c_nationkey")).exceptAll(suppliers.filter("s_suppkey % 4 = 0").select("s_nationkey"))
-
-
-@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1")
-def insert_or_ignore(spark, sf_dir):
-    stored = load(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"))
-    fresh = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus").withColumn("seq", F.col("o_orderkey"))
-    return records.first_per_key(records.insert_new(stored, fresh, ["o_custkey"]), ["o_custkey"], "seq").drop("seq")
-
-
 # scalars
 
 @query("""SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_extract(url, '^[a-zA-Z]+://([^?#]*)', 1) || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS canonical,
@@ -686,3 +639,121 @@ def search_plausibility(spark, sf_dir):
 def link_scores(spark, sf_dir):
     found = pages.links(load(spark, sf_dir, "pages"), limit=None, longest=None)
     return found.select("page_id", "position", crawl.link_score(F.col("url"), F.col("anchor"), ["thing", "and"]).alias("score"))
+
+
+# filling gaps
+
+_HELD = "coalesce(value, '') <> ''"
+
+
+@query(f"""WITH {CELLS} SELECT dataset_id, field, filled FROM (SELECT dataset_id, field, count(*) FILTER (WHERE trim(coalesce(value, '')) <> '') AS filled,
+    row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) FILTER (WHERE trim(coalesce(value, '')) <> '') DESC, min(position)) AS r FROM cells GROUP BY 1, 2) WHERE r = 1 AND filled > 0""")
+def most_populated_field(spark, sf_dir):
+    return gapfill.most_populated(cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS}, k AS (SELECT dataset_id, record_id, count(*) FILTER (WHERE trim(coalesce(value, '')) <> '') AS filled, count(*) FILTER (WHERE trim(coalesce(value, '')) <> '' AND field LIKE '%_name') AS named FROM cells GROUP BY 1, 2)
+    SELECT dataset_id, record_id, filled, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY filled DESC, record_id) AS INTEGER) AS place FROM k WHERE named > 0) WHERE place <= 50""")
+def searched_records(spark, sf_dir):
+    return gapfill.searched_records(cells(spark, sf_dir), ["customer_name", "supplier_name", "part_name"], 50)
+
+
+@query(f"""WITH {CELLS}, required(dataset_id, field) AS (VALUES ('customers', 'segment'), ('customers', 'balance'), ('suppliers', 'website'), ('parts', 'part_name')),
+    r AS (SELECT c.dataset_id, record_id, (SELECT count(*) FROM required q WHERE q.dataset_id = c.dataset_id) - count(DISTINCT q.field) FILTER (WHERE {_HELD}) AS missing
+          FROM cells c LEFT JOIN required q ON q.dataset_id = c.dataset_id AND q.field = c.field GROUP BY 1, 2)
+    SELECT dataset_id, record_id, missing, CASE WHEN missing = 0 THEN 'kept' WHEN min(missing) OVER (PARTITION BY dataset_id) > 0 THEN 'rescued' ELSE 'dropped' END AS outcome FROM r""")
+def required_fields(spark, sf_dir):
+    required = [("customers", "segment"), ("customers", "balance"), ("suppliers", "website"), ("parts", "part_name")]
+    return gapfill.required_gate(cells(spark, sf_dir), spark.createDataFrame(required, "dataset_id string, field string"))
+
+
+@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, verification_status = 'judgment_unavailable' AND row_number() OVER (PARTITION BY dataset_id, verification_status = 'judgment_unavailable' ORDER BY record_id, field) <= 25 AS asked FROM cells""")
+def judge_budget(spark, sf_dir):
+    return gapfill.judged_within(cells(spark, sf_dir), 25).select("dataset_id", "record_id", "field", "asked")
+
+
+@query(f"WITH {CELLS} SELECT dataset_id, verification_status AS status, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY dataset_id), 6) AS share FROM cells WHERE {_HELD} GROUP BY 1, 2")
+def verify_summary(spark, sf_dir):
+    return gapfill.verify_summary(cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS} SELECT dataset_id, field, round(count(*) FILTER (WHERE regexp_matches(regexp_replace(value, '[,$%\\s]', '', 'g'), '^([-+]?([0-9]+[.]?[0-9]*|[.][0-9]+))?$')) / count(*), 6) AS share FROM cells WHERE {_HELD} GROUP BY 1, 2""")
+def numeric_share(spark, sf_dir):
+    return gapfill.numeric_share(cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT dataset_id, field, value, count(*) AS n, count(*) OVER (PARTITION BY dataset_id, field) AS distinct_values, row_number() OVER (PARTITION BY dataset_id, field ORDER BY count(*) DESC, value) AS r
+    FROM cells WHERE {_HELD} GROUP BY 1, 2, 3) SELECT dataset_id, field, value, n FROM n WHERE distinct_values >= 2 AND r <= 8""")
+def top_categories(spark, sf_dir):
+    return gapfill.top_categories(cells(spark, sf_dir))
+
+
+@query(f"""WITH {CELLS}, a AS (SELECT dataset_id, epoch(TIMESTAMP '{NOW}' - retrieved_at) / 86400.0 AS days FROM cells WHERE retrieved_at IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY days) - 1 AS i, count(*) OVER (PARTITION BY dataset_id) AS n FROM a)
+    SELECT dataset_id, count(*) AS dated, count(*) FILTER (WHERE days <= 1) AS recent, max(CASE WHEN i = n // 2 THEN days END) AS median_days, max(days) AS oldest_days, round(count(*) FILTER (WHERE days <= 1) / count(*), 6) AS share FROM r GROUP BY 1""")
+def fresh_share(spark, sf_dir):
+    return gapfill.fresh_share(cells(spark, sf_dir), now())
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' Co., Pvt. Ltd'), '\b(ltd|inc|llc|pvt|private|limited|corp|co)\b', '', 'g'), '[^a-z0-9]+', '', 'g') AS key FROM part")
+def document_key(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", gapfill.document_key(F.concat("p_name", F.lit(" Co., Pvt. Ltd"))).alias("key"))
+
+
+_HOST = "regexp_replace(lower(regexp_extract({}, '//([^/?#:]*)', 1)), '^www\\.', '')"
+
+
+@query(f"""WITH l AS (SELECT page_id, url AS website, 'https://' || CASE n WHEN 0 THEN 'www.linkedin.com/x' WHEN 1 THEN 'news.example.net/a' WHEN 2 THEN {_HOST.format('url')} || '/about' ELSE 'm.facebook.com/y' END AS url, n AS position FROM pages, range(4) AS t(n))
+    SELECT page_id AS record_id, url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE position WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, position) AS INTEGER) AS place FROM l""")
+def ranked_results(spark, sf_dir):
+    shown = F.array(F.lit("www.linkedin.com/x"), F.lit("news.example.net/a"), F.concat(U.host_of(F.col("url")), F.lit("/about")), F.lit("m.facebook.com/y"))
+    rows = load(spark, sf_dir, "pages").select(F.col("page_id").alias("record_id"), F.col("url").alias("website"), F.posexplode(shown).alias("position", "at"))
+    return gapfill.ranked_results(rows.withColumn("url", F.concat(F.lit("https://"), "at"))).select("record_id", "url", "place")
+
+
+@query("""WITH runs AS (SELECT user_id AS run_id, bool_or(event_type = 'error') AS partial, max(event_type) AS status FROM events GROUP BY 1)
+    SELECT c_custkey AS dataset_id, coalesce(partial OR status = 'PARTIAL', false) AS partial FROM customer LEFT JOIN runs ON run_id = c_custkey""")
+def partial_runs(spark, sf_dir):
+    runs = load(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), (F.col("event_type") == "error").alias("partial"), F.col("event_type").alias("status"))
+    datasets = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dataset_id"), F.col("c_custkey").alias("run_id"))
+    return gapfill.partial_runs(datasets, runs).select("dataset_id", "partial")
+
+
+@query("""WITH fields(field, position) AS (VALUES ('view', 1), ('click', 2), ('never', 3)), raw AS (SELECT user_id AS record_id, event_type AS field, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY 1, 2),
+    e AS (SELECT user_id AS record_id, event_type AS field, arg_min(props, event_id) AS quote FROM events GROUP BY 1, 2)
+    SELECT r.record_id, f.field, f.position, raw.value, coalesce(e.quote, '') AS quote, CASE WHEN e.quote IS NULL THEN 'llm' ELSE 'json' END AS read_method
+    FROM (SELECT DISTINCT record_id FROM raw) r CROSS JOIN fields f LEFT JOIN raw USING (record_id, field) LEFT JOIN e USING (record_id, field)""")
+def wrapped_records(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), F.col("event_type").alias("field"), "event_id", "props")
+    raw = e.groupBy("record_id", "field").agg(F.max("event_id").cast("string").alias("value"))
+    evidence = e.select("record_id", "field", F.col("event_id").alias("ordinal"), F.col("props").alias("quote"), F.lit("json").alias("read_method"))
+    return gapfill.wrapped(spark.createDataFrame([("view", 1), ("click", 2), ("never", 3)], "field string, position int"), raw, evidence)
+
+
+# verdicts
+
+@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE WHEN verification_status <> 'verified' THEN 'unverifiable' WHEN coalesce(rival, '') = '' AND NOT ({_HELD}) THEN 'empty'
+    WHEN value IS NULL OR lower(value) IN ('na') THEN 'empty' ELSE 'unchanged' END AS decision FROM cells""")
+def refresh_decisions(spark, sf_dir):
+    return cells(spark, sf_dir).select("dataset_id", "record_id", "field", verify.refresh_decision(F.col("value"), F.upper("value"), F.col("verification_status")).alias("decision"))
+
+
+@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE verdict WHEN 'B' THEN rival WHEN 'INSUFFICIENT' THEN NULL ELSE value END AS value, CASE verdict WHEN 'B' THEN 'adopted' WHEN 'INSUFFICIENT' THEN 'withdrawn' ELSE 'kept' END AS resolved
+    FROM (SELECT *, list_extract(['A', 'B', 'INSUFFICIENT'], CAST(length(field) % 3 + 1 AS INTEGER)) AS verdict FROM cells WHERE rival IS NOT NULL)""")
+def adjudicated(spark, sf_dir):
+    verdict = F.get(F.array(F.lit("A"), F.lit("B"), F.lit("INSUFFICIENT")), F.length("field") % 3)
+    return verify.adjudicate(cells(spark, sf_dir).filter("rival is not null").withColumn("verdict", verdict)).select("dataset_id", "record_id", "field", "value", "resolved")
+
+
+@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE WHEN verification_status <> 'judgment_unavailable' THEN verification_status WHEN length(field) > 8 THEN 'verified' WHEN length(field) > 6 THEN 'unverified' ELSE verification_status END AS verification_status FROM cells""")
+def rejudged(spark, sf_dir):
+    rows = cells(spark, sf_dir)
+    verdict = F.when(F.length("field") > 8, "SUPPORTED").when(F.length("field") > 6, "NOT_SUPPORTED")
+    verdicts = rows.filter("verification_status = 'judgment_unavailable'").select("record_id", "field", verdict.alias("verdict"))
+    return verify.rejudge(rows, verdicts).select("dataset_id", "record_id", "field", "verification_status")
+
+
+@query("""WITH g AS (SELECT user_id AS question, event_type, count(*) AS n FROM events GROUP BY 1, 2), q AS (SELECT question, count(*) AS clusters, CAST(sum(n) AS BIGINT) AS models, max(n) AS largest FROM g GROUP BY 1)
+    SELECT *, round(largest / models, 3) AS ratio, CASE WHEN models = 1 THEN 'single-model' WHEN clusters = 1 THEN 'unanimous' WHEN largest / models >= 0.6 THEN 'majority' WHEN largest / models >= 0.4 THEN 'split' ELSE 'polarised' END AS label FROM q""")
+def answer_consensus(spark, sf_dir):
+    return verify.consensus(load(spark, sf_dir, "events").select(F.col("user_id").alias("question"), F.upper("event_type").alias("answer")), most=None)

@@ -15,9 +15,11 @@ def test_guarded_sql(spark):
     assert [r.n for r in guarded_sql.run(rows, "SELECT n FROM records ORDER BY n DESC", keep_order=True).collect()] == [3, 2, 1]
     assert guarded_sql.run(rows, "SELECT a.n AS x FROM records AS a JOIN records AS b ON a.n = b.n", 2).count() == 2
     assert guarded_sql.run(rows, "SELECT name, row_number() OVER (PARTITION BY name ORDER BY n) AS r FROM records").count() == 3
-    for bad in ("", "DROP TABLE records", "SELECT 1; SELECT 2", "SELECT secret FROM records", "SELECT * FROM users", "SELECT pg_sleep(9)", "UPDATE records SET n = 1", "SELECT n INTO x FROM records"):
+    for bad in ("", "DROP TABLE records", "SELECT 1; SELECT 2", "SELECT secret FROM records", "SELECT * FROM users", "SELECT pg_sleep(9)", "UPDATE records SET n = 1", "SELECT n INTO x FROM records", r"SELECT '\'' , secret , '\'' FROM records", "SELECT 'a", "SELECT 1 /* a", "SELECT n FROM records -- x\n; SELECT 2", "SELECT n @ 2 FROM records"):
         with pytest.raises(guarded_sql.Refused):
             guarded_sql.run(rows, bad)
+    assert guarded_sql.run(rows, "SELECT 'it''s; DROP' AS x, n FROM records /* secret */ WHERE n > 1 -- drop").count() == 2
+    assert guarded_sql.bare("a 'b''c' --d\ne/*f*/g") == "a '''' \ne g"
     spark.createDataFrame([("z", 9)], "name string, n int").createOrReplaceTempView("name")  # a table named like a column
     with pytest.raises(guarded_sql.Refused):
         guarded_sql.run(rows, "SELECT * FROM name")

@@ -45,12 +45,13 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() >= 0
 
 
-def test_joins_over_tables(spark, tmp_path):
+def test_joins_over_whole_tables(spark, tmp_path):
     tables = {
         "customer": ([(i, f"Customer#{i:09d}", i % 4) for i in range(6)], "c_custkey long, c_name string, c_nationkey long"),
         "orders": ([(10, 1, "F"), (11, 1, "O"), (12, 3, "F"), (13, 8, "P"), (14, 8, "F"), (15, 9, "O"), (16, 0, "O")], "o_orderkey long, o_custkey long, o_orderstatus string"),
         "supplier": ([(1, "Supplier#000000001", 1), (2, "Supplier#000000005", 9)], "s_suppkey long, s_name string, s_nationkey long"),
         "nation": ([(i, i % 5) for i in range(4)], "n_nationkey long, n_regionkey long"),
+        "region": ([(1,), (9,)], "r_regionkey long"),
         "pages": ([(i,) for i in range(5)], "page_id long"),
         "events": ([(1,), (2,), (3,), (9,)], "event_id long"),
     }
@@ -60,7 +61,7 @@ def test_joins_over_tables(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = {
         "identity_join": [(10, 1), (11, 1), (12, 3), (16, 0)], "identity_anti_unmatched": [(2,), (4,), (5,)], "cross_dataset_semi": [("customers", 2, "c1,c5")],
-        "reuse_semi": [(1,), (2,), (3,)], "intersect_except": [(0,), (2,), (3,)], "insert_or_ignore": [(8, 13, "P"), (9, 15, "O")],
+        "reuse_semi": [(1,), (2,), (3,)], "intersect_except": [(0,), (2,), (3,)], "insert_or_ignore": [(0, 16, "O"), (3, 12, "F"), (8, 13, "P"), (9, 15, "O")],
     }
     for name, rows in want.items():
         assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) == rows == sorted(con.sql(ORACLES[name]).fetchall()), name

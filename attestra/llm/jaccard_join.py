@@ -240,6 +240,8 @@ def _gatherer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner, hashes, degrees = (np.concatenate([f[k] for f in found]) for k in range(3))
             enough = np.bincount(owner, minlength=len(nodes)) >= need(sizes)
             kept = np.flatnonzero(enough[owner])
+            if not len(kept):
+                continue
             kept = kept[np.lexsort((hashes[kept], owner[kept]))]
             owner, hashes, degrees = owner[kept], hashes[kept], degrees[kept]
             # two lots that hold the same count as one
@@ -253,8 +255,7 @@ def _gatherer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(nodes[who].view(np.int64)), pa.array(sizes[who].astype(np.int64)),
                 pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()), pa.array([degrees[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
             ]
-            if cuts:
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARED.split(", ")])
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARED.split(", ")])
 
 
 def choose_matches(degrees: np.ndarray, unshared: int, n: int) -> tuple[int, int]:

@@ -399,6 +399,13 @@ def test_index_of_two_batches_equals_one(spark, documents, rows, tmp_path):
     assert sorted(map(tuple, index.known().collect())) == known and spark.table(index.name).count() == fresh
 
 
+def test_a_shared_passage_alone_links_nothing(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(80))) for i in range(6)]
+    got = jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, 96, i) for i in range(6)}
+
+
 def test_names_that_clash(spark, documents):
     extra = {c: F.lit(c) for c in ("_digest", "_id", "_row_key", "_times", "count", "row_key", "_hot", "node", "component", "digest", "_pass")}
     rows = documents.withColumns(extra)

@@ -10,9 +10,10 @@ Suffixes that share 100 bytes also share an anchor, the 20 bytes of least hash i
 180 bytes around it. So suffix arrays are built per bucket of anchors:
 
 1. Anchors are dealt with a digest of the bytes around. An anchor that occurs once cannot match. Of equal
-   surroundings all but the first are removable as a whole; this settles the inside of long repeats.
+   surroundings, known by 64-bit digests, all but the first are removable as a whole; this settles the inside of long repeats.
 2. Where an anchor has different surroundings, its documents are asked for these bytes.
-3. Each bucket sorts the suffixes of its surroundings up to 100 bytes and sends removable runs home.
+3. Each bucket builds the longest-previous-factor array of its surroundings, up to 100 bytes, and sends
+   removable runs home.
 
 Texts meet their requests and their runs in one shuffle, which both joins use. Blocks of numbers travel
 between the steps, not rows.
@@ -287,15 +288,62 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, shared
 
 
-def previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Which suffixes of ``data``, at ``at``, have a previous factor of ``least`` bytes.
+def _previous_smaller(values: np.ndarray) -> np.ndarray:
+    """The nearest position to the left with a smaller value, -1 where there is none.
 
-    ``doc`` and ``place`` say where a suffix stands in the corpus. Suffix order up to ``least`` bytes comes
-    from prefix doubling, 8 bytes at first; suffixes that no other one shares a prefix with drop out at
-    each step. In suffix order with equal suffixes in order of place, the previous smaller position
-    shares ``least`` bytes exactly for all but the first of a run; the next smaller one adds nothing.
+    All positions climb a tree of minima until a left neighbour holds a smaller value, then descend into it,
+    so 2 log n rounds suffice whatever the order of the values.
     """
-    out = np.zeros(len(at), bool)
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64)
+    leaves = 1 << (n - 1).bit_length()
+    tree = np.full(2 * leaves, np.iinfo(np.int64).max)
+    tree[leaves : leaves + n] = values
+    level = leaves
+    while level > 1:
+        half = level >> 1
+        tree[half:level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+        level = half
+    found = np.full(n, -1)
+    who, node = np.arange(n), np.arange(leaves, leaves + n)
+    turned, below = [], []
+    while len(who):
+        right = (node & 1) == 1
+        right &= (node > 1) & (tree[node - 1] < values[who])
+        turned.append(who[right])
+        below.append(node[right] - 1)
+        up = ~right & (node > 1)
+        who, node = who[up], node[up] >> 1
+    who, node = np.concatenate(turned), np.concatenate(below)
+    while len(who):
+        leaf = node >= leaves
+        found[who[leaf]] = node[leaf] - leaves
+        who, node = who[~leaf], node[~leaf] << 1
+        node += tree[node + 1] < values[who]
+    return found
+
+
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many of the next ``most`` bytes at ``a`` and at ``b`` are equal before the first that differs."""
+    out = np.empty(len(a), np.int64)
+    step = np.arange(most)
+    for i in range(0, len(a), 1 << 14):
+        differ = data[a[i : i + (1 << 14), None] + step] != data[b[i : i + (1 << 14), None] + step]
+        out[i : i + (1 << 14)] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    return out
+
+
+def longest_previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The longest previous factor, up to ``least``, of the suffixes of ``data`` at ``at``; each has ``least`` bytes.
+
+    ``doc`` and ``place`` say where a suffix stands in the corpus; suffixes of one place are no earlier than each
+    other. Factors shorter than the largest 8 * 2^k that is no more than ``least`` are given as 0: prefix doubling
+    drops suffixes that share no prefix of that size. The rest are sorted by their next bytes. In this suffix order,
+    among suffixes of an earlier place the one with the longest common prefix is the previous or the next smaller place, so
+    comparing the bytes of these two gives the factor.
+    """
+    out = np.zeros(len(at), np.int64)
     word = np.zeros(len(data), np.uint64)
     tail = np.concatenate([data, np.zeros(8, np.uint8)])
     for b in range(8):
@@ -309,18 +357,27 @@ def previous_factors(data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: n
         rank, shared = np.zeros(len(data), np.uint64), np.zeros(len(data), bool)
         rank[both], shared[both] = joined, again
         size *= 2
-    gap = least - size
-    some = np.flatnonzero(shared[at] & shared[at + gap])
+    some = np.flatnonzero(shared[at])
     if not len(some):
         return out
-    whole, again = _ranks((rank[at[some]] << np.uint64(32)) | rank[at[some] + gap])
-    some, whole = some[again], whole[again]
-    order = np.lexsort((place[some], doc[some], whole))
-    some, whole = some[order], whole[order]
+    begin = at[some]
+    keys = [word[begin + i] for i in sorted({*range(size, least - 7, 8), max(size - 8, least - 8)}, reverse=True)]
+    order = np.lexsort([*keys, rank[begin]])
+    some, begin, whole = some[order], begin[order], rank[begin[order]]
+    del keys, order, word, rank, shared
+    # one number for each place of the corpus, by document and position
+    by_place = np.lexsort((place[some], doc[some]))
     new = np.ones(len(some), bool)
-    new[1:] = whole[1:] != whole[:-1]
-    first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))] if len(some) else some
-    out[some] = (doc[some] != doc[first]) | (place[some] != place[first])
+    new[1:] = (np.diff(doc[some][by_place]) != 0) | (np.diff(place[some][by_place]) != 0)
+    number = np.empty(len(some), np.int64)
+    number[by_place] = np.cumsum(new)
+    before = _previous_smaller(number)
+    after = _previous_smaller(number[::-1])[::-1]
+    after = np.where(after < 0, -1, len(some) - 1 - after)
+    for other in (before, after):
+        same = np.flatnonzero((other >= 0) & (whole[other] == whole))
+        common = _common(data, begin[same], begin[other[same]], least)
+        out[some[same]] = np.maximum(out[some[same]], common)
     return out
 
 
@@ -335,7 +392,7 @@ def _solver(homes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             piece = np.repeat(np.arange(len(size)), windows)
             inside = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
             place = x["start"].astype(np.int64)[piece] + inside
-            found = previous_factors(data, base[piece] + inside, x["doc"][piece], place)
+            found = longest_previous_factors(data, base[piece] + inside, x["doc"][piece], place) >= LEAST
             doc, start, end = merged(x["doc"][piece[found]], place[found], place[found] + LEAST)
             if len(doc):
                 yield _batch(_deal(1, _home(doc, homes), _SPANS, {"doc": doc, "start": start, "end": end}))

@@ -202,11 +202,44 @@ def test_repeated_strings(spark, documents, rows, many, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in repeats.without_repeats(documents, False).collect()} == want
 
 
+def test_longest_previous_factors_by_brute_force():
+    draw = np.random.default_rng(5)
+    for least, letters, n in ((16, 2, 400), (20, 1, 90), (100, 2, 700), (30, 3, 500)):
+        data = draw.integers(97, 97 + letters, n).astype(np.uint8)
+        for _ in range(6):
+            a, b, size = *draw.integers(0, n - least - 40, 2), least + int(draw.integers(-30, 40))
+            data[b : b + max(0, size)] = data[a : a + max(0, size)]
+        at = np.arange(n - least + 1)
+        # places in another order than the bytes, some of them twice
+        doc, place = draw.integers(-3, 3, len(at)), draw.integers(0, 60, len(at))
+        exact = 8
+        while exact * 2 <= least:
+            exact *= 2
+        want = []
+        for i in at.tolist():
+            earlier = [j for j in at.tolist() if (doc[j], place[j]) < (doc[i], place[i])]
+            longest = 0
+            for j in earlier:
+                k = 0
+                while k < least and data[i + k] == data[j + k]:
+                    k += 1
+                longest = max(longest, k)
+            want.append(longest if longest >= exact else 0)
+        assert repeats.longest_previous_factors(data, at, doc, place, least).tolist() == want
+
+
+def test_previous_smaller_positions_in_any_order():
+    draw = np.random.default_rng(6)
+    for values in ([], [3], list(range(50)), list(range(50, 0, -1)), [2] * 9 + [1] * 9, *draw.integers(0, 20, (20, 37)).tolist()):
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert repeats._previous_smaller(np.array(values, np.int64)).tolist() == want
+
+
 def test_previous_factors_without_order():
     data = np.frombuffer(b"abcabcabcxabcabcabc" * 2, np.uint8)
     at = np.arange(len(data) - 15)
     want = [any(data[i : i + 16].tobytes() == data[j : j + 16].tobytes() for j in range(i)) for i in at]
-    assert repeats.previous_factors(data, at, np.zeros(len(at), int), at, 16).tolist() == want
+    assert (repeats.longest_previous_factors(data, at, np.zeros(len(at), int), at, 16) >= 16).tolist() == want
 
 
 def plain_components(rows):

@@ -245,8 +245,8 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if n.tag and matches(n, len(steps) - 1)]
 
 
-def css_records(html: str | None, item: str, fields: dict[str, list[str]], most: int = 25) -> list[dict[str, str]]:
-    """Records of the containers ``item``; each field from the first of its selectors that finds text."""
+def css_records(html: str | None, item: str, fields: dict[str, list[str]], most: int | None = 25) -> list[dict[str, str]]:
+    """Records of the containers ``item``, all if ``most`` is None; each field from the first of its selectors that finds text."""
     out = []
     for box in select(parse(html), item)[:most]:
         found = {}
@@ -289,6 +289,16 @@ def labelled_lines(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("label", "value", "line"), p, strict=True)) for p in labelled_pairs(t)])
 
 
+def selected_records(html: Column | str, item: str, fields: dict[str, list[str]], most: int | None = 25) -> Column:
+    """``css_records`` of each page."""
+
+    @arrow_function("array<map<string,string>>")
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: css_records(h, item, fields, most))
+
+    return found(html)
+
+
 @arrow_function("array<map<string,string>>")
 def json_records(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: [{k: as_text(v) for k, v in r.items()} for r in records_in(p)])

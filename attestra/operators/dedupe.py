@@ -148,9 +148,10 @@ def duplicates_across(own: DataFrame, others: DataFrame, keys: list[str], most_e
 
 def merge_batches(batches: DataFrame, ordinal: str) -> DataFrame:
     """Records of overlapping chunks: equal fields and quotes, in any order, are one record; the first stays."""
-    canonical = F.concat_ws("\x1f", F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat_ws("=", F.lower(e["key"]), F.lower(F.btrim(e["value"]))))))
-    quotes = F.concat_ws("\x1f", F.array_sort(F.transform("quotes", lambda q: F.lower(F.regexp_replace(F.btrim(q), r"\s+", " ")))))
-    rows = batches.withColumn("_key", F.concat(canonical, F.lit("\x1e"), quotes))
+    plain = lambda e: F.struct(F.lower(e["key"]).alias("name"), F.lower(F.btrim(e["value"])).alias("value"))
+    fields = F.array_sort(F.transform(F.map_entries("fields"), plain))
+    quotes = F.array_sort(F.transform("quotes", lambda q: F.lower(F.regexp_replace(F.btrim(q), r"\s+", " "))))
+    rows = batches.withColumn("_key", F.struct(fields.alias("fields"), quotes.alias("quotes")))
     rest = [c for c in batches.columns]
     return rows.groupBy("_key").agg(F.min_by(F.struct(*rest), F.col(ordinal)).alias("row")).select(*[F.col("row")[c].alias(c) for c in rest])
 

@@ -757,3 +757,6 @@ def rejudged(spark, sf_dir):
     SELECT *, round(largest / models, 3) AS ratio, CASE WHEN models = 1 THEN 'single-model' WHEN clusters = 1 THEN 'unanimous' WHEN largest / models >= 0.6 THEN 'majority' WHEN largest / models >= 0.4 THEN 'split' ELSE 'polarised' END AS label FROM q""")
 def answer_consensus(spark, sf_dir):
     return verify.consensus(load(spark, sf_dir, "events").select(F.col("user_id").alias("question"), F.upper("event_type").alias("answer")), most=None)
+
+
+from . import stored_queries  # noqa: E402, F401  it registers its queries

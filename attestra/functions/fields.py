@@ -62,6 +62,15 @@ def lenient_json(text: str) -> object:
     return None
 
 
+def json_kind(text: Column) -> Column:
+    """object, array, string, number, boolean or null by the JSON in a text; null if it is no JSON."""
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return (
+        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean")
+        .when(kind == "VOID", "null").when(kind.isNotNull(), "number")
+    )
+
+
 def html_sample(html: Column, budget: int = 12000) -> Column:
     """The beginning, the middle and the end of a long document."""
     quarter, half = budget // 4, budget // 2

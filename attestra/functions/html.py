@@ -202,6 +202,30 @@ def records_in(payload: str | None, most: int = 500) -> list[dict]:
     return []
 
 
+def script_strings(html: str | None, shortest: int = 4, longest: int = 200, most: int | None = 400) -> list[str]:
+    """The keys and texts in the JSON of scripts, data or assignments, in order; at most ``most`` of each script, all if None."""
+    out: list[str] = []
+    for node in parse(html).walk():
+        if node.tag != "script":
+            continue
+        body = re.sub(r"^\s*[\w.$]+\s*=\s*|;\s*$", "", "".join(c for c in node.children if isinstance(c, str))).strip()
+        try:
+            stack = [json.loads(body)] if len(body) >= 20 else []
+        except ValueError:
+            continue
+        found = []
+        while stack:
+            x = stack.pop()
+            if isinstance(x, dict):
+                stack += [part for key, value in reversed(x.items()) for part in (value, key)]
+            elif isinstance(x, list):
+                stack += reversed(x)
+            elif isinstance(x, str) and shortest <= len(x) <= longest:
+                found.append(x)
+        out += found[:most]
+    return out
+
+
 def _simple(selector: str) -> tuple[str, list[tuple[str, str]], int | None]:
     tag = re.match(r"^[A-Za-z][A-Za-z0-9]*|\*", selector)
     tests = [("class" if m[1] == "." else "id", m[2]) for m in re.finditer(r"([.#])([\w-]+)", selector)]
@@ -299,6 +323,16 @@ def selected_records(html: Column | str, item: str, fields: dict[str, list[str]]
     return found(html)
 
 
+def page_script_strings(html: Column | str, shortest: int = 4, longest: int = 200, most: int | None = 400) -> Column:
+    """``script_strings`` of each page."""
+
+    @arrow_function("array<string>")
+    def found(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: script_strings(h, shortest, longest, most))
+
+    return found(html)
+
+
 @arrow_function("array<map<string,string>>")
 def json_records(payload: pd.Series) -> pd.Series:
     return payload.map(lambda p: [{k: as_text(v) for k, v in r.items()} for r in records_in(p)])

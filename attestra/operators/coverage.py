@@ -106,6 +106,13 @@ def gaps(coverage: DataFrame) -> DataFrame:
     return rows.select("dataset_id", "field", "category", "present", "missing", "unverified", "conflicting", "outstanding").orderBy("dataset_id", F.desc("outstanding"), "field")
 
 
+def scorecard(coverage: DataFrame) -> DataFrame:
+    """Every declared field with its coverage, and the gap and the work that are left, if any."""
+    left = gaps(coverage).select("dataset_id", "field", "category", "outstanding")
+    shown = coverage.select("dataset_id", "field", "records", "present", "coverage_pct", "proven_pct")
+    return shown.join(left, ["dataset_id", "field"], "left").withColumn("outstanding", F.coalesce("outstanding", F.lit(0)))
+
+
 def backlog(coverage: DataFrame) -> DataFrame:
     """Per field: why work is left, how much, and whether fetching can help."""
     reason = (

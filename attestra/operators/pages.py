@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions.texts import stem
 from ..functions.urls import canonical_url, host_of, site_host, site_key
+from ..session import checkpoint_folder
 
 REDUCER_VERSION = 1
 #: Patterns of the regex rung.
@@ -94,15 +95,20 @@ def tripwire(text: Column, expected: list[str]) -> Column:
     return F.struct(F.array_join(F.filter(terms, held), ",").alias("matched"), F.array_join(F.filter(terms, lambda t: ~held(t)), ",").alias("missing"))
 
 
-def crawl_tree(spark: SparkSession, pages: DataFrame, most_depth: int = 10) -> DataFrame:
-    """(url, root, depth) of every page from its root, by parent pointers."""
-    pages.createOrReplaceTempView("_crawl_pages")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(url, root, depth) AS (
-            SELECT url, url, 0 FROM _crawl_pages WHERE parent_url IS NULL
-            UNION ALL
-            SELECT p.url, t.root, t.depth + 1 FROM _crawl_pages p JOIN tree t ON p.parent_url = t.url WHERE t.depth < {int(most_depth)})
-        SELECT url, root, depth FROM tree""")
+def crawl_tree(pages: DataFrame, most_depth: int = 10) -> DataFrame:
+    """(url, root, depth) of every page at most ``most_depth`` below a page without parent, by pointer jumping.
+
+    Each round doubles the distance that a page sees. Pages below an unknown parent and pages in a circle have no root and are left out.
+    """
+    checkpoint_folder(pages.sparkSession)
+    parent, depth = F.col("parent_url"), F.col("depth")
+    seen, reach = pages.select("url", F.coalesce(parent, "url").alias("root"), parent.isNotNull().cast("int").alias("depth")), 1
+    while reach < most_depth:
+        up = seen.select(F.col("url").alias("root"), F.col("root").alias("_next"), depth.alias("_more"))
+        seen = seen.join(up, "root").select("url", F.col("_next").alias("root"), (depth + F.col("_more")).alias("depth")).filter(depth <= most_depth).checkpoint()
+        reach *= 2
+    roots = pages.filter(parent.isNull()).select(F.col("url").alias("root")).distinct()
+    return seen.filter(depth <= most_depth).join(roots, "root", "left_semi").select("url", "root", "depth")
 
 
 def looks_like_shell(html: Column, text: Column, least: int = 200) -> Column:
@@ -113,3 +119,21 @@ def looks_like_shell(html: Column, text: Column, least: int = 200) -> Column:
 def fetch_outcome(pages: DataFrame) -> DataFrame:
     """Crawl counts by status and cause."""
     return pages.groupBy("status").agg(F.count("*").alias("pages"), F.count_if(F.col("error_code").isNotNull()).alias("with_cause"))
+
+
+def source_events(fetches: DataFrame) -> DataFrame:
+    """An event for each fetch (url, status ok, failed or skipped, reason, error_code, fallback_used), those that failed among them.
+
+    What a fallback served is kept but degraded: it is not what was asked for.
+    """
+    back = F.coalesce("fallback_used", F.lit(False))
+    status = F.when(back, "degraded").otherwise(F.coalesce("status", F.lit("failed")))
+    good = status == "ok"
+    label = F.when(good, "Fetched").when(status == "degraded", "Degraded").when(status == "skipped", "Skipped").otherwise("Failed")
+    reason = F.coalesce("reason", F.lit(""))
+    head = F.concat(label, F.lit(" "), F.left(F.coalesce("url", F.lit("")), F.lit(80)))
+    message = F.when(good, head).otherwise(F.concat(head, F.lit(": "), F.left(reason, F.lit(120))))
+    return fetches.select(
+        "url", F.when(good, "source.fetched").otherwise("source.failed").alias("type"), message.alias("message"), good.alias("ok"), status.alias("status"),
+        F.when(good, "").otherwise(F.left(reason, F.lit(300))).alias("reason"), F.coalesce("error_code", F.lit("")).alias("error_code"),
+    )

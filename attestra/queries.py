@@ -404,7 +404,7 @@ def recursive_crawl_tree(spark, sf_dir):
     name = lambda c: F.concat(F.lit("u"), c.cast("string"))
     key = F.col("page_id")
     parent = F.when(key % 16 == 0, None).when(key % 2 == 1, name(key - 1)).otherwise(name(key - 2))
-    return pages.crawl_tree(spark, load(spark, sf_dir, "pages").select(name(key).alias("url"), parent.alias("parent_url")))
+    return pages.crawl_tree(load(spark, sf_dir, "pages").select(name(key).alias("url"), parent.alias("parent_url")))
 
 
 # windows, latest rows, sets

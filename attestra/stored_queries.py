@@ -334,3 +334,34 @@ def event_snapshot(spark, sf_dir):
 @query(f"""WITH p AS ({ORACLES["field_profile"]}) SELECT dataset_id, field, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY filled DESC, field) AS place FROM p WHERE kind IN ('numeric', 'date', 'categorical') AND "distinct" >= 2) WHERE place <= 4""")
 def drawn_fields(spark, sf_dir):
     return profile.shapes(QUERIES["field_profile"](spark, sf_dir)).select("dataset_id", "field", "place")
+
+
+@query("""SELECT event_id, CASE WHEN value > 250 THEN 'source.failed' WHEN event_type IN ('view', 'click') THEN 'source.fetched' ELSE 'source.failed' END AS type,
+    CASE WHEN value > 250 THEN 'Degraded ' || props || ': slow' WHEN event_type IN ('view', 'click') THEN 'Fetched ' || props WHEN event_type = 'error' THEN 'Failed ' || props || ': slow' ELSE 'Skipped ' || props || ': slow' END AS message,
+    CASE WHEN value > 250 THEN 'degraded' WHEN event_type IN ('view', 'click') THEN 'ok' WHEN event_type = 'error' THEN 'failed' ELSE 'skipped' END AS status FROM events""")
+def source_events(spark, sf_dir):
+    # the id takes the place of the unused error code, so that each event can be told
+    kind = F.when(F.col("event_type").isin("view", "click"), "ok").when(F.col("event_type") == "error", "failed").otherwise("skipped")
+    rows = load(spark, sf_dir, "events").select(F.col("props").alias("url"), kind.alias("status"), F.lit("slow").alias("reason"), F.col("event_id").cast("string").alias("error_code"), (F.col("value") > 250).alias("fallback_used"))
+    return pages.source_events(rows).select(F.col("error_code").cast("long").alias("event_id"), "type", "message", "status")
+
+
+@query("""WITH t AS (SELECT event_id, n, CASE n WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN '"' || event_type || '"' WHEN 3 THEN CAST(event_id AS VARCHAR) WHEN 4 THEN 'true' WHEN 5 THEN 'null' ELSE '{' || event_type END AS text FROM events, range(7) AS r(n))
+    SELECT event_id, CAST(n AS INTEGER) AS form, CASE WHEN json_valid(text) THEN CASE json_type(text) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind FROM t""")
+def json_kinds(spark, sf_dir):
+    quoted = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    forms = F.array(F.col("props"), quoted("[", "props", "]"), quoted('"', "event_type", '"'), F.col("event_id").cast("string"), F.lit("true"), F.lit("null"), quoted("{", "event_type", ""))
+    rows = load(spark, sf_dir, "events").select("event_id", F.posexplode(forms).alias("form", "text"))
+    return rows.select("event_id", "form", V.json_kind(F.col("text")).alias("kind"))
+
+
+@query("""SELECT event_id, CAST(n AS INTEGER) AS position, list_extract(['page', 'title', event_type || ' run', 'deep', 'long enough'], CAST(n + 1 AS INTEGER)) AS text FROM events, range(5) AS r(n)""")
+def script_strings(spark, sf_dir):
+    html = F.concat(F.lit('<p>x</p><script>var n = 1;</script><script>window.__STATE__ = {"page": {"title": "'), "event_type", F.lit(' run", "deep": ["abc", "long enough", 5]}, "n": 1};</script>'))
+    return load(spark, sf_dir, "events").select("event_id", F.posexplode(H.page_script_strings(html, most=None)).alias("position", "text"))
+
+
+@query(f"""WITH c AS ({ORACLES["coverage_by_field"]}), g AS ({ORACLES["gaps_derived"]})
+    SELECT c.dataset_id, c.field, c.records, c.present, c.coverage_pct, c.proven_pct, g.category, coalesce(g.outstanding, 0) AS outstanding FROM c LEFT JOIN g ON g.dataset_id = c.dataset_id AND g.field = c.field""")
+def scorecard(spark, sf_dir):
+    return coverage.scorecard(coverage.field_coverage(cells(spark, sf_dir), declared(spark)))

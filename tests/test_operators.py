@@ -178,3 +178,35 @@ def test_sectors():
     assert venture["sector"] == "venture" and venture["matched_fields"]
     assert sectors.sector([{"name": "mood"}])["method"] == "below-floor" and sectors.sector([])["method"] == "none"
     assert sectors.sector([{"name": "ticker_quote"}, {"name": "hiring_role"}])["sector"] is None
+
+
+def test_crawl_tree_leaves_out_circles_orphans_and_the_deep(spark):
+    from attestra.operators import pages
+
+    chain = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(13)]
+    rows = chain + [("o", "nowhere"), ("x", "y"), ("y", "x"), ("k", "c0")]
+    got = {(r.url, r.root, r.depth) for r in pages.crawl_tree(spark.createDataFrame(rows, "url string, parent_url string"), 10).collect()}
+    assert got == {(f"c{i}", "c0", i) for i in range(11)} | {("k", "c0", 1)}
+    empty = spark.createDataFrame([], "url string, parent_url string")
+    assert pages.crawl_tree(empty, 3).collect() == []
+
+
+def test_merge_batches_tells_separators_inside_values_apart(spark):
+    from attestra.operators import dedupe
+
+    rows = [(1, {"a": "b=c"}, ["q"]), (2, {"a=b": "c"}, ["q"]), (3, {"A": " B=C "}, ["Q"]), (4, {"a": "b=c"}, []), (5, {"a": None}, None), (6, {"a": None}, None)]
+    merged = dedupe.merge_batches(spark.createDataFrame(rows, "i long, fields map<string,string>, quotes array<string>"), "i")
+    assert sorted(r.i for r in merged.collect()) == [1, 2, 4, 5]
+
+
+def test_values_of_odd_forms(spark):
+    from pyspark.sql import functions as F
+
+    from attestra.functions import fields, html
+
+    texts = ["{}", "[]", '""', "-1.5", "false", "null", "{", "", None]
+    kinds = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fields.json_kind(F.col("t"))).collect()]
+    assert kinds == ["object", "array", "string", "number", "boolean", "null", None, None, None]
+    many = "<script>" + str([f"word{i}" for i in range(1000)]).replace("'", '"') + "</script>"
+    assert len(html.script_strings(many)) == 400 and len(html.script_strings(many, most=None)) == 1000 and html.script_strings(None) == []
+    assert len(html.css_records("<ul>" + "<li><a>x</a></li>" * 60 + "</ul>", "li", {"w": ["a"]}, most=None)) == 60

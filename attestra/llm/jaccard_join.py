@@ -437,16 +437,13 @@ def links(live: DataFrame) -> DataFrame:
         side = lambda c: bitmaps.select(F.col("node").alias(c), F.col("bitmap").alias(f"bitmap_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").filter((F.col("held") - apart("bitmap_a", "bitmap_b")) * (100 + PERCENT) >= 2 * PERCENT * F.col("n")).select("a", "b")
 
-    def labelled(found: DataFrame | None) -> DataFrame:
-        """The posting lists that hold several components."""
-        if found is None:
-            own = posts.withColumn("component", F.col("node"))
-        else:
-            own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def labelled(found: DataFrame) -> DataFrame:
+        """The posting lists that hold several components; a node that ``found`` lacks is one of its own."""
+        own = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = own.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
         return materialize(own.join(mixed.select("token"), "token"), "mixed")
 
-    edges, found = spark.createDataFrame([], "a long, b long"), None
+    edges, found = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     for turn, leaders in enumerate(LEADERS):
         own = labelled(found)
         order = F.xxhash64("node", F.pmod(F.col("token"), F.lit(leaders)), F.lit(turn))
@@ -501,7 +498,7 @@ def near_components(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
+    """Of each component the rows with its smallest id, with their own columns; rows that repeat this id all stay, as no column tells them apart."""
     chosen = near_components(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     # a null id has no component to belong to and stays
     stay = documents.filter("doc_id is null")

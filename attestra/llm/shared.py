@@ -142,6 +142,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the byte strings data[start:end]."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_STEP, len(data)), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(_STEP_BACK, len(data))[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """The words of some texts: their 64-bit hashes and their texts' numbers, in order."""
 

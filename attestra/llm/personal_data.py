@@ -139,6 +139,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _below(ordered: Column, value: Column) -> Column:
+    """How many of the ordered numbers are below a value, by halving."""
+    halvings = F.sequence(F.lit(0), F.floor(F.log2(F.size(ordered) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        right = (low < high) & (F.get(ordered, middle) < value)
+        return F.struct(F.when(right, middle + 1).otherwise(low).alias("low"), F.when(right | (low >= high), high).otherwise(middle).alias("high"))
+
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), halve, lambda acc: acc["low"])
+
+
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id and ``found``: every candidate with its votes. Candidates that break a strict rule stay if they are plausible and apart from strict ones."""
     rows = documents.select("doc_id", flag_blank(F.col("text")).alias("text"))
@@ -153,7 +166,9 @@ def candidates(documents: DataFrame) -> DataFrame:
     strict = F.filter("spans", lambda x: x["base"])
     loose = F.filter("spans", lambda x: ~x["base"] & ((x["e"] - x["s"] >= 9) | (x["kind"] == "ip")))
     rows = rows.select("doc_id", strict.alias("strict"), loose.alias("loose"))
-    apart = F.filter("loose", lambda x: ~F.exists("strict", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
+    edges = F.struct(F.sort_array(F.col("strict")["s"]).alias("s"), F.sort_array(F.col("strict")["e"]).alias("e"))
+    # no strict span meets x if as many end before it as start before its end
+    apart = _let(edges, lambda t: F.filter("loose", lambda x: _below(t["s"], x["e"]) == _below(t["e"], x["s"] + 1)))
     return rows.select("doc_id", F.concat("strict", apart).alias("found"))
 
 

@@ -472,6 +472,27 @@ def test_personal_data_in_very_many_numbers(spark):
     assert f"email:{at}:{at + 11}" in got.spans and f"phone:{phone}:{phone + 15}" in got.spans and got.n_spans >= 2
 
 
+def test_personal_data_in_very_many_loose_numbers(spark):
+    """Numbers of 16 digits are candidates even where they fail their checksum; those that meet an address are not added."""
+    import time
+
+    r = random.Random(5)
+    words = [str(r.randint(10**15, 10**16 - 1)) if i % 2 else f"1.2.3.{i % 400}" for i in range(80_000)]
+    took = {}
+    for n in (1000, 40_000, 80_000):
+        table = spark.createDataFrame([(1, " x ".join(words[:n]))], "doc_id long, text string")
+        start = time.time()
+        found = personal_data.find(table).collect()[0]
+        took[n] = time.time() - start
+        assert found.n_ip == sum(int(w.split(".")[3]) <= 255 for w in words[:n:2])
+        assert found.n_card == sum(luhn(w) for w in words[1:n:2])
+    assert took[80_000] < 2 * took[40_000] + 2, took
+
+
+def luhn(digits: str) -> bool:
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (

@@ -138,6 +138,12 @@ def orphans_failed(runs: DataFrame) -> DataFrame:
     return runs.withColumn("status", F.when(open_, "FAILED").otherwise(F.col("status"))).withColumn("partial", F.when(open_, True).otherwise(F.col("partial")))
 
 
+def relation_of(cells: DataFrame, fields: list[str]) -> DataFrame:
+    """``filled_companions`` of the records of cells with value and verification_status."""
+    maps = {name: F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", column)))) for name, column in (("fields", "value"), ("statuses", "verification_status"))}
+    return filled_companions(cells.filter(F.col("field").isin(*fields)).groupBy("record_id").agg(*[m.alias(name) for name, m in maps.items()]), fields)
+
+
 def filled_companions(records: DataFrame, fields: list[str]) -> DataFrame:
     """The flat relation of the SQL surface: four columns for each field."""
     from ..functions.numbers import gate_number

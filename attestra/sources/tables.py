@@ -30,11 +30,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for dataset, (table, key, fields) in DATASETS.items():
         rows = load(spark, sf_dir, table)
-        shown = [(F.col(c).cast("string") if not c.endswith("acctbal") else _number_text(F.col(c))).alias(f) for f, (c, _) in fields.items()]
-        wide = rows.select(F.col(key).alias("record_key"), *shown)
-        long = wide.unpivot(["record_key"], list(fields), "field", "value")
-        names = F.array(*map(F.lit, fields))
-        parts.append(long.withColumn("dataset_id", F.lit(dataset)).withColumn("position", F.array_position(names, F.col("field")).cast("int")))
+        shown = {f: F.col(c).cast("string") if not c.endswith("acctbal") else _number_text(F.col(c)) for f, (c, _) in fields.items()}
+        long = [F.struct(F.lit(f).alias("field"), F.lit(i).alias("position"), value.alias("value")) for i, (f, value) in enumerate(shown.items(), 1)]
+        parts.append(rows.select(F.col(key).alias("record_key"), F.lit(dataset).alias("dataset_id"), F.inline(F.array(*long))))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     key, first = F.col("record_key"), F.col("position") == 1
     turn = F.pmod(key + F.length("field"), F.lit(10))

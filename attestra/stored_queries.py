@@ -12,6 +12,7 @@ from .functions import numbers as N
 from .functions import scores as S
 from .functions import urls as U
 from .operators import coverage, crawl, dedupe, hosts, pages, profile, reads, records, verify
+from .plans import guarded_sql
 from .queries import CELLS, DECLARED, NOW, ORACLES, QUERIES, now, query
 from .sources.tables import cells, declared, load, run_events
 from .streaming import events as stream
@@ -76,6 +77,15 @@ def fills_by_rung(spark, sf_dir):
     return pages.ladder_summary(first_rung_wins(spark, sf_dir))
 
 
+@query(f"""WITH {CELLS}, wide AS (SELECT record_id, max(value) FILTER (field = 'segment') AS segment, coalesce(max(verification_status) FILTER (field = 'segment'), '') AS status,
+    max(value) FILTER (field = 'balance') AS balance FROM cells WHERE dataset_id = 'customers' GROUP BY 1)
+    SELECT status, count(*) AS n, count(*) FILTER (WHERE coalesce(segment, '') NOT IN ('', 'NA')) AS filled, CAST(max(TRY_CAST(replace(balance, '$', '') AS DOUBLE)) AS DOUBLE) AS largest FROM wide GROUP BY 1""")
+def relation_query(spark, sf_dir):
+    relation = records.relation_of(cells(spark, sf_dir).filter("dataset_id = 'customers'"), ["segment", "balance"])
+    text = 'SELECT segment__status AS status, count(*) AS n, sum(CASE WHEN "segment__filled" THEN 1 ELSE 0 END) AS filled, max(balance__num) AS largest FROM records GROUP BY segment__status'
+    return guarded_sql.run(relation, text)
+
+
 # identity and copies
 
 

@@ -19,7 +19,6 @@ def test_guarded_sql(spark):
         with pytest.raises(guarded_sql.Refused):
             guarded_sql.run(rows, bad)
     assert guarded_sql.run(rows, "SELECT 'it''s; DROP' AS x, n FROM records /* secret */ WHERE n > 1 -- drop").count() == 2
-    assert guarded_sql.bare("a 'b''c' --d\ne/*f*/g") == "a '''' \ne g"
     spark.createDataFrame([("z", 9)], "name string, n int").createOrReplaceTempView("name")  # a table named like a column
     with pytest.raises(guarded_sql.Refused):
         guarded_sql.run(rows, "SELECT * FROM name")

@@ -759,4 +759,4 @@ def answer_consensus(spark, sf_dir):
     return verify.consensus(load(spark, sf_dir, "events").select(F.col("user_id").alias("question"), F.upper("event_type").alias("answer")), most=None)
 
 
-from . import stored_queries  # noqa: E402, F401  it registers its queries
+from . import process_queries, stored_queries  # noqa: E402, F401  they register their queries

@@ -76,15 +76,17 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(html: str | None) -> Node:
-    """The tree of a document; unclosed and stray tags are tolerated."""
+def parse(html: str | Node | None) -> Node:
+    """The tree of a document; unclosed and stray tags are tolerated. A tree is its own, so that one parse serves several readers."""
+    if isinstance(html, Node):
+        return html
     builder = _Builder()
     builder.feed(html or "")
     builder.close()
     return builder.root
 
 
-def visible_text(html: str | None) -> str:
+def visible_text(html: str | Node | None) -> str:
     return parse(html).text(HIDDEN)
 
 
@@ -109,17 +111,18 @@ def links_of(html: str | None, base: str | None, limit: int | None = 200, longes
     return out
 
 
-def media_of(html: str | None, base: str | None, limit: int = 100) -> list[dict]:
+def media_of(html: str | None, base: str | None, limit: int | None = 100) -> list[dict]:
+    """Images and videos in order, the first ``limit`` or all if it is None."""
     out = []
     for node in parse(html).walk():
-        if node.tag in ("img", "video", "source") and len(out) < limit:
+        if node.tag in ("img", "video", "source") and (limit is None or len(out) < limit):
             target = node.attrs.get("src") or node.attrs.get("data-src")
             if target:
                 out.append({"kind": "image" if node.tag == "img" else "video", "url": urljoin(base or "", target), "alt": node.attrs.get("alt", "")})
     return out
 
 
-def json_ld(html: str | None) -> list[dict]:
+def json_ld(html: str | Node | None) -> list[dict]:
     """The objects of all JSON-LD scripts in order, lists and graphs flattened; invalid ones are skipped."""
     out: list[dict] = []
     for node in parse(html).walk():
@@ -181,10 +184,13 @@ def labelled_pairs(text: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def records_in(payload: str | None, most: int = 500) -> list[dict]:
-    """The records of a JSON payload: the first non-empty list of objects under a known key, to depth 4, or one object."""
+def records_in(payload: str | None, most: int | None = 500, longest: int | None = 2_000_000) -> list[dict]:
+    """The records of a JSON payload: the first non-empty list of objects under a known key, to depth 4, or one object.
+
+    At most ``most`` of them, and none of a payload of more than ``longest`` characters; None for no limit.
+    """
     text = (payload or "").strip()
-    if not text.startswith(("{", "[")) or len(text) > 2_000_000:
+    if not text.startswith(("{", "[")) or (longest is not None and len(text) > longest):
         return []
     try:
         x = json.loads(text)
@@ -269,7 +275,7 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if n.tag and matches(n, len(steps) - 1)]
 
 
-def css_records(html: str | None, item: str, fields: dict[str, list[str]], most: int | None = 25) -> list[dict[str, str]]:
+def css_records(html: str | Node | None, item: str, fields: dict[str, list[str]], most: int | None = 25) -> list[dict[str, str]]:
     """Records of the containers ``item``, all if ``most`` is None; each field from the first of its selectors that finds text."""
     out = []
     for box in select(parse(html), item)[:most]:
@@ -298,9 +304,14 @@ def page_links(html: Column | str, base: Column | str, limit: int | None = 200,
     return found(html, base)
 
 
-@arrow_function("array<struct<kind:string,url:string,alt:string>>")
-def page_media(html: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([media_of(h, b) for h, b in zip(html, base, strict=True)], index=html.index)
+def page_media(html: Column | str, base: Column | str, limit: int | None = 100) -> Column:
+    """``media_of`` each page."""
+
+    @arrow_function("array<struct<kind:string,url:string,alt:string>>")
+    def found(html: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([media_of(h, b, limit) for h, b in zip(html, base, strict=True)], index=html.index)
+
+    return found(html, base)
 
 
 @arrow_function("map<string,string>")
@@ -333,6 +344,11 @@ def page_script_strings(html: Column | str, shortest: int = 4, longest: int = 20
     return found(html)
 
 
-@arrow_function("array<map<string,string>>")
-def json_records(payload: pd.Series) -> pd.Series:
-    return payload.map(lambda p: [{k: as_text(v) for k, v in r.items()} for r in records_in(p)])
+def json_records(payload: Column | str, most: int | None = 500, longest: int | None = 2_000_000) -> Column:
+    """``records_in`` each payload, values as text."""
+
+    @arrow_function("array<map<string,string>>")
+    def found(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda p: [{k: as_text(v) for k, v in r.items()} for r in records_in(p, most, longest)])
+
+    return found(payload)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import rounds
+from .operators import extraction, rounds
 from .queries import CELLS, DECLARED, query
 from .sources.tables import DATASETS, cells, declared, load
 
@@ -97,3 +97,52 @@ def autofill_rounds(spark, sf_dir):
     done = _autofill(spark, sf_dir)
     steps = done.log.groupBy(*rounds.GAP).agg(*[F.sum(c).alias(c) for c in ("searches", "pages", "written")])
     return done.gaps.join(steps, rounds.GAP, "left").select(*rounds.GAP, "state", "phase", "attempts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("searches", "pages", "written")])
+
+
+# extraction: every fourth page is a JSON body, the others say their kind in a line and, every third, their title in JSON-LD
+
+
+@query(r"""WITH p AS (SELECT page_id AS k, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE '%example.org' AS org, trim(regexp_replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS h1 FROM pages),
+    f AS (SELECT k, 'page_title' AS field, CASE WHEN k % 4 = 0 THEN 'J' || k WHEN org AND h1 <> '' THEN h1 WHEN k % 3 = 0 THEN 'P' || k END AS value, CASE WHEN k % 4 = 0 THEN 'json' WHEN org AND h1 <> '' THEN 'selectors' ELSE 'json_ld' END AS rung FROM p
+          UNION ALL SELECT k, 'kind', 'k' || k % 7, CASE WHEN k % 4 = 0 THEN 'json' ELSE 'labelled' END FROM p
+          UNION ALL SELECT k, 'written_by', CASE WHEN k % 5 > 0 THEN 'M' || k END, 'model' FROM p)
+    SELECT k AS page_id, field, value, rung FROM f WHERE value IS NOT NULL""")
+def extracted_fields(spark, sf_dir):
+    return _extracted(spark, sf_dir).found.select("page_id", "field", "value", "rung")
+
+
+@query(r"""WITH p AS (SELECT page_id AS k, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) LIKE '%example.org' AND trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) <> '' AS own FROM pages),
+    t AS (SELECT 'json' AS rung, k, 3 AS asked, CASE WHEN k % 4 = 0 THEN 2 ELSE 0 END AS filled FROM p
+          UNION ALL SELECT 'labelled', k, CASE WHEN k % 4 = 0 THEN 1 ELSE 3 END, CASE WHEN k % 4 = 0 THEN 0 ELSE 1 END FROM p
+          UNION ALL SELECT 'selectors', k, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END, CASE WHEN k % 4 > 0 AND own THEN 1 ELSE 0 END FROM p
+          UNION ALL SELECT 'json_ld', k, CASE WHEN k % 4 = 0 OR own THEN 1 ELSE 2 END, CASE WHEN k % 4 > 0 AND NOT own AND k % 3 = 0 THEN 1 ELSE 0 END FROM p
+          UNION ALL SELECT 'model', k, CASE WHEN k % 4 = 0 OR own OR k % 3 = 0 THEN 1 ELSE 2 END, CASE WHEN k % 5 > 0 THEN 1 ELSE 0 END FROM p)
+    SELECT rung, count(*) AS pages, CAST(sum(asked) AS BIGINT) AS asked, CAST(sum(filled) AS BIGINT) AS filled FROM t GROUP BY 1""")
+def extraction_trace(spark, sf_dir):
+    return _extracted(spark, sf_dir).trace.groupBy("rung").agg(F.count("*").alias("pages"), F.sum("asked").alias("asked"), F.sum("filled").alias("filled"))
+
+
+def _extracted(spark, sf_dir) -> extraction.Extraction:
+    key = F.col("page_id").cast("string")
+    kind = F.concat(F.lit("k"), (F.col("page_id") % 7).cast("string"))
+    payload = F.concat(F.lit('{"results": [{"pageTitle": "J'), key, F.lit('", "Kind": "'), kind, F.lit('"}, {"Kind": "second"}]}'))
+    published = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"PageTitle": {"name": "P'), key, F.lit('"}}]}</script>'))).otherwise("")
+    body = F.when(F.col("page_id") % 4 == 0, payload).otherwise(F.concat("html", F.lit("<p>Kind: "), kind, F.lit("</p>"), published))
+    schemas = spark.createDataFrame([("example.org", None, {"page_title": ["article > h2", "article > h1"], "written_by": ["p.author"]})], "domain string, item string, fields map<string,array<string>>")
+
+    def ask(open_):
+        return open_.filter("field = 'written_by' and page_id % 5 > 0").select("page_id", "field", F.concat(F.lit("M"), F.col("page_id").cast("string")).alias("value"), F.lit("").alias("quote"))
+
+    return extraction.extract(load(spark, sf_dir, "pages").withColumn("html", body), ["page_title", "kind", "written_by"], schemas, ask)
+
+
+@query(r"""WITH e AS (SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '([^.]+\.[^.]+)$', 1) AS domain, field, trim(CASE field WHEN 'headline' THEN regexp_extract(html, '<h1>([^<]*)</h1>', 1) ELSE regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) END) AS value
+    FROM pages, (VALUES ('headline'), ('advert')) AS t(field))
+    SELECT domain, field, CASE field WHEN 'headline' THEN 'h1' ELSE 'div.ad' END AS selector, count(*) FILTER (page_id % 2 = 0) AS seen, count(*) FILTER (page_id % 2 = 1) AS "right", CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS missed
+    FROM e WHERE value <> '' GROUP BY ALL HAVING count(*) FILTER (page_id % 2 = 1) >= 2 AND count(*) FILTER (page_id % 2 = 0) > 0""")
+def learned_selectors(spark, sf_dir):
+    table = load(spark, sf_dir, "pages")
+    plain = lambda c: F.replace(c, F.lit("&amp;"), F.lit("&"))
+    said = F.array(*[F.struct(F.lit(f).alias("field"), plain(F.regexp_extract("html", p, 1)).alias("value")) for f, p in (("headline", "<h1>([^<]*)</h1>"), ("advert", '<div class="ad">([^<]*)</div>'))])
+    learnt = extraction.learn_selectors(table, table.select("page_id", F.inline(said)), F.col("page_id") % 2 == 1)
+    return learnt.filter("place = 1").select("domain", "field", "selector", "seen", "right", "wrong", "missed")

@@ -45,10 +45,10 @@ def corpus(spark: SparkSession, folder: str, addresses: dict[str, str]) -> DataF
     return wanted.join(files, "file", "left").select("url", "html", F.when(F.col("html").isNull(), "failed").otherwise("ok").alias("status"))
 
 
-def payload_records(payloads: DataFrame) -> DataFrame:
-    """One row for each record of the JSON payloads in column ``payload``."""
+def payload_records(payloads: DataFrame, most: int | None = None) -> DataFrame:
+    """One row for each record of the JSON payloads in column ``payload``, all of them or the first ``most`` of each."""
     others = [c for c in payloads.columns if c != "payload"]
-    return payloads.select(*others, F.posexplode(json_records("payload")).alias("position", "record"))
+    return payloads.select(*others, F.posexplode(json_records("payload", most, None)).alias("position", "record"))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

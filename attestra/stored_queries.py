@@ -267,7 +267,7 @@ def labelled_lines(spark, sf_dir):
 @query("""SELECT event_id, n AS position, CASE n WHEN 0 THEN json_extract_string(props, '$.k') ELSE event_type END AS k FROM events, (VALUES (0), (1)) AS t(n)""")
 def json_records(spark, sf_dir):
     payload = F.concat(F.lit('{"results": ['), "props", F.lit(', {"k": {"name": "'), "event_type", F.lit('"}}]}'))
-    rows = load(spark, sf_dir, "events").select("event_id", F.posexplode(H.json_records(payload)).alias("position", "r"))
+    rows = load(spark, sf_dir, "events").select("event_id", F.posexplode(H.json_records(payload, None, None)).alias("position", "r"))
     return rows.select("event_id", "position", F.try_element_at("r", F.lit("k")).alias("k"))
 
 
@@ -276,7 +276,7 @@ def json_records(spark, sf_dir):
 def page_media(spark, sf_dir):
     key = F.col("page_id").cast("string")
     html = F.concat(F.lit('<p><img src="/i/'), key, F.lit('.png" alt="alt '), key, F.lit('"><video data-src="v.mp4"></video></p>'), "html")
-    rows = load(spark, sf_dir, "pages").select("page_id", F.posexplode(H.page_media(html, F.col("url"))).alias("position", "m"))
+    rows = load(spark, sf_dir, "pages").select("page_id", F.posexplode(H.page_media(html, F.col("url"), None)).alias("position", "m"))
     return rows.select("page_id", "position", "m.kind", "m.url", "m.alt")
 
 

@@ -432,6 +432,46 @@ def test_index_of_two_batches_equals_one(spark, documents, rows, tmp_path):
     assert sorted(map(tuple, index.known().collect())) == known and spark.table(index.name).count() == fresh
 
 
+def test_a_batch_counts_once_and_a_lost_one_not_at_all(spark, documents, tmp_path, monkeypatch):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 3)
+    first, second = documents.filter("doc_id % 2 = 0"), documents.filter("doc_id % 2 = 1")
+    assert index.add(first, batch="first") and not index.add(first, batch="first")
+    known = lambda i: sorted(map(tuple, i.known().collect()))
+    before = known(index)
+    assert sum(r[2] for r in before) == first.count()
+    # the entries are written and the driver is lost before the commit
+    monkeypatch.setattr(exact_dedup.Manifests, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        index.add(second, batch="second")
+    with pytest.raises(OSError):
+        index.compact()
+    monkeypatch.undo()
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 3)
+    assert known(again) == before
+    assert again.add(second, batch="second") and known(again) == sorted((r.digest, r.keep_id, r.group_size) for r in exact_dedup.groups_of(documents).dropDuplicates(["digest"]).collect())
+    again.compact()
+    assert not again.add(second, batch="second") and not exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 3).add(first, batch="first")
+    files = [f for f in (tmp_path / "index" / again.state["folder"]).iterdir() if f.name.startswith("part-")]
+    assert len(files) <= 3
+    # an index that was opened before the switch goes on with the new folder
+    assert not index.add(first, batch="first") and known(index) == known(again)
+    # of two writers of one version the second is told
+    number, state = index.manifests.latest()
+    index.manifests.commit(number + 1, state)
+    with pytest.raises(exact_dedup.Conflict):
+        again._commit(again.state)
+    with pytest.raises(ValueError, match="buckets"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+
+
+def test_the_second_batch_of_the_query_meets_the_first(spark, documents, rows, monkeypatch):
+    seen = []
+    real = exact_dedup.DigestIndex.known
+    monkeypatch.setattr(exact_dedup.DigestIndex, "known", lambda self: seen.append({(r.fresh, r.attempt): r.n for r in self._entries().groupBy("fresh", "attempt").agg(F.count("*").alias("n")).collect()}) or real(self))
+    assert exact_dedup.mark_copies(documents).count() == len(rows)
+    assert len(seen[0]) == 3 and sum(n for (fresh, _), n in seen[0].items() if fresh) == len({t or "" for _, t, *_ in rows})
+
+
 def test_a_shared_passage_alone_links_nothing(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(80))) for i in range(6)]

@@ -102,18 +102,3 @@ def timing(samples: DataFrame, last: int = 200) -> DataFrame:
     return recent.groupBy("rung").agg(
         F.count("*").alias("n"), F.count_if("ok").alias("ok"), at(F.floor(n / 2)).alias("p50"), at(F.least(n - 1, F.floor(n * 0.9))).alias("p90")
     )
-
-
-def throttle(samples: DataFrame, least: float = 1.0, most: float = 60.0) -> DataFrame:
-    """Per host the delay after all its samples (seq, latency, ok, retry_after) in order.
-
-    A delay moves half way to the latency; a failed sample cannot lower it; a retry-after is a floor.
-    """
-    steps = F.array_sort(F.collect_list(F.struct("seq", "latency", "ok", "retry_after")))
-
-    def step(delay: Column, x: Column) -> Column:
-        half = (delay + F.greatest(x["latency"], F.lit(least))) / 2
-        kept = F.when(x["ok"] | (half > delay), half).otherwise(delay)
-        return F.least(F.lit(most), F.greatest(kept, F.coalesce(x["retry_after"], F.lit(0.0)), F.lit(least)))
-
-    return samples.groupBy("host").agg(steps.alias("steps")).select("host", F.aggregate("steps", F.lit(float(least)), step).alias("delay"))

@@ -17,6 +17,7 @@ from .operators import coverage, crawl, dedupe, gapfill, hosts, pages, profile,
 from .plans import guarded_sql
 from .sources.tables import cells, cells_sql, declared, declared_sql, load, run_events
 from .streaming import events as stream
+from .streaming import throttle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -274,10 +275,20 @@ def list_sources(spark, sf_dir):
     return load(spark, sf_dir, "pages").groupBy(U.host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"), F.max("page_id").alias("newest"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT CAST(user_id % 25 AS VARCHAR) AS host, event_type <> 'error' AS ok, greatest(0, least(60, coalesce(value, 0) / 10)) AS target, greatest(0, coalesce(value, 0) / 10) AS heard,
+        CASE WHEN event_id % 97 = 0 THEN 15.0 ELSE 0.0 END AS retry, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) AS n FROM events),
+    f AS (SELECT host, n, greatest(target, retry, CASE WHEN ok THEN target / 2 ELSE 0 END) AS delay, heard AS latency FROM s WHERE n = 1
+          UNION ALL SELECT s.host, s.n, greatest(target, retry, CASE WHEN ok THEN (f.delay + target) / 2 ELSE f.delay END), (f.latency + heard) / 2 FROM f JOIN s ON s.host = f.host AND s.n = f.n + 1)
+    SELECT host, round(CAST(max_by(delay, n) AS DOUBLE), 6) AS delay, round(CAST(max_by(latency, n) AS DOUBLE), 6) AS latency, max(n) AS samples FROM f GROUP BY 1""")
 def throttle_delay(spark, sf_dir):
-    e = load(spark, sf_dir, "events")
-    return hosts.throttle(e.select((F.col("user_id") % 25).cast("string").alias("host"), F.col("event_id").alias("seq"), (F.col("value") / 10).alias("latency"), (F.col("event_type") != "error").alias("ok"), F.lit(None).cast("double").alias("retry_after")))
+    found = throttle.delays(throttle_samples(spark, sf_dir))
+    return found.select("host", F.round("delay", 6).alias("delay"), F.round("latency", 6).alias("latency"), "samples")
+
+
+def throttle_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as answers of 25 hosts; a value is ten times a latency, and some ask to wait 15 s."""
+    retry = F.when(F.col("event_id") % 97 == 0, 15.0)
+    return load(spark, sf_dir, "events").select((F.col("user_id") % 25).cast("string").alias("host"), F.col("event_id").alias("seq"), (F.col("value") / 10).alias("latency"), (F.col("event_type") != "error").alias("ok"), retry.alias("retry_after"))
 
 
 # records, filters, joins

@@ -17,7 +17,6 @@ are ignored.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_chunks
+from .shared import SPACES, materialize, span_hashes, text_chunks
 
-#: Words, and their bytes, that a worker remembers; beyond either it keeps the half most used.
-MOST_WORDS = 400_000
-MOST_BYTES = 16 << 20
+#: Words, and ids of words, that a worker remembers; beyond either it keeps the half most used.
+MOST_WORDS = 800_000
+MOST_IDS = 8_000_000
 #: Bytes of text read, and words encoded, at a time.
 CHUNK = 1 << 20
 ENCODED = 8192
@@ -44,8 +43,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Numbers for byte words, with each word's ids kept in two flat arrays.
+class WordIds:
+    """The ids of words, known by 64-bit hashes, in flat arrays; no word's bytes are kept.
 
     Encoding words one by one equals encoding the text: this tokenizer's normaliser and splitter
     never look across ASCII white space, which it drops. It also lower-cases and separates
@@ -54,7 +53,10 @@ class WordIds(dict):
     """
 
     lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    stop = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+    space = np.isin(np.arange(256), list(SPACES))
+    letter = np.isin(np.arange(256), range(97, 123))
+    stop = np.isin(np.arange(256), list(b".,"))
+    gap = np.isin(np.arange(256), list(b" \n"))
 
     def __init__(self, path: str):
         import os
@@ -63,63 +65,93 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
+        #: Hashes in order, and the word's number for each; by number where its ids begin, how many they are, and how often it came.
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.size, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.ids = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-        self.uses = np.zeros(0, np.int64)
-        self.bytes = 0
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        self.bytes += len(word)
-        return at
+    def __len__(self) -> int:
+        return len(self.keys)
 
     def trim(self) -> None:
         """Keep the words most used that fill at most half of either bound; their uses count half from now on."""
-        words = list(self)
         order = np.argsort(-self.uses, kind="stable")[: MOST_WORDS // 2]
-        sizes = np.fromiter((len(words[i]) for i in order.tolist()), np.int64, len(order))
-        kept = np.sort(order[np.cumsum(sizes) <= MOST_BYTES // 2])
-        counts = np.diff(self.first)[kept]
-        ends = np.cumsum(counts)
+        kept = np.sort(order[np.cumsum(self.size[order]) <= MOST_IDS // 2])
+        place = np.full(len(self.uses), -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        here = place[self.numbers] >= 0
+        self.keys, self.numbers = self.keys[here], place[self.numbers[here]]
+        self.ids = self._flat(kept)
+        self.size, self.uses = self.size[kept], self.uses[kept] // 2
+        self.first = np.cumsum(self.size) - self.size
+
+    def _flat(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of some words, one after another."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.first[kept] - (ends - counts), counts)]
-        uses = self.uses[kept] // 2
-        self.reset()
-        self.update((words[i], n) for n, i in enumerate(kept.tolist()))
-        self.ids, self.first, self.uses, self.bytes = ids, np.concatenate([[0], ends]), uses, sum(map(len, self))
+        return self.ids[np.arange(total) + np.repeat(self.first[numbers] - (ends - sizes), sizes)]
+
+    def words(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """(joined texts, where words start and end, words of each text)."""
+        special = [i for i, t in enumerate(texts) if b"<|" in t]
+        held = set(special)
+        joined = b" ".join(t if i in held else t.translate(self.lower) for i, t in enumerate(texts)) + b" "
+        data = np.frombuffer(joined, np.uint8)
+        space = self.space[data]
+        # a full stop or comma after a letter and before a gap is a word of its own
+        cut = np.zeros(len(data), bool)
+        cut[1:-1] = self.stop[data[1:-1]] & self.letter[data[:-2]] & self.gap[data[2:]]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        for i in special:
+            cut[ends[i] - len(texts[i]) - 1 : ends[i]] = False
+        begins = ~space
+        begins[1:] &= space[:-1] | cut[1:]
+        stops = ~space
+        stops[:-1] &= space[1:] | cut[1:]
+        start = np.flatnonzero(begins)
+        return joined, start, np.flatnonzero(stops) + 1, np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self) > MOST_WORDS or self.bytes > MOST_BYTES:
+        if len(self.uses) > MOST_WORDS or len(self.ids) > MOST_IDS:
             self.trim()
-        split = [t.split() if b"<|" in t else self.stop.sub(rb" \1", t.translate(self.lower)).split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        numbers = np.fromiter((self[w] for words in split for w in words), np.int64, int(counts.sum()))
-        if self.new:
-            parts, counts_of = [self.ids], []
-            for a in range(0, len(self.new), ENCODED):
-                found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in self.new[a : a + ENCODED]], add_special_tokens=False)
-                lists = [e.ids for e in found]
-                counts_of += map(len, lists)
-                parts.append(np.fromiter((i for x in lists for i in x), np.uint32))
-            self.ids, sizes = np.concatenate(parts), np.array(counts_of, np.int64)
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.new = []
-        seen = np.bincount(numbers, minlength=len(self))
-        seen[: len(self.uses)] += self.uses
-        self.uses = seen
-        start, sizes = self.first[numbers], self.first[numbers + 1] - self.first[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.arange(total) + np.repeat(start - (ends - sizes), sizes)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return flat, np.diff(bounds)
+        joined, start, end, counts = self.words(texts)
+        hashes = span_hashes(np.frombuffer(joined, np.uint8), start, end)
+        order = np.argsort(hashes)
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = hashes[order][1:] != hashes[order][:-1]
+        places = order[fresh]
+        distinct = hashes[places]
+        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+        known = self.keys[at] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        numbers = np.empty(len(distinct), np.int64)
+        numbers[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            numbers[new] = len(self.uses) + np.arange(len(new))
+            self._learn([joined[a:b] for a, b in zip(start[places[new]].tolist(), end[places[new]].tolist(), strict=True)], distinct[new])
+        runs = np.flatnonzero(fresh)
+        self.uses[numbers] += np.diff(np.append(runs, len(order)))
+        of = np.empty(len(order), np.int64)
+        of[order] = numbers[np.cumsum(fresh) - 1]
+        bounds = np.concatenate([[0], np.cumsum(self.size[of])])[np.concatenate([[0], np.cumsum(counts)])]
+        return self._flat(of), np.diff(bounds)
+
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        parts, sizes = [self.ids], []
+        for a in range(0, len(words), ENCODED):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[a : a + ENCODED]], add_special_tokens=False)]
+            sizes += map(len, lists)
+            parts.append(np.fromiter((i for x in lists for i in x), np.uint32))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
+        self.ids = np.concatenate(parts)
+        keys, numbers = np.concatenate([self.keys, hashes]), np.concatenate([self.numbers, (len(self.uses) + np.arange(len(hashes))).astype(np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(hashes), np.int64)])
+        # both halves are in order
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers = keys[order], numbers[order]
 
 
 @cache

@@ -498,11 +498,26 @@ def test_word_cache_trims(monkeypatch):
     plain = packing.WordIds(path)
     want = [plain.encode(texts[a : a + 100]) for a in range(0, 3000, 100)]
     monkeypatch.setattr(packing, "MOST_WORDS", 200)
-    monkeypatch.setattr(packing, "MOST_BYTES", 2000)
+    monkeypatch.setattr(packing, "MOST_IDS", 900)
     small = packing.WordIds(path)
     got = [small.encode(texts[a : a + 100]) for a in range(0, 3000, 100)]
     assert all((a == b).all() and (c == d).all() for (a, c), (b, d) in zip(got, want, strict=True))
-    assert len(small) < 700 and b"alpha" in small
+    assert len(small) < 700 and len(small.ids) < 3000 and len(small.keys) == len(small.size) == len(small.uses)
+    # the most used words stay
+    learnt = len(small)
+    small.encode([b"alpha beta gamma"])
+    assert len(small) <= learnt
+
+
+def test_words_encoded_apart_are_the_text(monkeypatch):
+    rng = random.Random(8)
+    bits = ["a", "B", "word", ".", ",", " ", "\n", "\t", "é", "\u00a0", "\u3000", "<|endoftext|>", "<|", "'s", "1", "İ", "中", "-", "\x1c", "\x0b"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    words = packing.WordIds(packing.tokenizer_path())
+    for a in range(0, 3000, 100):
+        ids, counts = words.encode([t.encode() for t in texts[a : a + 100]])
+        want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts[a : a + 100]]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 def test_personal_data_in_very_many_numbers(spark):

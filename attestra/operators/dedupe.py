@@ -73,18 +73,54 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype=float)
 
 
-def similar_pairs(rows: DataFrame, keys: list[str], ordinal: str, threshold: float = 88.0) -> DataFrame:
-    """Pairs (a < b by ordinal) that share a block and are alike; a cheap test precedes the ratio.
+def similar_pairs(rows: DataFrame, keys: list[str], ordinal: str, threshold: float = 88.0, most_in_block: int = 500) -> DataFrame:
+    """Pairs (a < b by ordinal) that share a block and are alike; cheap tests precede the ratio.
 
-    Rows of one signature are represented by the first of them, so copies make no pairs.
+    Rows of one signature are represented by the first of them, so copies make no pairs. In blocks of at most ``most_in_block`` rows all
+    pairs are looked at. In larger ones two rows meet only on a segment: who is alike differs in at most t = (1 - threshold / 100) (m + n) letters, so
+    of t + 1 segments of the shorter text one stands unchanged in the longer, little shifted. What share no segment there is never compared.
     """
-    blocks = block_keys(exact(rows, keys, ordinal)).select(ordinal, "block", "stems", "joined")
-    letters = F.array_distinct(F.split("joined", ""))
-    x = blocks.select("block", F.col(ordinal).alias("a"), F.col("stems").alias("stems_a"), letters.alias("letters_a"), F.length("joined").alias("length_a"))
-    y = blocks.select("block", F.col(ordinal).alias("b"), F.col("stems").alias("stems_b"), letters.alias("letters_b"), F.length("joined").alias("length_b"))
-    met = x.join(y, "block").filter("a < b").filter(F.least("length_a", "length_b") >= 0.55 * F.greatest("length_a", "length_b"))
-    met = met.filter(F.size(F.array_intersect("letters_a", "letters_b")) >= 3).dropDuplicates(["a", "b"])
-    return met.withColumn("similarity", similarity("stems_a", "stems_b")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    checkpoint_folder(rows.sparkSession)
+    blocks = block_keys(exact(rows, keys, ordinal)).select(F.col(ordinal).alias("id"), "block", "stems", "joined").checkpoint()
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
+    large = sizes.filter(F.col("size") > most_in_block)
+    # sizes are summed in tasks first; there are at most as many large blocks as the rows hold bounds
+    small = blocks.join(large, "block", "left_anti")
+    met = small.select("block", F.col("id").alias("a")).join(small.select("block", F.col("id").alias("b")), "block").filter("a < b").select("a", "b")
+    crowded = blocks.join(large.select("block"), "block", "left_semi").select("id", "block", "joined", F.length("joined").alias("m"))
+    met = met.unionByName(_meeting_on_segments(crowded, 1 - threshold / 100)).distinct()
+    once = blocks.groupBy("id").agg(F.first("stems").alias("stems"), F.first("joined").alias("joined"))
+    side = lambda c: once.select(F.col("id").alias(c), F.col("stems").alias(f"stems_{c}"), F.col("joined").alias(f"joined_{c}"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b")
+    m, n = F.length("joined_a"), F.length("joined_b")
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    pairs = pairs.filter(F.least(m, n) >= 0.55 * F.greatest(m, n)).filter(F.size(F.array_intersect(letters(F.col("joined_a")), letters(F.col("joined_b")))) >= 3)
+    # replacing a letter counts once here and twice in the ratio, so this never discards a pair that is alike
+    pairs = pairs.filter(F.levenshtein("joined_a", "joined_b") <= (1 - threshold / 100) * (m + n) + 1e-6)
+    return pairs.withColumn("similarity", similarity("stems_a", "stems_b")).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
+
+
+def _meeting_on_segments(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b) of rows (id, block, joined, m) of one block that have a segment of the shorter one in common.
+
+    For the longest partner a text of n letters may differ from it in t = share (n + n (1 + share) / (1 - share)) letters; it is cut into t + 1 segments. If i of these
+    come before the one that is unchanged, it is shifted by at most i letters, and what follows it by at most t - i (the multi-match-aware rule of pass-join).
+    """
+    reach = 2 * share / (1 - share)
+    parts = lambda n: F.floor(n * F.lit(reach) + 1e-6).cast("int") + 1
+    starts = lambda i, n: F.floor(i * n / parts(n)).cast("int")
+    held = rows.withColumn("n", F.col("m")).withColumn("i", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)))
+    held = held.withColumns({"at": starts(F.col("i"), F.col("n")), "end": starts(F.col("i") + 1, F.col("n"))})
+    held = held.select(F.col("id").alias("b"), F.xxhash64("block", "n", "i", F.expr("substring(joined, at + 1, end - at)")).alias("key"))
+    sought = rows.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * F.lit((1 - share) / (1 + share)) - 1e-6).cast("int"), F.col("m"))))
+    sought = sought.withColumn("i", F.explode(F.sequence(F.lit(0), parts(F.col("n")) - 1)))
+    more, behind = F.col("m") - F.col("n"), parts(F.col("n")) - 1 - F.col("i")
+    low, high = F.greatest(-F.col("i"), more - behind), F.least(F.col("i"), more + behind)
+    sought = sought.filter(low <= high).withColumn("shift", F.explode(F.sequence(low, high)))
+    sought = sought.withColumns({"at": starts(F.col("i"), F.col("n")) + F.col("shift"), "long": starts(F.col("i") + 1, F.col("n")) - starts(F.col("i"), F.col("n"))})
+    sought = sought.filter((F.col("at") >= 0) & (F.col("at") + F.col("long") <= F.col("m")))
+    sought = sought.select(F.col("id").alias("a"), F.xxhash64("block", "n", "i", F.expr("substring(joined, at + 1, long)")).alias("key")).distinct()
+    return sought.join(held, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def leaders(rows: DataFrame, pairs: DataFrame, ordinal: str, rounds: int | None = None) -> DataFrame:

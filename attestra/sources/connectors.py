@@ -29,9 +29,20 @@ def refused(name: str) -> Callable:
 
 
 def append_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines log, blank lines skipped, with ``seq`` in file order."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    """Rows of a JSON-lines log, blank lines skipped, with ``seq`` in file order. What is no row is in ``malformed_lines``."""
+    rows = _log_lines(spark, path, schema).filter("_e is not null and _e._broken is null")
+    names = [f for f in rows.schema["_e"].dataType.names if f != "_broken"]
+    return rows.select(*[F.col("_e")[n].alias(n) for n in names], F.monotonically_increasing_id().alias("seq"))
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines of a log that are no rows of the schema: file, line."""
+    return _log_lines(spark, path, schema).filter("_e is null or _e._broken is not null").drop("_e")
+
+
+def _log_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    lines = spark.read.text(path).filter(F.btrim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    return lines.withColumn("_e", F.from_json("line", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}))
 
 
 def append(rows: DataFrame, path: str, adapter: str = "local") -> None:

@@ -66,7 +66,11 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 hour") ->
 
 
 def audit_sink(events: DataFrame, path: str, checkpoint: str, on_error: Callable[[Exception], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Append a stream of events to a table in micro-batches. A batch has its own folder, so a repeated one replaces itself."""
+    """Append a stream of events to a table in micro-batches. A batch has its own folder, so a repeated one replaces itself.
+
+    With ``on_error`` a batch that cannot be written goes, as JSON, to a folder beside the table (``path`` with _dead), and the stream goes on; if that fails too, or
+    without ``on_error``, the query fails and the batch is tried again at its restart. No batch counts as done that is in neither place.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         try:
@@ -74,6 +78,7 @@ def audit_sink(events: DataFrame, path: str, checkpoint: str, on_error: Callable
         except Exception as error:
             if on_error is None:
                 raise
+            batch.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}_dead/batch={number}")
             on_error(error)
 
     writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

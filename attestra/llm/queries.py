@@ -39,7 +39,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(spread(table(spark, sf_dir, "pages")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

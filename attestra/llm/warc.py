@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import attach_groups, flag_blank, materialize, scratch
 
+#: Records of an archive. Gzip cannot be split, so an archive is one task's to read.
+MOST_RECORDS = 20_000
 #: Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -63,9 +65,9 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str | None = None) -> str:
-    """Write gzipped archives for ``pages``; returns their folder."""
+    """Write gzipped archives of at most MOST_RECORDS for ``pages``; returns their folder."""
     path = path or scratch(pages.sparkSession, "warc")
-    records(pages).select("record").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    records(pages).select("record").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", MOST_RECORDS).text(path)
     return path
 
 
@@ -116,19 +118,28 @@ def payload_of(block: Column) -> Column:
 def chain(links: DataFrame) -> DataFrame:
     """(file, at) of the rows of ``links`` (file, at, next) that the chain from offset 0 of their file reaches.
 
-    Pointer jumping: after k rounds every pointer spans 2 ** k records and every record within that
-    many of the start is marked.
+    Candidates that each name the one behind them form a run, and nothing outside points into it but at its head: a candidate that a distant
+    pointer names begins a run. Runs are found in one pass over a file, and pointer jumping joins them: after k rounds every pointer
+    spans 2 ** k runs and every run within that many of the start is marked. Without version lines in payloads a file is one run.
     """
-    known = links.select("file", "at", "next")
+    order = Window.partitionBy("file").orderBy("at")
+    seen = materialize(links.select("file", "at", "next").withColumns({"behind": F.lead("at").over(order), "named": F.lag("next").over(order)}), "pointers")
+    distant = seen.filter("next is not null and not (next <=> behind)").select("file", F.col("next").alias("at")).distinct().withColumn("aimed", F.lit(True))
+    head = F.coalesce(F.col("named") != F.col("at"), F.lit(True)) | F.col("aimed").isNotNull()
+    up_to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = materialize(seen.join(distant, ["file", "at"], "left").select("file", "at", "next", F.sum(head.cast("long")).over(up_to_here).alias("run")), "runs")
+    runs = placed.groupBy("file", "run").agg(F.min("at").alias("at"), F.max_by("next", "at").alias("next"))
+    known = materialize(runs, "heads")
     reached = known.filter("at = 0").select("file", "at")
     jumps = known.join(known.select("file", F.col("at").alias("next")), ["file", "next"]).select("file", "at", "next")
     most = known.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(int(most).bit_length()):
+    for _ in range(int(most - 1).bit_length() if most else 0):
         jumps = materialize(jumps, "jumps")
         reached = materialize(reached.union(reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))).distinct(), "reached")
         onward = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
         jumps = jumps.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next"))
-    return reached
+    on_chain = known.join(reached, ["file", "at"], "left_semi").select("file", "run")
+    return placed.join(on_chain, ["file", "run"], "left_semi").select("file", "at")
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:

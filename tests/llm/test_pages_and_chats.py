@@ -99,3 +99,26 @@ def test_rotation_against_sql(spark):
     keys = ["conv_id", "participant", "block"]
     a, b = (x.sort_values(keys).reset_index(drop=True).astype(str) for x in (got, want))
     assert a.equals(b)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chain_by_runs_equals_following_pointers(spark, seed):
+    """Random pointers: to the next candidate, into the middle of a run, past the end, to nothing."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for file in "abcdef":
+        places = sorted(rng.sample(range(1, 400), rng.randint(0, 60)) + ([0] if file != "e" else []))
+        for i, at in enumerate(places):
+            kind = rng.random()
+            following = places[i + 1] if i + 1 < len(places) else 999
+            rows.append((file, at, following if kind < 0.75 else rng.choice(places[i + 1 :]) if kind < 0.93 and places[i + 1 :] else rng.choice([None, 777, at + 1])))
+    table = spark.createDataFrame(rows, "file string, at long, next long")
+    want = set()
+    for file in "abcdef":
+        at, pointers = 0, {a: n for f, a, n in rows if f == file}
+        while at in pointers:
+            want.add((file, at))
+            at = pointers[at]
+    assert sorted((r.file, r.at) for r in warc.chain(table).collect()) == sorted(want) and len(want) > 20

@@ -78,8 +78,8 @@ def html_sample(html: Column, budget: int = 12000) -> Column:
     return F.when(F.length(html) <= budget, html).otherwise(F.concat_ws("\n", F.left(html, F.lit(quarter)), middle, F.right(html, F.lit(quarter))))
 
 
-def relocate(html: str, snapshot: dict, threshold: float = 0.4, most: int = 2000) -> Node | None:
-    """The element most like a remembered one (tag, parent_tag, text, attrs), if any is alike enough."""
+def relocate(html: str, snapshot: dict, threshold: float = 0.4, most: int | None = None) -> Node | None:
+    """The element most like a remembered one (tag, parent_tag, text, attrs), if any is alike enough; of the first ``most`` elements or all."""
 
     def likeness(node: Node) -> float:
         ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()

@@ -95,20 +95,22 @@ def tripwire(text: Column, expected: list[str]) -> Column:
     return F.struct(F.array_join(F.filter(terms, held), ",").alias("matched"), F.array_join(F.filter(terms, lambda t: ~held(t)), ",").alias("missing"))
 
 
-def crawl_tree(pages: DataFrame, most_depth: int = 10) -> DataFrame:
-    """(url, root, depth) of every page at most ``most_depth`` below a page without parent, by pointer jumping.
+def crawl_tree(pages: DataFrame, most_depth: int | None = 10) -> DataFrame:
+    """(url, root, depth) of every page below a page without parent, at most ``most_depth`` below it if given, by pointer jumping.
 
-    Each round doubles the distance that a page sees. Pages below an unknown parent and pages in a circle have no root and are left out.
+    Each round doubles the distance that a page sees, until all see a root or as far as is asked. Pages below an unknown parent and pages in a circle have no root and are left
+    out; a circle is known by a distance that the number of pages does not allow.
     """
     checkpoint_folder(pages.sparkSession)
     parent, depth = F.col("parent_url"), F.col("depth")
-    seen, reach = pages.select("url", F.coalesce(parent, "url").alias("root"), parent.isNotNull().cast("int").alias("depth")), 1
-    while reach < most_depth:
+    seen, reach = pages.select("url", F.coalesce(parent, "url").alias("root"), parent.isNotNull().cast("long").alias("depth")), 1
+    roots = pages.filter(parent.isNull()).select(F.col("url").alias("root")).distinct().checkpoint()
+    most = pages.count() if most_depth is None else most_depth
+    while reach < most and not seen.join(roots, "root", "left_anti").isEmpty():
         up = seen.select(F.col("url").alias("root"), F.col("root").alias("_next"), depth.alias("_more"))
-        seen = seen.join(up, "root").select("url", F.col("_next").alias("root"), (depth + F.col("_more")).alias("depth")).filter(depth <= most_depth).checkpoint()
+        seen = seen.join(up, "root").select("url", F.col("_next").alias("root"), (depth + F.col("_more")).alias("depth")).filter(depth <= most).checkpoint()
         reach *= 2
-    roots = pages.filter(parent.isNull()).select(F.col("url").alias("root")).distinct()
-    return seen.filter(depth <= most_depth).join(roots, "root", "left_semi").select("url", "root", "depth")
+    return seen.filter(depth <= most).join(roots, "root", "left_semi").select("url", "root", depth.cast("int").alias("depth"))
 
 
 def looks_like_shell(html: Column, text: Column, least: int = 200) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.cells import is_filled, is_placeholder
 from ..functions.numbers import agent_number, currency_sign
 
-MOST_ROWS = 5000
 
 
 def documents_of(cells: DataFrame) -> DataFrame:
@@ -18,18 +17,20 @@ def documents_of(cells: DataFrame) -> DataFrame:
     return cells.groupBy("dataset_id", "record_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
-def search(records: DataFrame, query: str, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Records whose serialised fields contain the text, keys too; a page of them in order of id, at most MOST_ROWS."""
-    found = records.filter(F.contains(F.lower(F.to_json("fields")), F.lit(query[:200].lower()))) if query else records
-    return found.orderBy("dataset_id", "record_id").offset(max(0, offset)).limit(min(MOST_ROWS, max(1, limit)))
+def search(records: DataFrame, query: str, limit: int | None = 100, offset: int = 0) -> DataFrame:
+    """Records whose serialised fields contain the text, keys too; a page of ``limit`` of them in order of id, or all from ``offset`` on if it is None."""
+    found = records.filter(F.contains(F.lower(F.to_json("fields")), F.lit(query.lower()))) if query else records
+    page = found.orderBy("dataset_id", "record_id").offset(max(0, offset))
+    return page if limit is None else page.limit(max(1, limit))
 
 
 OPS = ("filled", "empty", "equals", "contains", "gt", "lt")
 
 
-def condition(field: Column, op: str, operand: str | float | None = None) -> Column:
-    """One condition on a cell's text; comparisons are of magnitudes."""
-    text = F.left(F.coalesce(field, F.lit("")), F.lit(160))
+def condition(field: Column, op: str, operand: str | float | None = None, longest: int | None = None) -> Column:
+    """One condition on a cell's text, or on its first ``longest`` characters; comparisons are of magnitudes."""
+    text = F.coalesce(field, F.lit(""))
+    text = text if longest is None else F.left(text, F.lit(longest))
     plain = F.lower(F.btrim(text))
     if op == "filled":
         return ~is_placeholder(field)
@@ -46,12 +47,12 @@ def condition(field: Column, op: str, operand: str | float | None = None) -> Col
     raise ValueError(f"unknown operation {op!r}; there are {', '.join(OPS)}")
 
 
-def records_where(records: DataFrame, conditions: list[tuple[str, str, str | float | None]]) -> DataFrame:
+def records_where(records: DataFrame, conditions: list[tuple[str, str, str | float | None]], longest: int | None = None) -> DataFrame:
     """Records that meet one to four conditions (field, operation, operand)."""
     if not 1 <= len(conditions) <= 4:
         raise ValueError("one to four conditions")
     value = lambda f: F.try_element_at("fields", F.lit(f))
-    return records.filter(reduce(lambda a, b: a & b, [condition(value(f), op, x) for f, op, x in conditions]))
+    return records.filter(reduce(lambda a, b: a & b, [condition(value(f), op, x, longest) for f, op, x in conditions]))
 
 
 def unreadable(records: DataFrame, field: str) -> DataFrame:

@@ -106,22 +106,29 @@ def consensus(answers: DataFrame, most: int | None = 400) -> DataFrame:
 def quote_matches(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """(quote_id, page_id) of every page that holds a quote, without comparing each quote with each page.
 
-    Quotes and pages meet on the digest of up to eight whole words after the quote's first, which may be cut;
-    then the whole quote is looked for. A quote of fewer than three words proves nothing without its page and is left out.
+    A quote may begin and end within words, so a quote of three words or more and a page meet on the digest of up to eight whole words after the quote's first;
+    then the whole quote is looked for. Shorter ones have no whole word: the distinct ones, all of which are bounded in length by two words, meet the pages on three
+    letters that both hold (one or two letters: on those). Null quotes and those without letters are on no page.
     """
     words = lambda c: F.split(F.btrim(for_match(c)), " ")
-    q = quotes.filter(F.col("quote").isNotNull()).withColumn("_words", words(F.col("quote"))).filter(F.size("_words") >= 3)
-    q = q.withColumn("_n", F.least(F.size("_words") - 2, F.lit(8)))
+    said = quotes.filter(F.col("quote").isNotNull() & (F.btrim(for_match(F.col("quote"))) != "")).select("quote_id", "quote").withColumn("_words", words(F.col("quote")))
+    q = said.filter(F.size("_words") >= 3).withColumn("_n", F.least(F.size("_words") - 2, F.lit(8)))
     q = q.withColumn("_key", F.xxhash64(F.array_join(F.slice("_words", F.lit(2), F.col("_n")), " ")))
     sizes = sorted(r[0] for r in q.select("_n").distinct().collect())  # eight at most
-    if not sizes:
-        return q.select("quote_id").withColumn("page_id", F.lit(None).cast("long")).limit(0)
-    p = pages.withColumn("_words", words(F.col("text")))
     starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - n + 1))
     digest = lambda n: lambda i: F.xxhash64(F.array_join(F.slice("_words", i, F.lit(n)), " "))
-    grams = [F.transform(starts(n), digest(n)) for n in sizes]
+    grams = [F.transform(starts(n), digest(n)) for n in sizes] or [F.array().cast("array<long>")]
     # only keys and ids are exploded; the texts of the pages that meet a quote are joined again
-    p = p.select("page_id", F.explode(F.array_distinct(F.concat(*grams))).alias("_key"))
+    p = pages.withColumn("_words", words(F.col("text"))).select("page_id", F.explode(F.array_distinct(F.concat(*grams))).alias("_key"))
     met = q.select("quote_id", "quote", "_key").join(p, "_key").select("quote_id", "quote", "page_id").distinct()
+    short = said.filter(F.size("_words") < 3).withColumn("_plain", F.rtrim(for_match(F.col("quote"))))
+    if not short.isEmpty():
+        letters = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.xxhash64(F.substr(c, i, F.lit(n))))
+        plain = F.concat(F.lit(" "), for_match(F.col("text")))
+        held = pages.withColumn("_plain", plain).select("page_id", F.explode(F.array_distinct(F.concat(*[letters(F.col("_plain"), n) for n in (1, 2, 3)]))).alias("_key"))
+        # the letters in the middle are likelier to be rare than those at the edges
+        at = F.greatest(F.lit(1), F.floor(F.length("_plain") / 2).cast("int"))
+        key = F.xxhash64(F.substr(F.col("_plain"), F.least(at, F.greatest(F.lit(1), F.length("_plain") - 2)), F.lit(3)))
+        met = met.unionByName(short.withColumn("_key", key).join(held, "_key").select("quote_id", "quote", "page_id").distinct())
     held = met.join(pages.select("page_id", "text"), "page_id").filter(quote_occurs(F.col("quote"), F.col("text")))
     return held.select("quote_id", "page_id").distinct()

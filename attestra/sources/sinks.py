@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import csv_safe
 
-#: Rows of one exported document; larger datasets are written by ``write``.
+#: Rows of one exported document, which passes through the driver; larger datasets are written by ``write``.
 MOST_ROWS = 5000
 PROVENANCE = ("verification_status", "url", "retrieved_at")
 
@@ -35,8 +35,10 @@ def write(rows: DataFrame, path: str, kind: str) -> None:
 
 
 def export(rows: DataFrame, kind: str, order: str = "record_id", title: str = "Dataset") -> str:
-    """A document of at most MOST_ROWS rows. An empty dataset is an error but for a report."""
-    found = [r.asDict(recursive=True) for r in rows.orderBy(order).limit(MOST_ROWS).toLocalIterator()]
+    """A document of at most MOST_ROWS rows; a larger dataset is refused, never cut. An empty dataset is an error but for a report."""
+    found = [r.asDict(recursive=True) for r in rows.orderBy(order).limit(MOST_ROWS + 1).toLocalIterator()]
+    if len(found) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows: write them as files")
     if not found and kind != "md":
         raise ValueError("nothing to export")
     if kind == "csv":

@@ -3,13 +3,14 @@
 Encoding cuts each stream into frames, predicts with the best of three fixed orders and one adaptive
 linear predictor, and Rice-codes the residual. Decoding finds the frames by the stream's seek table,
 verifies both checksums of each, and runs through all frames of a batch in step: the i-th
-samples of all frames are decoded together by numpy, so no Python runs per sample. ``pcm_blocks`` writes
-the decoded blocks with their sample offsets; a reader seeks by them.
+samples of all frames are decoded together by numpy, so no Python runs per sample. ``pcm_blocks`` gives
+the decoded blocks with their sample offsets, and ``stored_blocks`` writes them; a reader seeks by them.
 
 Streams are read if they are mono, 8 bits deep, with a seek point for each frame, as written here.
 Defined results: null payloads are empty; a text's payload is its UTF-8 bytes and zeros up to a positive
-multiple of 64; repeated rows give equal rows; an empty table gives no rows; other columns are ignored. A
-damaged stream raises ``ValueError``.
+multiple of 64; repeated rows give equal rows; an empty table gives no rows; other columns are ignored. A very long
+text is one stream, and a task holds some 30 times its bytes; as offsets are 24 bits of seek table, streams end near 950 MB. A
+damaged stream is a row with a status in ``pcm_blocks`` and raises ``ValueError`` elsewhere; so does a damaged stored block.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import text_chunks
+from .shared import materialize, text_chunks
 
 BLOCK = 1024
 ORDER = 4
@@ -35,6 +36,11 @@ PRECISION = 10
 #: Bytes of payload that are encoded or decoded together.
 CHUNK = 1 << 20
 RATE = 8000
+#: What a damaged stream makes the decoder raise.
+DAMAGE = (ValueError, IndexError, struct.error, OverflowError)
+STORED = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:bigint,n_samples:bigint,crc32:bigint,pcm:binary>>"
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("crc32", pa.int64()), ("pcm", pa.binary())]))
 
 
 @cache
@@ -438,20 +444,83 @@ def media_column(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, str | None]]:
+    """(payload, block offsets, what is wrong) of each stream; a damaged one does not spoil the others."""
+    try:
+        return [(p, o, None) for p, o in decode(streams)]
+    except DAMAGE as error:
+        if len(streams) == 1:
+            return [(b"", np.zeros(0, np.int64), str(error) or type(error).__name__)]
+        return [x for s in streams for x in _decoded([s])]
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples, pcm, crc32 of every decoded block."""
+    """doc_id, block, sample_offset, n_samples, pcm, crc32, status of every decoded block; a damaged stream is one row without a block, whose status says what is wrong."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, streams in _streams(batches):
             out = []
-            for doc, (payload, offsets) in zip(rows.column("doc_id").to_pylist(), decode(streams), strict=True):
+            for doc, (payload, offsets, wrong) in zip(rows.column("doc_id").to_pylist(), _decoded(streams), strict=True):
                 bounds = [*offsets.tolist(), len(payload)]
-                out += [(doc, i, a, b - a, payload[a:b], zlib.crc32(payload[a:b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            names = ["doc_id", "block", "sample_offset", "n_samples", "pcm", "crc32"]
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
+                out += [(doc, i, a, b - a, payload[a:b], zlib.crc32(payload[a:b]), None) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+                if wrong is not None:
+                    out.append((doc, None, None, None, None, None, wrong))
+            names = ["doc_id", "block", "sample_offset", "n_samples", "pcm", "crc32", "status"]
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return media.mapInArrow(blocks, "doc_id long, block long, sample_offset long, n_samples long, pcm binary, crc32 long")
+    return media.mapInArrow(blocks, "doc_id long, block long, sample_offset long, n_samples long, pcm binary, crc32 long, status string")
+
+
+def stored_blocks(documents: DataFrame) -> DataFrame:
+    """A written table with one row for each document: doc_id, n_bytes, media_bytes, media_sha256, and the PCM blocks that its FLAC stream decodes to.
+
+    A block has the offset of its first sample, so a reader that wants sample s takes the last block whose offset is at most s.
+    """
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in text_chunks(batches, CHUNK):
+            streams = encode([padded(t) for t in texts])
+            held = []
+            for payload, offsets in decode(streams):
+                bounds = [*offsets.tolist(), len(payload)]
+                held.append([{"sample_offset": a, "n_samples": b - a, "crc32": zlib.crc32(payload[a:b]), "pcm": payload[a:b]} for a, b in zip(bounds, bounds[1:], strict=False)])
+            columns = [
+                rows.column("doc_id").cast(pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, streams), pa.int64()),
+                pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array(held, _BLOCKS),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    return materialize(documents.select("doc_id", "text").mapInArrow(store, STORED), "blocks")
+
+
+def read_blocks(blocks: list[dict]) -> bytes:
+    """The payload of stored blocks, whose checksums and offsets must be right."""
+    at = 0
+    for b in blocks:
+        if b["sample_offset"] != at or b["n_samples"] != len(b["pcm"]) or zlib.crc32(b["pcm"]) != b["crc32"]:
+            raise ValueError(f"the block at sample {at} is damaged")
+        at += len(b["pcm"])
+    return b"".join(b["pcm"] for b in blocks)
+
+
+def described_blocks(stored: DataFrame) -> DataFrame:
+    """What ``described`` gives, from stored blocks that are read back."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                rows = batch.slice(a, 256)
+                blocks = rows.column("blocks").to_pylist()
+                payloads = [read_blocks(b) for b in blocks]
+                columns = [
+                    rows.column("doc_id"), rows.column("n_bytes"), pa.array(map(len, payloads), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                    pa.array([zlib.crc32(p[-64:]) for p in payloads], pa.int64()), rows.column("media_bytes"), rows.column("media_sha256"),
+                    pa.array([feature(p, len(b)) for p, b in zip(payloads, blocks, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in DESCRIBED.split(", ")])
+
+    return stored.mapInArrow(describe, DESCRIBED)
 
 
 def feature(payload: bytes, blocks: int) -> str:

@@ -47,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.described(flac.media_column(spread(table(spark, sf_dir, "documents"))))
+    return flac.described_blocks(flac.stored_blocks(spread(table(spark, sf_dir, "documents"))))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

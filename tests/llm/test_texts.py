@@ -332,6 +332,31 @@ def test_flac_round_trip(spark, documents, rows):
     assert all(b"".join(b for _, b in sorted(blocks[i].items())) == flac.padded(text_bytes(t)) for i, t, *_ in rows)
 
 
+def test_flac_blocks_are_stored_and_read_back(spark, documents):
+    stored = flac.stored_blocks(documents)
+    want = sorted(tuple(r) for r in flac.described(flac.media_column(documents)).collect())
+    assert sorted(tuple(r) for r in flac.described_blocks(stored).collect()) == want
+    row = max(stored.collect(), key=lambda r: r.n_bytes)
+    blocks = [b.asDict() for b in row.blocks]
+    # a reader seeks by the offsets
+    at = 5000
+    block = [b for b in blocks if b["sample_offset"] <= at][-1]
+    assert len(blocks) > 5 and flac.read_blocks(blocks)[at] == block["pcm"][at - block["sample_offset"]]
+    for change in ({"crc32": 1}, {"sample_offset": 3}, {"pcm": b"x"}):
+        with pytest.raises(ValueError, match="damaged"):
+            flac.read_blocks([{**blocks[0], **change}, *blocks[1:]])
+
+
+def test_a_damaged_stream_is_a_row_with_a_status(spark):
+    streams = flac.encode([flac.padded(b"some text " * 300), flac.padded(b"other " * 50), flac.padded(b"")])
+    bad = bytearray(streams[0])
+    bad[len(bad) // 2] ^= 0x55
+    rows = [(1, streams[0]), (2, bytes(bad)), (3, streams[1]), (4, streams[1][:40]), (5, b""), (6, streams[2])]
+    got = flac.pcm_blocks(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in got if r.status} == {2, 4, 5} and {r.doc_id for r in got if r.block is not None} == {1, 3, 6}
+    assert b"".join(r.pcm for r in sorted((r for r in got if r.doc_id == 1), key=lambda r: r.block)) == flac.padded(b"some text " * 300)
+
+
 def test_flac_extremes_and_damage():
     rng = np.random.RandomState(0)
     walk = np.clip(np.cumsum(rng.randint(-3, 4, 5000)) + 128, 0, 255).astype(np.uint8).tobytes()

@@ -175,7 +175,7 @@ def test_crawl(spark):
 def test_sectors():
     venture = sectors.sector([{"name": "founder_names"}, {"name": "funding_round"}, {"name": "investor"}])
     assert venture["sector"] == "venture" and venture["matched_fields"]
-    assert sectors.sector([{"name": "mood"}])["method"] == "below-floor" and sectors.sector([])["method"] == "none"
+    assert sectors.sector([{"name": "mood"}])["method"] == "none" and sectors.sector([])["method"] == "none"
     assert sectors.sector([{"name": "ticker_quote"}, {"name": "hiring_role"}])["sector"] is None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import extraction, rounds
+from .operators import answers, extraction, rounds
 from .queries import CELLS, DECLARED, query
 from .sources.tables import DATASETS, cells, declared, load
 
@@ -146,3 +146,28 @@ def learned_selectors(spark, sf_dir):
     said = F.array(*[F.struct(F.lit(f).alias("field"), plain(F.regexp_extract("html", p, 1)).alias("value")) for f, p in (("headline", "<h1>([^<]*)</h1>"), ("advert", '<div class="ad">([^<]*)</div>'))])
     learnt = extraction.learn_selectors(table, table.select("page_id", F.inline(said)), F.col("page_id") % 2 == 1)
     return learnt.filter("place = 1").select("domain", "field", "selector", "seen", "right", "wrong", "missed")
+
+
+# what a model says: each event's payload holds a good record, one that its evidence fills, two malformed ones and an empty one
+
+
+def _said(spark, sf_dir):
+    payload = F.concat(
+        F.lit('{"data": {"coverage": "'), F.when(F.col("event_id") % 2 == 0, "full").otherwise("mostly"), F.lit('", "records": [{"fields": {"props": '), "props", F.lit(', "kind": "NA", "n": '), F.col("event_id").cast("string"),
+        F.lit('}, "evidence": [{"field": "kind", "value": "'), "event_type", F.lit('", "quote": "q"}, {"field": "gone", "quote": "q"}]}, 5, {"fields": []}, {"fields": {"x": "n/a"}, "evidence": null}]}}'),
+    )
+    whole = F.when(F.col("event_id") % 11 == 0, F.left(payload, F.length(payload) - 1)).when(F.col("event_id") % 13 == 0, "[1]").otherwise(payload)
+    return answers.coerced(load(spark, sf_dir, "events").select("event_id", F.lit("u").alias("url"), whole.alias("payload")), "event_id")
+
+
+@query("""SELECT event_id, 0 AS ordinal, CASE WHEN event_id % 2 = 0 THEN 'full' ELSE 'none' END AS coverage, k AS field, CASE k WHEN 'kind' THEN event_type ELSE CAST(event_id AS VARCHAR) END AS value, CASE k WHEN 'kind' THEN 1 ELSE 0 END AS quotes
+    FROM events, (VALUES ('kind'), ('n')) AS t(k) WHERE event_id % 11 > 0 AND event_id % 13 > 0""")
+def coerced_records(spark, sf_dir):
+    rows = _said(spark, sf_dir).records.select("event_id", "ordinal", "coverage", F.explode("fields").alias("field", "value"), "evidence")
+    return rows.filter("field <> 'props'").select("event_id", "ordinal", "coverage", "field", "value", F.size(F.filter("evidence", lambda e: e["field"] == F.col("field"))).alias("quotes"))
+
+
+@query("""SELECT event_id, CAST(NULL AS INTEGER) AS ordinal, CASE WHEN event_id % 11 = 0 THEN 'no JSON' ELSE 'no object' END AS reason FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0
+    UNION ALL SELECT event_id, n, reason FROM events, (VALUES (1, 'the record is no object'), (2, 'its fields are no object'), (3, 'no field has a value')) AS t(n, reason) WHERE event_id % 11 > 0 AND event_id % 13 > 0""")
+def malformed_answers(spark, sf_dir):
+    return _said(spark, sf_dir).malformed

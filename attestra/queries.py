@@ -551,17 +551,38 @@ def regex_fields(spark, sf_dir):
     return pages.regex_fields(load(spark, sf_dir, "documents").withColumnRenamed("doc_id", "page_id"), ["email"])
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script[^>]*>.*?</script>', '', 'gs'), '<head>.*?</head>', '', 'gs'), '<nav>.*?</nav>', '', 'gs'), '<footer>.*?</footer>', '', 'gs') AS h FROM pages),
+    p AS (SELECT page_id, string_split(replace(replace(replace(replace(regexp_replace(regexp_replace(h, '</?(p|div|li|tr|br|h[1-6]|article|section|ul|ol|table|pre|blockquote)(\s[^>]*)?/?>', chr(10), 'g'), '<[!/]?[a-zA-Z][^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)) AS lines FROM t),
+    l AS (SELECT page_id, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM p)
+    SELECT page_id, sha256(text) AS sha256, length(text) AS n_chars FROM l""")
 def html_text(spark, sf_dir):
     return pages.evidence_text(load(spark, sf_dir, "pages"), 1 << 30).select("page_id", F.sha2("text", 256).alias("sha256"), F.length("text").alias("n_chars"))
 
 
-@query()
+#: The links of the tables' pages: all are root-relative and quoted; an address counts once, where it stands first.
+_LINKS = r"""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)</a>', 1)) AS anchor,
+        unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>[^<]*</a>', 1)))) AS n FROM pages),
+    f AS (SELECT page_id, site || replace(regexp_extract(href, '^[^#]*'), '&amp;', '&') AS url, min(n) AS n, arg_min(trim(regexp_replace(replace(anchor, '&amp;', '&'), '\s+', ' ', 'g')), n) AS anchor FROM a GROUP BY ALL),
+    links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS position, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, anchor FROM f)"""
+
+
+@query(_LINKS + r""" SELECT *, url AS canonical FROM links""")
 def page_links_resolved(spark, sf_dir):
     return pages.links(load(spark, sf_dir, "pages"), limit=None, longest=None)
 
 
-@query()
+def _chunk_end(start: str) -> str:
+    """Where a chunk from ``start`` ends: at the last blank line, else the last space, of its last 600 characters."""
+    end = f"least(length(text), {start} + 6000)"
+    zone = f"greatest({start} + 1, {end} - 600)"
+    tail = f"substr(text, {zone} + 1, {end} - {zone})"
+    before = lambda mark: f"{zone} + length(regexp_extract({tail}, '^(.*){mark}', 1, 's'))"
+    return f"CASE WHEN {end} = length(text) THEN {end} WHEN contains({tail}, chr(10) || chr(10)) THEN {before('[' + chr(92) + 'n][' + chr(92) + 'n]')} WHEN contains({tail}, ' ') THEN {before(' ')} ELSE {end} END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS position, CAST(0 AS BIGINT) AS start, CAST({_chunk_end("0")} AS BIGINT) AS stop FROM documents WHERE text <> ''
+    UNION ALL SELECT doc_id, text, position + 1, greatest(stop - 600, start + 1), {_chunk_end("greatest(stop - 600, start + 1)")} FROM c WHERE stop < length(text))
+    SELECT doc_id, position, substr(text, start + 1, stop - start) AS chunk FROM c""")
 def chunks(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks("text", most=None)).alias("position", "chunk"))
 
@@ -646,7 +667,10 @@ def search_plausibility(spark, sf_dir):
     return load(spark, sf_dir, "supplier").select("s_suppkey", crawl.plausible(url, name, title).alias("plausible"))
 
 
-@query()
+@query(_LINKS + r""", w AS (SELECT *, regexp_extract_all(lower(regexp_replace(url, '^[a-z]+://[^/]*/?', '')), '[^/]+') AS parts, list_distinct(regexp_extract_all(lower(anchor), '[\p{L}\p{N}]{3,}')) AS words FROM links),
+    h AS (SELECT *, len(list_distinct(list_transform(list_filter(words, lambda x: regexp_full_match(x, 'and|thing(s|es|ing|ings|ship)?')), lambda x: left(x, 3)))) AS hits,
+          len(list_filter(regexp_extract_all(coalesce(parts[-1], ''), '[\p{L}\p{N}]{3,}'), lambda x: regexp_full_match(x, 'and|thing(s|es|ing|ings|ship)?'))) > 0 AS in_path FROM w)
+    SELECT page_id, position, CAST(CASE WHEN len(parts) = 0 THEN -2.0 ELSE 0.0 END + CASE WHEN hits > 0 THEN 2.0 + 0.5 * (hits - 1) ELSE 0.0 END + CASE WHEN in_path THEN 1.0 ELSE 0.0 END + CASE WHEN anchor <> '' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM h""")
 def link_scores(spark, sf_dir):
     found = pages.links(load(spark, sf_dir, "pages"), limit=None, longest=None)
     return found.select("page_id", "position", crawl.link_score(F.col("url"), F.col("anchor"), ["thing", "and"]).alias("score"))

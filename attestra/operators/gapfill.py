@@ -54,24 +54,29 @@ def required_gate(cells: DataFrame, required: DataFrame) -> DataFrame:
     A record that misses one is dropped, unless its whole dataset would be: then all of it is rescued for review.
     ``required`` has dataset_id and field.
     """
-    held = cells.filter(F.coalesce(F.col("value"), F.lit("")) != "").select("dataset_id", "record_id", "field").join(F.broadcast(required), ["dataset_id", "field"])
+    held = cells.filter(F.coalesce(F.col("value"), F.lit("")) != "").select("dataset_id", "record_id", "field").join(required, ["dataset_id", "field"])
     asked = required.groupBy("dataset_id").agg(F.count_distinct("field").alias("asked"))
     found = held.groupBy("dataset_id", "record_id").agg(F.count_distinct("field").alias("found"))
     records = cells.select("dataset_id", "record_id").distinct()
-    counted = records.join(F.broadcast(asked), "dataset_id", "left").join(found, ["dataset_id", "record_id"], "left")
+    counted = records.join(asked, "dataset_id", "left").join(found, ["dataset_id", "record_id"], "left")
     counted = counted.select("dataset_id", "record_id", (F.coalesce("asked", F.lit(0)) - F.coalesce("found", F.lit(0))).alias("missing"))
     sound = counted.groupBy("dataset_id").agg(F.min("missing").alias("least"))
     outcome = F.when(F.col("missing") == 0, "kept").when(F.col("least") > 0, "rescued").otherwise("dropped")
-    return counted.join(F.broadcast(sound), "dataset_id").select("dataset_id", "record_id", "missing", outcome.alias("outcome"))
+    return counted.join(sound, "dataset_id").select("dataset_id", "record_id", "missing", outcome.alias("outcome"))
 
 
 def judged_within(cells: DataFrame, budget: int | None) -> DataFrame:
-    """Cells with ``asked``: the first ``budget`` open cells of each dataset go to the judge; 0 asks about none, None about all."""
-    open_ = F.col("verification_status") == "judgment_unavailable"
+    """Cells with ``asked``: the first ``budget`` open cells of each dataset go to the judge; 0 asks about none, None about all.
+
+    Only open cells are ranked, and each task drops those beyond the budget before they are shuffled. Dataset, record and field name a cell.
+    """
+    open_ = F.coalesce(F.col("verification_status") == "judgment_unavailable", F.lit(False))
     if budget is None:
         return cells.withColumn("asked", open_)
-    place = F.row_number().over(Window.partitionBy("dataset_id", open_).orderBy("record_id", "field"))
-    return cells.withColumn("asked", open_ & (place <= budget))
+    key = ["dataset_id", "record_id", "field"]
+    place = F.row_number().over(Window.partitionBy("dataset_id").orderBy("record_id", "field"))
+    first = cells.filter(open_).select(*key).withColumn("_place", place).filter(F.col("_place") <= budget).select(*key).distinct().withColumn("asked", F.lit(True))
+    return cells.join(first, key, "left").withColumn("asked", open_ & F.coalesce("asked", F.lit(False))).select(*cells.columns, "asked")
 
 
 def most_populated(cells: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def frontier_of(cells: DataFrame, gaps: DataFrame) -> DataFrame:
     """The open cells of some gaps: every record of the dataset that has no value for the field."""
     records = cells.select("dataset_id", "record_id").distinct()
     held = cells.filter(F.coalesce(F.btrim("value"), F.lit("")) != "").select(*CELL)
-    return records.join(F.broadcast(gaps.select(*GAP)), "dataset_id").select(*CELL).join(held, CELL, "left_anti")
+    return records.join(gaps.select(*GAP), "dataset_id").select(*CELL).join(held, CELL, "left_anti")
 
 
 def queries_for(frontier: DataFrame, cells: DataFrame, identity: list[str], left: DataFrame, bounds: Bounds) -> DataFrame:
@@ -97,7 +97,7 @@ def queries_for(frontier: DataFrame, cells: DataFrame, identity: list[str], left
     rows = frontier.join(known.select("dataset_id", "record_id", "filled", "name.entity"), ["dataset_id", "record_id"])
     place = F.row_number().over(Window.partitionBy(*GAP).orderBy(F.desc("filled"), "record_id"))
     # the budget bounds a group's rows before they are shuffled, so a field that all records miss is no hot group
-    rows = rows.withColumn("place", place).filter(F.col("place") <= bounds.searches_per_field).join(F.broadcast(left), "dataset_id").filter(F.col("place") <= F.col("left"))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= bounds.searches_per_field).join(left, "dataset_id").filter(F.col("place") <= F.col("left"))
     query = F.concat(F.lit('"'), F.col("entity"), F.lit('" '), F.replace("field", F.lit("_"), F.lit(" ")))
     return rows.select(*CELL, "entity", query.alias("query"), "place")
 

@@ -22,16 +22,21 @@ def verify(cells: DataFrame, kind: str = "string", judge: Callable[[Column, Colu
 
     Placeholders and values of the wrong type go; without a quote a value is unverified; a quote that the page
     lacks takes the value with it, and so does an unknown reference; what the quote does not decide goes to
-    ``judge`` (a column of verdicts), for the first ``budget`` cells by record and field.
+    ``judge`` (a column of verdicts), for the first ``budget`` cells by record and field, which name a cell.
     """
     value, quote = F.col("value"), F.col("quote")
     verdict = deterministic(value, quote, F.col("text"))
     known = (F.coalesce("reference_id", F.lit("")) == "") | (F.coalesce("references", F.lit("")) == "") | F.contains(F.col("references"), F.col("reference_id"))
     rows = cells.withColumn("_verdict", verdict)
     open_ = F.col("_verdict").isNull()
-    place = F.row_number().over(Window.partitionBy(open_).orderBy("record_id", "field")) if budget is not None else F.lit(1)
+    if budget is None:
+        rows = rows.withColumn("_asked", open_)
+    else:
+        # the first of all cells are the first of each task's first; they are as many as the budget says
+        first = rows.filter(open_).select("record_id", "field").orderBy("record_id", "field").limit(budget).distinct().withColumn("_asked", F.lit(True))
+        rows = rows.join(first, ["record_id", "field"], "left").withColumn("_asked", open_ & F.coalesce("_asked", F.lit(False)))
     judged = judge(value, quote, F.col("text")) if judge else F.lit(None).cast("string")
-    rows = rows.withColumn("_judged", F.when(open_ & (F.lit(budget is None) | (place <= (budget or 0))), judged))
+    rows = rows.withColumn("_judged", F.when(F.col("_asked"), judged))
     gone = is_placeholder(value) | ~type_accepts(value, kind)
     absent = (F.coalesce(quote, F.lit("")) != "") & (F.col("_verdict") == "NOT_SUPPORTED")
     status = (
@@ -40,7 +45,7 @@ def verify(cells: DataFrame, kind: str = "string", judge: Callable[[Column, Colu
         .otherwise("judgment_unavailable")
     )
     kept = F.when(gone | F.coalesce(absent, F.lit(False)) | ((F.coalesce(quote, F.lit("")) != "") & ~known), None).otherwise(value)
-    return rows.withColumn("verification_status", status).withColumn("value", kept).drop("_verdict", "_judged")
+    return rows.withColumn("verification_status", status).withColumn("value", kept).drop("_verdict", "_judged", "_asked").select(*cells.columns, *[c for c in ("value", "verification_status") if c not in cells.columns])
 
 
 def settle(cells: DataFrame) -> DataFrame:

@@ -600,7 +600,19 @@ def _names(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("Ltd")).alias("p_name"))
 
 
-@query()
+#: The longest common subsequence row by row; ``row`` is the table's row for the letters of a so far.
+_LCS = """list_reduce(list_transform(range(1, length(a) + 1), lambda i: [i]), lambda row, e: list_reduce(list_transform(range(1, length(b) + 1), lambda j: [j]),
+    lambda acc, f: list_append(acc, CASE WHEN a[e[1]] = b[f[1]] THEN row[f[1]] + 1 ELSE greatest(row[f[1] + 1], acc[f[1]]) END), [CAST(0 AS BIGINT)]), list_resize([CAST(0 AS BIGINT)], length(b) + 1, 0))[length(b) + 1]"""
+
+
+@query(f"""WITH n AS (SELECT trim(regexp_replace(lower(concat_ws(' ', p_name, p_type, 'Ltd')), '[^a-z0-9]+', ' ', 'g')) AS identity, min(p_partkey) AS id FROM part GROUP BY 1),
+    s AS (SELECT id, list_filter(string_split(identity, ' '), lambda w: NOT list_contains({[w for w in T.LEGAL_FORMS]!r}, w)) AS words FROM n WHERE identity <> ''),
+    j AS (SELECT id, array_to_string(words, ' ') AS stem, len(words) AS n FROM s WHERE len(words) > 0),
+    k AS (SELECT id, 'p' || left(stem, 3) AS block FROM j UNION SELECT id, 's' || right(stem, 4) FROM j WHERE length(stem) > 1),
+    m AS (SELECT DISTINCT x.id AS a_id, y.id AS b_id FROM k x JOIN k y ON x.block = y.block AND x.id < y.id),
+    c AS (SELECT a_id, b_id, x.stem AS a, y.stem AS b FROM m JOIN j x ON x.id = a_id JOIN j y ON y.id = b_id
+          WHERE x.n = y.n AND least(length(x.stem), length(y.stem)) >= 0.55 * greatest(length(x.stem), length(y.stem)) AND levenshtein(x.stem, y.stem) <= 0.12 * (length(x.stem) + length(y.stem)) + 1e-6)
+    SELECT * FROM (SELECT a_id AS a, b_id AS b, 200.0 * {_LCS} / (length(a) + length(b)) AS similarity FROM c) WHERE similarity >= 88""")
 def fuzzy_pairs(spark, sf_dir):
     return dedupe.similar_pairs(_names(spark, sf_dir), ["p_name"], "p_partkey")
 

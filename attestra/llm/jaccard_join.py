@@ -45,7 +45,7 @@ VERIFY = 20.0
 CHUNK = 1 << 18
 GATHERED = 400_000
 #: Bytes of shingles in a partition on average.
-PARTITION = 16 << 20
+PARTITION = 12 << 20
 #: Leaders of a posting list's nodes in each round.
 LEADERS = (1, 8)
 #: Nodes of a posting list that one task compares at a time, on average.

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .shared import SPACES, materialize, span_hashes, text_chunks
 
 #: Words, and ids of words, that a worker remembers; beyond either it keeps the half most used.
-MOST_WORDS = 800_000
-MOST_IDS = 8_000_000
+MOST_WORDS = 400_000
+MOST_IDS = 4_000_000
 #: Bytes of text read, and words encoded, at a time.
 CHUNK = 1 << 20
 ENCODED = 8192

@@ -128,7 +128,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[int(base)] = have
     return have[:n]
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach_groups, components, materialize, mix, powers, shingle_sets, shuffle_partitions, text_chunks, to_buckets
+from .shared import attach_groups, components, give_back, materialize, mix, powers, shingle_sets, shuffle_partitions, text_chunks, to_buckets
 
 WORDS = 5
 PERCENT = 75
@@ -198,6 +198,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
             rows.append(rest)
     if rows:
         yield now, rows
+        rows.clear()
+    give_back()
 
 
 def _sharer(buckets: int, homes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -350,6 +352,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+        held.clear()
+    give_back()
 
 
 MET = "x long, l_x int, nodes binary, matches binary"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +97,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system; workers live on after a task, beside the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(rows, their texts in UTF-8) with at most ``most`` bytes of text unless one text is longer. Null is empty."""
     for batch in batches:
@@ -106,6 +121,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
             start = stop
+    give_back()
 
 
 #: Fixed values of the word rule: A-Z are lower-cased, and words are separated by these bytes.

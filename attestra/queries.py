@@ -779,10 +779,13 @@ def wrapped_records(spark, sf_dir):
 
 # verdicts
 
-@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE WHEN verification_status <> 'verified' THEN 'unverifiable' WHEN coalesce(rival, '') = '' AND NOT ({_HELD}) THEN 'empty'
-    WHEN value IS NULL OR lower(value) IN ('na') THEN 'empty' ELSE 'unchanged' END AS decision FROM cells""")
+@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE WHEN verification_status <> 'verified' THEN 'unverifiable' WHEN NOT ({_HELD}) OR (lower(value) = 'na' AND position % 3 < 2) THEN 'empty'
+    WHEN position % 3 < 2 THEN 'unchanged' ELSE 'changed' END AS decision FROM cells""")
 def refresh_decisions(spark, sf_dir):
-    return cells(spark, sf_dir).select("dataset_id", "record_id", "field", verify.refresh_decision(F.col("value"), F.upper("value"), F.col("verification_status")).alias("decision"))
+    # read again in capitals, with emphasis and more space, or with more said
+    said = F.when(F.col("position") % 3 == 0, F.upper("value")).when(F.col("position") % 3 == 1, F.concat(F.lit("*"), F.replace("value", F.lit(" "), F.lit("  ")), F.lit("*"))).otherwise(F.concat("value", F.lit(" new")))
+    said = F.when(F.lower("value") == "na", F.when(F.col("position") % 3 < 2, F.col("value")).otherwise(F.concat("value", F.lit(" new")))).otherwise(said)
+    return cells(spark, sf_dir).select("dataset_id", "record_id", "field", verify.refresh_decision(F.col("value"), said, F.col("verification_status")).alias("decision"))
 
 
 @query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, CASE verdict WHEN 'B' THEN rival WHEN 'INSUFFICIENT' THEN NULL ELSE value END AS value, CASE verdict WHEN 'B' THEN 'adopted' WHEN 'INSUFFICIENT' THEN 'withdrawn' ELSE 'kept' END AS resolved

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .functions import cells as C
@@ -58,9 +60,18 @@ def gap_attempts(spark, sf_dir):
     return coverage.attempt(stored, results)
 
 
-@query(f"""WITH {CELLS} SELECT dataset_id, record_id, field, coalesce(regexp_full_match(value, '[$]?-?[0-9]+([.][0-9]+)?'), false) AS accepted FROM cells""")
+#: Texts of many forms made of a cell, so that every declared type accepts some and rejects some.
+_FORMS = {"as_is": "value", "date": "'2024-01-0' || (1 + length(value) % 9)", "url": "'https://site.example/' || replace(value, ' ', '-')", "words": "'about ' || value", "magnitude": "'$' || length(value) || '.5 million'", "yes": "'yes'"}
+
+
+@query(f"""WITH {CELLS}, forms AS ({" UNION ALL ".join(f"SELECT dataset_id, field, '{n}' AS form, {e} AS text FROM cells" for n, e in _FORMS.items())}),
+    kinds AS (SELECT *, unnest({list(C.TYPE_FORMS)!r}) AS kind FROM forms)
+    SELECT dataset_id, field, form, kind, count(*) AS n, count(*) FILTER (coalesce(CASE kind {" ".join(f"WHEN '{k}' THEN regexp_matches(text, '{f.replace(chr(39), chr(39) * 2)}')" for k, f in C.TYPE_FORMS.items())} END, false)) AS accepted FROM kinds GROUP BY ALL""")
 def type_accepted(spark, sf_dir):
-    return cells(spark, sf_dir).select("dataset_id", "record_id", "field", C.type_accepts(F.col("value"), "number").alias("accepted"))
+    forms = F.inline(F.array(*[F.struct(F.lit(n).alias("form"), F.expr(e).alias("text")) for n, e in _FORMS.items()]))
+    rows = cells(spark, sf_dir).select("dataset_id", "field", "value").select("dataset_id", "field", forms)
+    kinds = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), C.type_accepts(F.col("text"), k).alias("good")) for k in C.TYPE_FORMS]))
+    return rows.select("dataset_id", "field", "form", kinds).groupBy("dataset_id", "field", "form", "kind").agg(F.count("*").alias("n"), F.count_if("good").alias("accepted"))
 
 
 @query(f"""WITH {CELLS}, r AS (SELECT record_id, field, value, CASE WHEN verification_status = 'verified' THEN 'json' WHEN verification_status = 'unverified' THEN 'labelled' ELSE 'model' END AS rung FROM cells WHERE trim(coalesce(value, '')) <> '')
@@ -179,9 +190,19 @@ def crawl_counts(spark, sf_dir):
     return pages.fetch_outcome(e.select(F.col("event_type").alias("status"), F.when(F.col("value") > 100, "slow").alias("error_code")))
 
 
-@query("SELECT 'every extraction failed' AS reason, count(*) AS pages, count(*) FILTER (WHERE length(coalesce(text, '')) < 2000) AS thin FROM documents")
+#: What each provider said of the documents, and what follows.
+_NO_YIELD = {"error": "every extraction failed", "timeout": "every extraction timed out", "none": "no model was available", "mixed": "no matching records", "nothing": "no page was fetched"}
+
+
+@query("SELECT c AS said, reason, count(doc_id) AS pages, count(doc_id) FILTER (length(coalesce(text, '')) < 2000) AS thin FROM (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in _NO_YIELD.items()) + ") AS t(c, reason) LEFT JOIN documents ON c <> 'nothing' GROUP BY ALL")
 def no_yield(spark, sf_dir):
-    return crawl.no_yield_reason(load(spark, sf_dir, "documents").select("text", F.lit("error").alias("provider")))
+    documents = load(spark, sf_dir, "documents")
+    parts = []
+    for said in _NO_YIELD:
+        provider = F.when(F.col("doc_id") % 2 == 0, "error").otherwise("timeout") if said == "mixed" else F.lit(said)
+        rows = documents.filter(F.lit(said != "nothing")).select("text", provider.alias("provider"))
+        parts.append(crawl.no_yield_reason(rows).select(F.lit(said).alias("said"), "reason", "pages", "thin"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents), n(needle, word) AS (VALUES ('the', 'the'), ('of the', 'of'), ('der', 'der'), ('que', 'que'))

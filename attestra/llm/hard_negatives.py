@@ -253,9 +253,9 @@ def mine(
     low, width = grid(vectors)
     anchors = vectors.filter(F.col("vec_id") % anchor_every == 0)
     n_rows, n_anchors = vectors.count(), anchors.count()
-    # as many tasks as there are cores where the table is small
-    n_blocks = max(1, -(-n_rows // ROWS), min(spark.sparkContext.defaultParallelism * 2, n_rows // 512))
     n_groups = max(1, -(-n_anchors // ANCHORS))
+    # where the table is small, smaller blocks make twice as many tasks as there are cores
+    n_blocks = max(1, -(-n_rows // ROWS), min(-(-2 * spark.sparkContext.defaultParallelism // n_groups), n_rows // 512))
     dealt = blocks(vectors, n_blocks, len(low), 0)
     wide = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     wide = wide.select((F.col("bucket") * n_groups + F.col("group")).alias("bucket"), *dealt.columns[1:])

@@ -35,6 +35,11 @@ class Plan:
     search_queries: tuple[str, ...] = ()
     dedupe_keys: tuple[str, ...] = ()
     phrases: dict[str, str] = field(default_factory=dict)
+    allowed_sources: tuple[str, ...] = ()
+    seed_domains: tuple[str, ...] = ()
+    terms: tuple[str, ...] = ()
+    rules: tuple[str, ...] = ()
+    edition: str = ""
 
 
 def compile_plan(prompt: str) -> Plan:

@@ -69,11 +69,24 @@ def plausible(url: Column, entity: Column, title: Column) -> Column:
     return url.rlike("^https?://") & (F.length(slug) >= 4) & (host.startswith(F.left(slug, F.lit(12))) | named | word)
 
 
-def candidate_pages(pages: DataFrame, needles: DataFrame, limit: int = 40) -> DataFrame:
-    """Pages by how many identities they name. Needles (one column ``needle``) and page words meet by equality of the first word."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+def candidate_pages(pages: DataFrame, needles: DataFrame, limit: int = 40, most_sent: int = 10_000) -> DataFrame:
+    """Pages by how many identities they name. Needles (one column ``needle``) and page words meet by equality of the first word.
+
+    Up to ``most_sent`` needles go to every task, and no page is shuffled. More of them meet the words of pages by shuffle, without the texts,
+    and each text travels once to the needles that share a word with it.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     first = F.regexp_extract(F.lower("needle"), r"[\p{L}\p{N}]+", 0)
-    met = pages.withColumn("_word", F.explode(words)).join(needles.distinct().withColumn("_word", first), "_word").filter(F.contains(F.lower("text"), F.lower("needle")))
+    named, rows = needles.distinct().withColumn("_word", first).filter("_word <> ''"), pages.select("page_id", "text")
+    if named.limit(most_sent + 1).count() <= most_sent:
+        listed = F.broadcast(named.agg(F.collect_set("_word").alias("_firsts")))
+        # of a page's words only those that begin a needle make a row
+        met = rows.crossJoin(listed).select("page_id", "text", F.explode(F.array_intersect(words, "_firsts")).alias("_word")).join(F.broadcast(named), "_word")
+    else:
+        rows = rows.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
+        begun = rows.select(F.col("page_id").alias("_page"), F.col("_digest").alias("_key"), F.explode(F.array_distinct(words)).alias("_word")).join(named, "_word").select("_page", "_key", "needle").distinct()
+        met = rows.join(begun, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("_key")))
+    met = met.filter(F.contains(F.lower("text"), F.lower("needle")))
     return met.groupBy("page_id").agg(F.countDistinct("needle").alias("named")).orderBy(F.desc("named"), "page_id").limit(limit)
 
 

@@ -209,3 +209,24 @@ def test_values_of_odd_forms(spark):
     many = "<script>" + str([f"word{i}" for i in range(1000)]).replace("'", '"') + "</script>"
     assert len(html.script_strings(many)) == 400 and len(html.script_strings(many, most=None)) == 1000 and html.script_strings(None) == []
     assert len(html.css_records("<ul>" + "<li><a>x</a></li>" * 60 + "</ul>", "li", {"w": ["a"]}, most=None)) == 60
+
+
+def test_pages_stay_where_they_are_for_few_needles_and_travel_once_for_many(spark):
+    import re
+
+    texts = [(1, "The acme corp of Zeta"), (1, "zeta"), (1, "zeta"), (2, None), (3, "often theacme corp"), (4, "ACME  corp"), (5, "Acme corp, the and zeta " + "w" * 50), (None, "the Zeta-7 x")]
+    names = ["acme corp", "Acme Corp", "zeta", "zeta", "the", "zeta-7", "--", "", None, "of"]
+    pages_, needles = spark.createDataFrame(texts, "page_id int, text string"), spark.createDataFrame([(n,) for n in names], "needle string")
+    want = {}
+    for page, text in texts:
+        words = re.findall(r"\w+", (text or "").lower())
+        for n in names:
+            first = re.search(r"\w+", (n or "").lower())
+            if first and first[0] in words and n.lower() in text.lower():
+                want.setdefault(page, set()).add(n)
+    for most_sent in (10_000, 0):
+        got = crawl.candidate_pages(pages_, needles, most_sent=most_sent)
+        assert {r.page_id: r.named for r in got.collect()} == {p: len(n) for p, n in want.items()}
+        # a text stands beside the words that begin a needle, or beside none; never beside each of its words
+        made = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line]
+        assert made and all("array_intersect" in line if most_sent else "text" not in line.split("[_word", 1)[1] for line in made)

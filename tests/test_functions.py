@@ -149,3 +149,12 @@ def test_fields(spark):
     assert len(values(spark, X.html_sample(F.col("v"), 100), ["x" * 1000])[0]) == 102
     found = X.relocate('<div><p class="old">n</p><p class="price now">$5</p></div>', {"tag": "p", "parent_tag": "div", "text": "$6", "attrs": {"class": "price"}})
     assert found.attrs["class"] == "price now" and X.relocate("<i>z</i>", {"tag": "p", "text": "abc", "attrs": {"a": "b"}}, 0.9) is None
+
+
+def test_references_end_with_a_semicolon():
+    body = '<head><title>a&amp;&amp</title></head><h1 t&u="1">x &amp; y&lt;z &#38;&#x26; &nosuch; &am</h1><a href="/p?a=1&copy=2&amp;b=3">&lt</a><script type="application/ld+json">{"headline": "a && b &amp;", "author": "\ue000"}</script>'
+    tree = H.parse(body)
+    assert H.metadata(body) == {"headline": "a && b &amp;", "author": "\ue000", "title": "a&&amp"}
+    assert H.visible_text(body) == "x & y<z && &nosuch; &am\n&lt"
+    assert H.select(tree, "a")[0].attrs == {"href": "/p?a=1&copy=2&b=3"} and H.select(tree, "h1")[0].attrs == {"t&u": "1"}
+    assert H.visible_text("a &amp") == "a &amp" and H.visible_text("<p>a &") == "a &"

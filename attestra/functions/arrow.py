@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,3 +21,9 @@ def arrow_function(kind: str) -> Callable[[Callable], Callable[..., Column]]:
         return call
 
     return make
+
+
+def once(values: pd.Series, function: Callable) -> pd.Series:
+    """``function`` of each value; values that repeat within a batch are worked on once."""
+    known: dict = {}
+    return pd.Series([known[v] if v in known else known.setdefault(v, function(v)) for v in values], index=values.index, dtype=object)

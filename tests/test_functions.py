@@ -1,7 +1,9 @@
 """Scalar functions on awkward values."""
 
 import datetime
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from attestra.functions import numbers as N
 from attestra.functions import scores as S
 from attestra.functions import texts as T
 from attestra.functions import urls as U
+from attestra.functions.arrow import once
 
 
 def values(spark, column, texts, schema="v string"):
@@ -158,3 +161,14 @@ def test_references_end_with_a_semicolon():
     assert H.visible_text(body) == "x & y<z && &nosuch; &am\n&lt"
     assert H.select(tree, "a")[0].attrs == {"href": "/p?a=1&copy=2&b=3"} and H.select(tree, "h1")[0].attrs == {"t&u": "1"}
     assert H.visible_text("a &amp") == "a &amp" and H.visible_text("<p>a &") == "a &"
+
+
+def test_scripts_are_read_without_a_tree_and_once():
+    rng = random.Random(7)
+    parts = ["<p>a &amp b", "</p>", "&#x <b>", "<!-- <script>x</script> -->", '<SCRIPT type="a">', '{"key": "a && b &amp; long", "n": [1, "text"]}', "</script>", "</script >", "<script/>", "<svg>", "x = ", "</b", "<script>", ";", "<", "&"]
+    for _ in range(3000):
+        body = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        assert H.script_bodies(body) == ["".join(c for c in n.children if isinstance(c, str)) for n in H.parse(body).walk() if n.tag == "script"], body
+    assert H.script_bodies(None) == [] and H.script_bodies("") == []
+    seen = []
+    assert list(once(pd.Series(["a", None, "a", "b", None]), lambda v: seen.append(v) or [v])) == [["a"], [None], ["a"], ["b"], [None]] and seen == ["a", None, "b"]

@@ -81,23 +81,58 @@ def open_gaps(found: DataFrame, stored: DataFrame, bounds: Bounds) -> DataFrame:
     return able.withColumn("rank", rank).filter(F.col("rank") <= bounds.fields)
 
 
-def frontier_of(cells: DataFrame, gaps: DataFrame) -> DataFrame:
-    """The open cells of some gaps: every record of the dataset that has no value for the field."""
-    records = cells.select("dataset_id", "record_id").distinct()
-    held = cells.filter(F.coalesce(F.btrim("value"), F.lit("")) != "").select(*CELL)
-    return records.join(gaps.select(*GAP), "dataset_id").select(*CELL).join(held, CELL, "left_anti")
+def _small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table with a row for each gap, dataset or range, sent to every task if it is small; it is counted first."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def queries_for(frontier: DataFrame, cells: DataFrame, identity: list[str], left: DataFrame, bounds: Bounds) -> DataFrame:
+def _said() -> Column:
+    return F.coalesce(F.btrim("value"), F.lit("")) != ""
+
+
+def profile_of(cells: DataFrame, identity: list[str]) -> DataFrame:
+    """dataset_id, record_id, filled (values), entity (place and value of the first identity field), website, held (the identity fields): what rounds ask of a record."""
+    named = F.when(_said() & F.col("field").isin(*identity), F.struct(F.array_position(F.array(*map(F.lit, identity)), F.col("field")).alias("place"), F.btrim("value").alias("entity")))
+    return cells.groupBy("dataset_id", "record_id").agg(
+        F.count_if(_said()).alias("filled"), F.min(named).alias("entity"), F.min(F.when(F.col("field") == "website", F.col("value"))).alias("website"),
+        F.struct(*[F.max(F.when(F.col("field") == k, F.col("value"))).alias(k) for k in identity]).alias("held"),
+    )
+
+
+def updated_profile(profile: DataFrame, fresh: DataFrame, identity: list[str]) -> DataFrame:
+    """A profile after cells were written; these take the place of cells without a value only."""
+    new = profile_of(fresh, identity)
+    rows = profile.join(new.select("dataset_id", "record_id", *[F.col(c).alias(f"_{c}") for c in ("filled", "entity", "website", "held")]), ["dataset_id", "record_id"], "left")
+    held = F.struct(*[F.coalesce(F.col("_held")[k], F.col("held")[k]).alias(k) for k in identity])
+    return rows.select("dataset_id", "record_id", (F.col("filled") + F.coalesce("_filled", F.lit(0))).alias("filled"), F.least("entity", "_entity").alias("entity"), F.coalesce("_website", "website").alias("website"), held.alias("held"))
+
+
+def frontier_of(profile: DataFrame, filled: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The open cells of some gaps: every record of the dataset that has no value for the field. ``filled`` are the cells with a value."""
+    asked = _small(gaps.select(*GAP))
+    return profile.select("dataset_id", "record_id").join(asked, "dataset_id").select(*CELL).join(filled.select(*CELL).join(asked, GAP, "left_semi"), CELL, "left_anti")
+
+
+def _placed(rows: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows of each gap with ``place`` from 1, the fullest records first."""
+    order = [F.desc("filled"), F.col("record_id")]
+    if most <= 10_000:
+        # the budget bounds a group's rows before they are shuffled, so a field that all records miss is no hot group
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy(*GAP).orderBy(*order))).filter(F.col("place") <= most)
+    # with a large budget it would be one: rows are sorted in ranges and numbered there, and the ranges before them are added
+    ranged = rows.repartitionByRange(*map(F.col, GAP), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(*GAP, "_range").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*GAP).orderBy("_range")) - F.col("_n")
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range", *GAP).orderBy(*order)))
+    placed = placed.join(_small(sizes.select(*GAP, "_range", ahead.alias("_ahead"))), [*GAP, "_range"])
+    return placed.withColumn("place", F.col("_place") + F.col("_ahead")).filter(F.col("place") <= most).drop("_range", "_place", "_ahead")
+
+
+def queries_for(frontier: DataFrame, profile: DataFrame, left: DataFrame, bounds: Bounds) -> DataFrame:
     """CELL, entity, query, place: one search for each open cell of a record that says who it is, the fullest records first, within the budget left."""
-    said = F.coalesce(F.btrim("value"), F.lit("")) != ""
-    # the first identity field in the order of the list names the record
-    name = F.min(F.when(said & F.col("field").isin(*identity), F.struct(F.array_position(F.array(*map(F.lit, identity)), F.col("field")), F.btrim("value").alias("entity"))))
-    known = cells.groupBy("dataset_id", "record_id").agg(F.count_if(said).alias("filled"), name.alias("name")).filter("name is not null")
-    rows = frontier.join(known.select("dataset_id", "record_id", "filled", "name.entity"), ["dataset_id", "record_id"])
-    place = F.row_number().over(Window.partitionBy(*GAP).orderBy(F.desc("filled"), "record_id"))
-    # the budget bounds a group's rows before they are shuffled, so a field that all records miss is no hot group
-    rows = rows.withColumn("place", place).filter(F.col("place") <= bounds.searches_per_field).join(left, "dataset_id").filter(F.col("place") <= F.col("left"))
+    known = profile.filter("entity is not null").select("dataset_id", "record_id", "filled", "entity.entity")
+    rows = _placed(frontier.join(known, ["dataset_id", "record_id"]), min(bounds.searches_per_field, bounds.searches))
+    rows = rows.join(_small(left), "dataset_id").filter(F.col("place") <= F.col("left"))
     query = F.concat(F.lit('"'), F.col("entity"), F.lit('" '), F.replace("field", F.lit("_"), F.lit(" ")))
     return rows.select(*CELL, "entity", query.alias("query"), "place")
 
@@ -110,27 +145,31 @@ def plausible(url: Column, title: Column, entity: Column) -> Column:
     return (F.length(slug) >= 4) & (F.startswith(squash(host_of(url)), F.left(slug, F.lit(12))) | named(squash(url)) | named(squash(title)))
 
 
-def chosen_results(results: DataFrame, queries: DataFrame, cells: DataFrame, bounds: Bounds) -> DataFrame:
+def chosen_results(results: DataFrame, queries: DataFrame, profile: DataFrame, bounds: Bounds) -> DataFrame:
     """The results to fetch for each record: plausible ones, its own site first and social sites last."""
-    site = cells.filter(F.col("field") == "website").groupBy("dataset_id", "record_id").agg(F.min("value").alias("website"))
-    rows = results.filter(F.col("position") <= bounds.results).join(queries.select(*CELL, "entity"), CELL).join(site, ["dataset_id", "record_id"], "left")
-    rows = rows.filter(plausible(F.col("url"), F.col("title"), F.col("entity")))
+    site = profile.select("dataset_id", "record_id", "website")
+    rows = results.filter(F.col("position") <= bounds.results).join(queries.select(*CELL, "entity"), CELL)
+    rows = rows.filter(plausible(F.col("url"), F.col("title"), F.col("entity"))).join(site, ["dataset_id", "record_id"], "left")
     order = Window.partitionBy(*CELL).orderBy(gapfill.result_order(F.col("url"), F.col("website")), "position")
     return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= bounds.fetches).select(*CELL, "url", "title", "place")
 
 
 def written_cells(found: DataFrame, frontier: DataFrame, order: Column) -> DataFrame:
     """One cell for each open one that something was found for; a value that its quote and page hold is verified."""
-    held = found.filter(F.coalesce(F.btrim("value"), F.lit("")) != "").join(frontier, CELL, "left_semi")
+    held = found.filter(_said()).join(frontier, CELL, "left_semi")
     first = held.groupBy(*CELL).agg(F.min_by(F.struct("value", "page_id", "quote", "text"), order).alias("x")).select(*CELL, "x.*")
     proven = (F.coalesce("quote", F.lit("")) != "") & F.contains("text", F.col("quote")) & F.contains("quote", F.col("value"))
     return first.select(*CELL, "value", "page_id", "quote", F.when(F.coalesce(proven, F.lit(False)), "verified").otherwise("unverified").alias("verification_status"))
 
 
-def matched(found: DataFrame, cells: DataFrame, identity: list[str]) -> DataFrame:
+def identities_of(profile: DataFrame, identity: list[str]) -> DataFrame:
+    """dataset_id, signature, and the first record of that identity."""
+    signed = dedupe.with_signature(profile.select("dataset_id", "record_id", "held.*"), identity)
+    return signed.filter("signature is not null").groupBy("dataset_id", "signature").agg(F.min("record_id").alias("record_id"))
+
+
+def matched(found: DataFrame, known: DataFrame, identity: list[str]) -> DataFrame:
     """Found values with the record_id of the dataset's first record of the same identity; others belong to no record."""
-    wide = cells.filter(F.col("field").isin(*identity)).groupBy("dataset_id", "record_id").agg(*[F.max(F.when(F.col("field") == k, F.col("value"))).alias(k) for k in identity])
-    known = dedupe.with_signature(wide, identity).filter("signature is not null").groupBy("dataset_id", "signature").agg(F.min("record_id").alias("record_id"))
     return dedupe.with_signature(found.drop("record_id"), identity).join(known, ["dataset_id", "signature"])
 
 
@@ -144,10 +183,12 @@ def autofill(cells: DataFrame, declared: DataFrame, stored: DataFrame, sources:
     """
     checkpoint_folder(cells.sparkSession)
     spark = cells.sparkSession
-    found = coverage.gaps(coverage.field_coverage(cells, declared))
+    found = coverage.gaps(coverage.field_coverage(cells, declared)).checkpoint()
     gaps = open_gaps(found, stored, bounds).checkpoint()
     left = gaps.select("dataset_id").distinct().withColumn("left", F.lit(bounds.searches)).checkpoint()
     held, log = cells.select(*CELL, "value", "verification_status").withColumns({"page_id": F.lit(None).cast("string"), "quote": F.lit(None).cast("string")}), None
+    # what rounds ask of the cells is kept once; a round adds what it wrote, and the cells themselves are put together at the end
+    profile = filled = known = written = None
     done = 0
     for rank in range(1, bounds.fields + 1):
         for phase in (STORED, SEARCH):
@@ -159,20 +200,28 @@ def autofill(cells: DataFrame, declared: DataFrame, stored: DataFrame, sources:
             if turn.isEmpty():
                 continue
             done += 1
-            frontier = frontier_of(held, turn).checkpoint()
+            if profile is None:
+                profile, filled = profile_of(cells, identity).checkpoint(), cells.filter(_said()).select(*CELL).checkpoint()
+            frontier = frontier_of(profile, filled if written is None else filled.unionByName(written.select(*CELL)), turn).checkpoint()
             if phase == STORED:
                 fresh, steps = _read_stored(frontier, turn, sources)
             else:
-                fresh, steps = _search(frontier, turn, held, identity, left, sources, bounds)
+                if known is None:
+                    known = identities_of(profile, identity).checkpoint()
+                fresh, steps = _search(frontier, turn, profile, known, identity, left, sources, bounds)
                 used = steps.groupBy("dataset_id").agg(F.sum("searches").alias("used"))
                 left = left.join(used, "dataset_id", "left").select("dataset_id", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")).checkpoint()
-            held = held.join(fresh, CELL, "left_anti").unionByName(fresh).checkpoint()
+            if not fresh.isEmpty():
+                written = fresh if written is None else written.unionByName(fresh)
+                profile = updated_profile(profile, fresh, identity).checkpoint()
+                if not turn.filter(F.col("field").isin(*identity)).isEmpty():
+                    known = None
             steps = steps.withColumns({"rank": F.lit(rank), "phase": F.lit(phase)}).checkpoint()
             gaps = _after(gaps, steps, phase).checkpoint()
             log = steps if log is None else log.unionByName(steps)
     if log is None:
         log = spark.createDataFrame([], "dataset_id string, field string, searches long, pages long, written long, error string, rank int, phase int")
-    return Pass(held, gaps, log, done)
+    return Pass(held if written is None else held.join(written, CELL, "left_anti").unionByName(written), gaps, log, done)
 
 
 def _counted(turn: DataFrame, fresh: DataFrame, searches: DataFrame | None, pages: DataFrame | None, errors: DataFrame | None) -> DataFrame:
@@ -192,20 +241,20 @@ def _counted(turn: DataFrame, fresh: DataFrame, searches: DataFrame | None, page
 def _read_stored(frontier: DataFrame, turn: DataFrame, sources: Sources) -> tuple[DataFrame, DataFrame]:
     if sources.stored is None:
         raise RuntimeError("no reader of stored pages is configured")
-    found = sources.stored(frontier)
+    found = sources.stored(frontier).checkpoint()
     fresh = written_cells(found, frontier, F.struct("page_id", "value")).checkpoint()
     return fresh, _counted(turn, fresh, None, found.select(*GAP, "page_id").distinct(), None)
 
 
-def _search(frontier: DataFrame, turn: DataFrame, held: DataFrame, identity: list[str], left: DataFrame, sources: Sources, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
+def _search(frontier: DataFrame, turn: DataFrame, profile: DataFrame, known: DataFrame, identity: list[str], left: DataFrame, sources: Sources, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
     if sources.search is None or sources.fetch is None or sources.read is None:
         raise RuntimeError("no search, fetch or reader is configured")
-    queries = queries_for(frontier, held, identity, left, bounds).checkpoint()
+    queries = queries_for(frontier, profile, left, bounds).checkpoint()
     results = sources.search(queries).checkpoint()
     errors = results.filter("error is not null") if "error" in results.columns else None
     good = results.filter("error is null").drop("error") if "error" in results.columns else results
-    pages = sources.fetch(chosen_results(good, queries, held, bounds)).checkpoint()
-    found = matched(sources.read(pages), held, identity)
+    pages = sources.fetch(chosen_results(good, queries, profile, bounds)).checkpoint()
+    found = matched(sources.read(pages), known, identity)
     fresh = written_cells(found, frontier, F.struct("page_id", "value")).checkpoint()
     return fresh, _counted(turn, fresh, queries, pages, errors)
 

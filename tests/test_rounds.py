@@ -120,3 +120,22 @@ def test_plausible_results(spark):
     ]
     table = spark.createDataFrame(rows, "url string, title string, entity string, want boolean")
     assert table.filter(rounds.plausible(F.col("url"), F.col("title"), F.col("entity")) != F.col("want")).collect() == []
+
+
+def test_places_and_profiles_are_the_plain_ones(spark, tables):
+    rows = spark.range(30000).select(F.lit("d").alias("dataset_id"), F.when(F.col("id") % 50 == 0, "g").otherwise("f").alias("field"), F.format_string("%06d", "id").alias("record_id"), (F.col("id") * 7 % 5).alias("filled"))
+    got = {}
+    for most in (9000, 20000):
+        got[most] = {(r.field, r.place): r.record_id for r in rounds._placed(rows, most).collect()}
+    want = {}
+    for field in ("f", "g"):
+        ids = sorted((i for i in range(30000) if (i % 50 == 0) == (field == "g")), key=lambda i: (-(i * 7 % 5), i))
+        want |= {(field, place): f"{i:06}" for place, i in enumerate(ids, 1)}
+    assert got == {most: {k: v for k, v in want.items() if k[1] <= most} for most in got}
+
+    cells = spark.createDataFrame([("d", "r1", "name", None), ("d", "r1", "size", "3"), ("d", "r1", "website", " "), ("d", "r2", "name", "B"), ("d", "r2", "title", "T"), ("d", "r3", "size", "")], "dataset_id string, record_id string, field string, value string")
+    fresh = spark.createDataFrame([("d", "r1", "website", "https://a"), ("d", "r1", "title", "A"), ("d", "r3", "name", "C")], cells.schema)
+    held = cells.join(fresh, rounds.CELL, "left_anti").unionByName(fresh)
+    rows_of = lambda p: sorted(tuple(r) for r in p.collect())
+    identity = ["title", "name"]
+    assert rows_of(rounds.updated_profile(rounds.profile_of(cells, identity), fresh, identity)) == rows_of(rounds.profile_of(held, identity))
